@@ -156,17 +156,22 @@ def histogram_sort(docs: DataFrame, path: str | None = None, key: str = "doc_id"
         .drop("__key", "__tie")
     )
     sorted_.write.partitionBy("shard").parquet(path)
-    return read_shards(spark, path, sorted_.schema)
+    return read_shards(spark, path, sorted_.schema, tasks)
 
 
-def read_shards(spark, path: str, schema) -> DataFrame:
-    """The shards below ``path`` with their slots."""
+#: Exchange tasks up to which their counts (24 bytes a task and shard) are broadcast; beyond, they are joined.
+BROADCAST_TASKS = 200_000
+
+
+def read_shards(spark, path: str, schema, tasks: int) -> DataFrame:
+    """The shards below ``path``, written by ``tasks`` tasks, with their slots."""
     files = spark.read.schema(schema).parquet(path)
     # A task wrote consecutive rows of the order, so a slot is the rows of the shard in earlier tasks plus the distance
     # from the task's first row in this shard. One row for each task and shard is summed here.
     counts = files.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
     before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("shard", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__base"))
+    bases = F.broadcast(bases) if tasks <= BROADCAST_TASKS else bases
     return files.join(bases, ["shard", "__part"]).withColumn("slot", F.col("__pos") + F.col("__base")).drop("__part", "__pos", "__base")
 
 

@@ -16,7 +16,9 @@ empty table gives an empty file set; extra columns are left out of the files.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,40 +29,76 @@ from pyspark.sql import functions as F
 from .common import documents, new_folder, slices, table
 
 #: Words kept by a worker; a full table is emptied.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 500_000
 #: Words longer than this go to the library each time.
 LONG_WORD = 64
 
 _state: dict = {}
 
 
-def _word_tokenizer(path: str):
-    if _state.get("path") != path:
+class Words(dict):
+    """word -> its ids as bytes, encoded by the library when first met.
+
+    A run of letters, with or without closing punctuation, is two pre-tokens whose normal form is their lower case; the
+    library's model encodes these directly. Anything else goes through the whole tokenizer.
+    """
+
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%*$&#]*)").fullmatch
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
-    return _state["tokenizer"], _state["words"]
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.runs: dict[str, bytes] = {}
+        # The byte alphabet of byte-level BPE: printable bytes stand for themselves, others for code points from 256.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + k for k, b in enumerate(others)}
+
+    def run(self, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if m := self.plain(word):
+            letters, marks = m[1].lower(), m[2]
+            ids = self.runs.get(letters)
+            if ids is None:
+                ids = self.run(letters)
+                if len(letters) <= LONG_WORD:
+                    self.runs[letters] = ids
+            if marks:
+                ids += self[marks]
+        else:
+            ids = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
+
+def words_of(path: str) -> Words:
+    if _state.get("path") != path:
+        _state.update(path=path, words=Words(path))
+    return _state["words"]
+
+
+def cut_at_blanks(text: str) -> str:
+    """ASCII white space as spaces; what else the tokenizer takes for white space stays within a word."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ")
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text, without end ids."""
-    tokenizer, words = _word_tokenizer(path)
+    words = words_of(path)
     out: list[bytes] = []
-    for a, b in slices(texts):
-        # str.split() cuts at a superset of the characters that \s means; these five mean white space to both.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\f", " ").split(" ") for t in texts[a:b]]
+    for text in texts:
         if len(words) > KNOWN_WORDS:
             words.clear()
-        words[""] = b""
-        new = list({w for ws in split for w in ws if w not in words})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        out.extend(b"".join(map(words.__getitem__, ws)) for ws in split)
-        for w in new:
-            if len(w) > LONG_WORD:
-                del words[w]
+            words.runs.clear()
+            words[""] = b""
+        out.append(b"".join(map(words.__getitem__, cut_at_blanks(text).split(" "))))
     return out
 
 
