@@ -21,7 +21,6 @@ def ours(texts):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60) | st.text(alphabet=" ▁ab\nthe.é漢'", max_size=80), max_size=8))
 def test_encoding_equals_the_library(texts):
-    texts = [t for t in texts if "\x00" not in t]
     assert ours(texts) == LIB.encode(texts)
 
 
@@ -48,7 +47,7 @@ def test_query_and_odd_rows(spark, sf_dir):
     want = lambda i, t: (i, len(x := LIB.encode(t)), sha(",".join(map(str, x))), sha(LIB.decode(x)))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert sorted(map(tuple, pieces.op7_piece_codec(spark, sf_dir).collect())) == sorted(want(r["doc_id"], r["text"]) for r in docs)
-    rows = [r for r in odd_rows() if "\x00" not in (r[1] or "")]
+    rows = odd_rows()
     got = pieces.digest(pieces.encode_documents(odd_documents(spark)))
     assert sorted(map(tuple, got.collect())) == sorted(want(r[0], r[1] or "") for r in rows)
     back = pieces.decode_documents(pieces.encode_documents(odd_documents(spark))).collect()
