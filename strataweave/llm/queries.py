@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import pieces, preference, sharding, token_files
+from . import pieces, preference, sharding, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op3_preference_format": preference.op3_preference_format,
         "op4_token_files": token_files.op4_token_files,
+        "op6_viterbi_counts": token_counts.op6_viterbi_counts,
         "op7_piece_codec": pieces.op7_piece_codec,
         "op8_histogram_sort": sharding.op8_histogram_sort,
     }
