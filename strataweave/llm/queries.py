@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import pieces, preference, sharding, token_counts, token_files
+from . import fertility, pieces, preference, sharding, token_counts, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_tokeniser_fertility": fertility.op2_tokeniser_fertility,
         "op3_preference_format": preference.op3_preference_format,
         "op4_token_files": token_files.op4_token_files,
         "op6_viterbi_counts": token_counts.op6_viterbi_counts,
