@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, pieces, preference, quality, sharding, token_counts, token_files
+from . import decontaminate, fertility, pieces, preference, quality, sharding, token_counts, token_files
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_piece_codec": pieces.op7_piece_codec,
         "op8_histogram_sort": sharding.op8_histogram_sort,
         "op9_neighbour_quality": quality.op9_neighbour_quality,
+        "op10_string_tiling": decontaminate.op10_string_tiling,
     }
 
 
