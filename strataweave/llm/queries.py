@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, pieces, preference, quality, sharding, token_counts, token_files
+from . import decontaminate, fertility, near_duplicates, pieces, preference, quality, sharding, token_counts, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": near_duplicates.op1_ngram_jaccard,
         "op2_tokeniser_fertility": fertility.op2_tokeniser_fertility,
         "op3_preference_format": preference.op3_preference_format,
         "op4_token_files": token_files.op4_token_files,
