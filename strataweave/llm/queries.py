@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, near_duplicates, pieces, preference, quality, sharding, token_counts, token_files
+from . import decontaminate, fertility, near_duplicates, pieces, preference, private_data, quality, sharding, token_counts, token_files
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_tokeniser_fertility": fertility.op2_tokeniser_fertility,
         "op3_preference_format": preference.op3_preference_format,
         "op4_token_files": token_files.op4_token_files,
+        "op5_private_data": private_data.op5_private_data,
         "op6_viterbi_counts": token_counts.op6_viterbi_counts,
         "op7_piece_codec": pieces.op7_piece_codec,
         "op8_histogram_sort": sharding.op8_histogram_sort,
