@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,9 @@ def repeated_words(texts_words: list[list[str]]) -> np.ndarray:
     out = np.zeros(len(lengths), np.int64)
     if lengths.sum() < 3:
         return out
-    codes: dict[str, int] = {}
-    flat = np.fromiter((codes.setdefault(w, len(codes)) for ws in texts_words for w in ws), np.int64, lengths.sum())
+    words = list(chain.from_iterable(texts_words))
+    codes = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    flat = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     text = np.repeat(np.arange(len(lengths)), lengths)
     whole = text[:-2] == text[2:]
     # Exact window keys: pair numbers first, so that three codes fit 64 bits whatever the number of words.

@@ -124,8 +124,8 @@ class PieceModel:
         piece = np.where(hit, self.pair_piece[at], 0)
         return np.where(hit, self.rank_by_id[piece], FAR), piece
 
-    def merge_rounds(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit (spaces already marked)."""
+    def merge_rounds(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all units (spaces already marked) and where each unit's begin and the last one's end."""
         lengths = np.array([len(u) for u in units], np.int64)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sym = self.symbol_of_char[np.minimum(points, len(self.symbol_of_char) - 1)]
@@ -164,8 +164,7 @@ class PieceModel:
                     rank[i], made[i] = r, m
         unit, sym = np.concatenate(done_unit or [np.zeros(0, np.int64)]), np.concatenate(done_sym or [np.zeros(0, np.int64)])
         order = np.argsort(unit, kind="stable")
-        sym, counts = sym[order], np.bincount(unit, minlength=len(units))
-        return np.split(sym, np.cumsum(counts)[:-1]) if len(units) else []
+        return sym[order], np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(units)))])
 
     def ids_of_units(self, units: list[str]) -> dict[str, bytes]:
         """unit (with plain spaces) -> little-endian 32-bit ids."""
@@ -175,14 +174,15 @@ class PieceModel:
                 out[u] = np.array(self.merge_queue(u.replace(" ", SPACE)), "<i4").tobytes()
             else:
                 short.append(u)
-        for u, sym in zip(short, self.merge_rounds([u.replace(" ", SPACE) for u in short]), strict=True):
-            if len(sym) and (sym.min() < 0 or sym.max() >= self.size):
-                ids: list[int] = []
-                for s in sym.tolist():
-                    ids.extend(self.spell(chr(-1 - s)) if s < 0 else self.spell(self.name_of[s]) if s >= self.size else [s])
-                out[u] = np.array(ids, "<i4").tobytes()
-            else:
-                out[u] = sym.astype("<i4").tobytes()
+        sym, bounds = self.merge_rounds([u.replace(" ", SPACE) for u in short])
+        raw, at = sym.astype("<i4").tobytes(), (4 * bounds).tolist()
+        out.update((u, raw[a:b]) for u, a, b in zip(short, at[:-1], at[1:], strict=True))
+        odd = np.flatnonzero((sym < 0) | (sym >= self.size))  # symbols that are no piece
+        for k in np.unique(np.searchsorted(bounds, odd, side="right") - 1).tolist():
+            ids: list[int] = []
+            for s in sym[bounds[k] : bounds[k + 1]].tolist():
+                ids.extend(self.spell(chr(-1 - s)) if s < 0 else self.spell(self.name_of[s]) if s >= self.size else [s])
+            out[short[k]] = np.array(ids, "<i4").tobytes()
         return out
 
     def decode(self, ids: list[int]) -> str:
