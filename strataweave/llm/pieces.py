@@ -264,6 +264,15 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     return rows.mapInArrow(lambda it: _encode(it, model), "text string, doc_id long, ids array<int>, decoded string").select("doc_id", "ids", "decoded")
 
 
+def encode_columns(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """``docs`` with ids and decoded in place of text; columns of these names give way."""
+    model = model or default_model()
+    own = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
+    rows = docs.select("text", *own)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", ids array<int>, decoded string"
+    return rows.mapInArrow(lambda it: _encode(it, model), schema).drop("text")
+
+
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [model_at(path).decode(x) if x else "" for x in batch.column(0).to_pylist()]
