@@ -39,10 +39,10 @@ PERCENT = 80
 #: Parts of a group and how many of them may differ.
 N2, K2 = 3, 1
 SUBSETS = list(combinations(range(N2), N2 - K2))
+#: Least buckets of a sketch.
 SKETCH = 128
-#: Signatures that a task holds before it passes them on; bits of the bucket number.
-FLUSH, BUCKET_BITS = 1_500_000, 10
-LOW48 = np.uint64((1 << 48) - 1)
+#: Signatures that a task holds before it passes them on.
+FLUSH = 1_500_000
 LIST_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 512, 1_000_000
 #: Family members up to which their table is broadcast to the scan of the texts (about 40 bytes each); else they join.
 BROADCAST_MEMBERS = 200_000
@@ -93,11 +93,28 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Shingles in each of SKETCH buckets, modulo 16, two to a byte."""
-    c = (np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 15).astype(np.uint8)
+    """Shingles in each of some 4 to 8 times fewer buckets, modulo 16, two to a byte."""
+    size = max(SKETCH, 1 << max(0, len(s).bit_length() - 3))
+    c = (np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 15).astype(np.uint8)
     return (c[0::2] << 4 | c[1::2]).tobytes()
 
 
+def unfold(sketches: list[bytes]) -> np.ndarray:
+    """Bucket counts of all sketches, with as many buckets as the smallest has."""
+    out = np.empty((len(sketches), 2 * min(map(len, sketches))), np.int8)
+    lengths = np.array([len(k) for k in sketches])
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        raw = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint8).reshape(len(at), n)
+        counts = np.empty((len(at), 2 * n), np.uint8)
+        counts[:, 0::2], counts[:, 1::2] = raw >> 4, raw & 15
+        while counts.shape[1] > out.shape[1]:
+            half = counts.shape[1] // 2
+            counts = (counts[:, :half] + counts[:, half:]) & 15
+        out[at] = counts
+    return out
+
+
 def set_id(s: np.ndarray) -> int:
     return int(bytescan.mix(bytescan.mix(s ^ _SALT[0]).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
 
@@ -109,35 +126,34 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 # Rows between the scan and the signature tasks. kind 0, a document: a = doc_id, b = set id, n, blob = sketch.
-# kind 1, signatures of one bucket: blob = members, then their ids, sizes and signature counts, then the signatures.
+# kind 1, signatures of one bucket: blob = members, then their ids and signature counts, then 48 bits of each signature.
+# Buckets are the signatures' leading bits, twice as many as tasks at least, so few that a member's id seldom repeats.
 RAW = "kind int, bucket long, a long, b long, n long, blob binary"
 
 
-def _pack(held: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
-    ids, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.uint32)
-    sig = np.concatenate([h[2] for h in held])
-    member = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-    bucket = (sig >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _pack(held: list[tuple[int, np.ndarray]], bits: int) -> Iterator[tuple]:
+    ids = np.array([h[0] for h in held], np.int64)
+    sig = np.concatenate([h[1] for h in held])
+    member = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+    bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     sig, member, bucket = sig[order], member[order], bucket[order]
     for lo, hi in zip(starts := np.flatnonzero(np.diff(bucket, prepend=-1)), np.append(starts[1:], len(bucket)), strict=True):
         m = member[lo:hi]
         first = np.flatnonzero(np.diff(m, prepend=-1))
-        who, counts = m[first], np.diff(np.append(first, len(m))).astype(np.uint32)
+        counts = np.diff(np.append(first, len(m))).astype(np.uint32)
         low = np.ascontiguousarray(sig[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]
-        blob = np.uint32(len(who)).tobytes() + ids[who].tobytes() + sizes[who].tobytes() + counts.tobytes() + low.tobytes()
-        yield 1, int(bucket[lo]), None, None, None, blob
+        yield 1, int(bucket[lo]), None, None, None, np.uint32(len(first)).tobytes() + ids[m[first]].tobytes() + counts.tobytes() + low.tobytes()
 
 
-def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, and for each its member's id and size."""
+def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (the bucket above their 48 bits) and for each its member's id."""
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    ids = np.frombuffer(blob, np.int64, n, 4)
-    sizes, counts = np.frombuffer(blob, np.uint32, n, 4 + 8 * n), np.frombuffer(blob, np.uint32, n, 4 + 12 * n)
-    low = np.frombuffer(blob, np.uint8, -1, 4 + 16 * n).reshape(-1, 6)
+    ids, counts = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
+    low = np.frombuffer(blob, np.uint8, -1, 4 + 12 * n).reshape(-1, 6)
     sig = np.zeros((len(low), 8), np.uint8)
     sig[:, :6] = low
-    return sig.view(np.uint64).ravel() | np.uint64(bucket << 48), np.repeat(ids, counts), np.repeat(sizes, counts)
+    return sig.view(np.uint64).ravel() | np.uint64(bucket << 48), np.repeat(ids, counts)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -149,25 +165,25 @@ _RAW_NAMES = ["kind", "bucket", "a", "b", "n", "blob"]
 _RAW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # set ids of this task: copies give their signatures once
     held, count = [], 0
     for batch in batches:
         rows = []
         for doc_id, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True):
             sid = set_id(s)
-            rows.append((0, sid >> (64 - BUCKET_BITS) & ((1 << BUCKET_BITS) - 1) if len(s) else (doc_id or 0) & 1023, doc_id, sid, len(s), sketch(s)))
+            rows.append((0, (sid if len(s) else doc_id or 0) & ((1 << bits) - 1), doc_id, sid, len(s), sketch(s)))
             if len(s) and sid not in seen:
                 seen.add(sid)
                 if len(sig := signatures(s, percent)):
-                    held.append((sid, len(s), sig))
+                    held.append((sid, sig))
                     count += len(sig)
             if count >= FLUSH:
-                yield _batch(list(_pack(held)), _RAW_NAMES, _RAW_TYPES)
+                yield _batch(list(_pack(held, bits)), _RAW_NAMES, _RAW_TYPES)
                 held, count = [], 0
         yield _batch(rows, _RAW_NAMES, _RAW_TYPES)
     if held:
-        yield _batch(list(_pack(held)), _RAW_NAMES, _RAW_TYPES)
+        yield _batch(list(_pack(held, bits)), _RAW_NAMES, _RAW_TYPES)
 
 
 # Rows after the signature tasks. kind 0 as before; kind 1, a list: a = its hash, n = members, blob = their ids.
@@ -284,13 +300,11 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     for group in groups(batches, 3):
         sid, left = np.asarray(group.column("sid")), np.asarray(group.column("left"))
         n = np.asarray(group.column("n"))
-        raw = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(sid), -1)
-        counts = np.empty((len(sid), SKETCH), np.int8)
-        counts[:, 0::2], counts[:, 1::2] = raw >> 4, raw & 15
+        counts = unfold(group.column("sketch").to_pylist())
         rows = np.flatnonzero(left)
         columns = rows if left.all() else np.flatnonzero(~left)
         forest = Forest(len(sid))
-        step = max(1, 4_000_000 // (SKETCH * max(1, len(columns))))
+        step = max(1, 4_000_000 // (counts.shape[1] * max(1, len(columns))))
         for a in range(0, len(rows), step):
             some = rows[a : a + step]
             gap = np.abs(counts[some][:, None, :] - counts[columns][None, :, :])
@@ -371,8 +385,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, n_links (other documents linked, copies included)."""
     shared_dir(docs.sparkSession)
     tasks = _tasks(docs)
+    bits = min(15, (tasks - 1).bit_length() + 1)
     source = documents(docs)
-    raw = source.mapInArrow(lambda it: _scan(it, percent), RAW).repartition(tasks, "bucket")
+    raw = source.mapInArrow(lambda it: _scan(it, percent, bits), RAW).repartition(tasks, "bucket")
     dealt = cut(raw.mapInArrow(_lists, "kind int, a long, b long, n long, blob binary"))
     sets = dealt.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n", "blob")
     classes = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("blob").alias("sketch"))
@@ -411,8 +426,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component: that of its least doc_id (of rows with one id, the first by text)."""
-    found = jaccard_components(docs, percent).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    """One row of each component: that of its least doc_id (of rows with one id, the first by text); rows without id stay."""
+    found = jaccard_components(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
     columns = docs.columns
-    first = docs.filter("doc_id is not null").join(found.filter("doc_id is not null"), "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*columns).unionByName(docs.filter("doc_id is null"))
+    row = F.struct(*columns)
+    first = docs.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
+    return first.select("row.*").unionByName(docs.filter("doc_id is null"))

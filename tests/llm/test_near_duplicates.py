@@ -63,13 +63,13 @@ def test_prefixes_catch_sets_with_few_groups(monkeypatch):
 
 def test_blobs_come_back():
     rng = np.random.default_rng(7)
-    held = [(int(i), 10 + i, rng.integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2)) for i in range(9)]
+    held = [(int(i), rng.integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2)) for i in range(9)]
     got = {}
-    for _, bucket, _, _, _, blob in nd._pack(held):
-        for s, i, n in zip(*nd._unpack(bucket, blob), strict=True):
-            got.setdefault((int(i), int(n)), set()).add(int(s))
-    keep = lambda s: (s >> (64 - nd.BUCKET_BITS) << 48) | (s & ((1 << 48) - 1))
-    assert got == {(i, n): {keep(int(x)) for x in s} for i, n, s in held}
+    for _, bucket, _, _, _, blob in nd._pack(held, 6):
+        for s, i in zip(*nd._unpack(bucket, blob), strict=True):
+            got.setdefault(int(i), set()).add(int(s))
+    keep = lambda s: (s >> 58 << 48) | (s & ((1 << 48) - 1))
+    assert got == {i: {keep(int(x)) for x in s} for i, s in held}
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -111,3 +111,13 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100} | {x: 200 for x in range(200, 230)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (5, 300, 1100, 9000):
+        a = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(1, 2**63, n, dtype=np.uint64)]))
+        c = nd.unfold([nd.sketch(a), nd.sketch(b)])
+        gap = np.abs(c[0].astype(int) - c[1])
+        assert np.minimum(gap, 16 - gap).sum() <= len(np.setxor1d(a, b))
