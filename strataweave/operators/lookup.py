@@ -98,8 +98,8 @@ def mod_details(m: Model, pattern: str = "%1%") -> DataFrame:
 
 
 @query("flt_14_definition_properties", """
-    SELECT d.name, p.property_name, p.property_value, coalesce(p.property_class, '') AS property_class FROM xml_definitions d JOIN xml_properties p ON p.definition_id = d.id WHERE d.id <= 20""")
-def definition_properties(m: Model, condition: str = "id <= 20") -> DataFrame:
+    SELECT d.name, p.property_name, p.property_value, coalesce(p.property_class, '') AS property_class FROM xml_definitions d JOIN xml_properties p ON p.definition_id = d.id """)
+def definition_properties(m: Model, condition: str = "true") -> DataFrame:
     defs = m.xml_definitions.filter(condition).select(F.col("id").alias("definition_id"), "name")
     return m.xml_properties.join(defs, "definition_id").select("name", "property_name", "property_value", F.coalesce("property_class", F.lit("")).alias("property_class"))
 
@@ -124,9 +124,9 @@ def callers(m: Model, method_id: int = 5, limit: int = 50) -> DataFrame:
 
 
 @query("jon_03_callees", """
-    SELECT 'internal' AS kind, t.name || '.' || me.name AS callee, c.line_number FROM calls c JOIN methods me ON c.callee_id = me.id JOIN types t ON me.type_id = t.id WHERE c.caller_id <= 40
-    UNION ALL SELECT 'external', target_type || '.' || target_method, line_number FROM external_calls WHERE caller_id <= 40""")
-def callees(m: Model, condition: str = "caller_id <= 40") -> DataFrame:
+    SELECT 'internal' AS kind, t.name || '.' || me.name AS callee, c.line_number FROM calls c JOIN methods me ON c.callee_id = me.id JOIN types t ON me.type_id = t.id 
+    UNION ALL SELECT 'external', target_type || '.' || target_method, line_number FROM external_calls""")
+def callees(m: Model, condition: str = "true") -> DataFrame:
     """What the chosen methods call, inside and outside."""
     inner = m.calls.filter(condition).join(_named_methods(m, "callee_id", "callee"), "callee_id").select(F.lit("internal").alias("kind"), "callee", "line_number")
     outer = m.external_calls.filter(condition).select(F.lit("external").alias("kind"), F.concat_ws(".", "target_type", "target_method").alias("callee"), "line_number")
