@@ -295,8 +295,14 @@ class Forest:
 
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Members of lists, sorted by list and block pair -> edges that connect those within the sketch bound."""
-    known: set[tuple[int, int]] = set()
+    up: dict[int, int] = {}  # what the edges of this task connect already
     out: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
     for group in groups(batches, 3):
         sid, left = np.asarray(group.column("sid")), np.asarray(group.column("left"))
         n = np.asarray(group.column("n"))
@@ -313,15 +319,15 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             linked &= some[:, None] != columns[None, :]
             forest.connect(linked, some, columns)
         for x, y in forest.edges:
-            e = (int(min(sid[x], sid[y])), int(max(sid[x], sid[y])))
-            if e not in known:
-                known.add(e)
-                out.append(e)
+            a, b = root(int(sid[x])), root(int(sid[y]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((min(a, b), max(a, b)))
         if len(out) >= 50_000:
             yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
             out = []
-        if len(known) >= 500_000:
-            known.clear()
+        if len(up) >= 1_000_000:
+            up.clear()
     if out:
         yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
 
