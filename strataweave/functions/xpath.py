@@ -35,7 +35,7 @@ def normalise(path: Column, sort_all: bool = False) -> Column:
         terms = F.regexp_extract_all(p, F.lit(r"\[[^\[\]]*\]|[^\[]+"), F.lit(0))
         term = lambda t: F.when(
             t.startswith("[") & F.contains(t, F.lit(" and ")),
-            F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(F.split(F.substring(t, F.lit(2), F.length(t) - 2), " and "), F.trim)), " and "), F.lit("]")),
+            F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(F.split(F.substring(t, F.lit(2), F.length(t) - 2), " and "), lambda x: F.trim(x))), " and "), F.lit("]")),
         ).otherwise(t)
         return F.array_join(F.transform(terms, term), "")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import REMOVALS, Model, csv, n, query, total, with_mod
 
-ZERO = F.lit(0).cast("long")
+def zero() -> Column:
+    return F.lit(0).cast("long")
+
 ENTITY = ["target_type", "target_name"]
 
 
@@ -89,7 +91,7 @@ def mod_health(m: Model) -> DataFrame:
     """Kind and state of each mod."""
     ops = m.mod_xml_operations.groupBy(F.col("mod_id").alias("id")).agg(n().alias("operations"), total(F.col("operation") == "remove").alias("removals"))
     kind = F.when(F.col("has_xml") & F.col("has_dll"), "Hybrid").when(F.col("has_xml"), "XML").when(F.col("has_dll"), "C#").otherwise("Config")
-    rows = m.mods.join(ops, "id", "left").select("name", kind.alias("kind"), F.coalesce("operations", ZERO).alias("operations"), F.coalesce("removals", ZERO).alias("removals"))
+    rows = m.mods.join(ops, "id", "left").select("name", kind.alias("kind"), F.coalesce("operations", zero()).alias("operations"), F.coalesce("removals", zero()).alias("removals"))
     return rows.withColumn("health", F.when(F.col("removals") > 0, "Broken").otherwise("Healthy"))
 
 
@@ -196,7 +198,7 @@ def definition_traces(m: Model) -> DataFrame:
     """Each definition with its properties in short."""
     entry = F.concat("property_name", F.lit("="), F.substring("property_value", 1, 30))
     props = m.xml_properties.groupBy(F.col("definition_id").alias("id")).agg(n().alias("prop_count"), F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("props"))
-    return m.xml_definitions.select("id").join(props, "id", "left").select("id", F.coalesce("prop_count", ZERO).alias("prop_count"), F.coalesce("props", F.lit("")).alias("props"))
+    return m.xml_definitions.select("id").join(props, "id", "left").select("id", F.coalesce("prop_count", zero()).alias("prop_count"), F.coalesce("props", F.lit("")).alias("props"))
 
 
 @query("sem_03_cross_reference_patterns", "SELECT source_type, target_type, reference_context, count(*) AS n, min(target_name) AS sample FROM xml_references GROUP BY 1, 2, 3")
