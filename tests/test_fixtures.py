@@ -201,3 +201,57 @@ def test_stream_of_hashes(spark, tmp_path):
     (source / "2.json").write_text('{"file_path": "A", "content": "1"}\n{"file_path": "b", "content": "3"}\n')
     go()
     assert seen == [["a", "b"], ["b"]]
+
+
+PATCHES = """
+[HarmonyPatch(typeof(EntityPlayer), "Update", new Type[] { typeof(int), typeof(string) })]
+[HarmonyPriority(Priority.High)]
+[HarmonyBefore("other.mod")]
+public class Patch_Update
+{
+    static bool Prefix(EntityPlayer __instance, ref int __result)
+    {
+        if (__instance == null) return true;
+        var s = "}"; // }
+        return false;
+    }
+    static void Postfix() { }
+}
+class Plain { void M() { harmony.Patch(AccessTools.Method(typeof(Block), "Place")); harmony.PatchAll(); } }
+"""
+
+
+def test_patch_scan(spark):
+    from strataweave.sources import source_code as sc
+
+    files = spark.createDataFrame([("p.cs", PATCHES), ("q.cs", None), ("r.cs", "class X")], "file_path string, content string")
+    rows = {r["patch_type"]: r for r in sc.scan(files, sc.patches, sc.PATCH_COLUMNS).collect()}
+    assert set(rows) == {"Prefix", "Postfix", "Dynamic", "PatchAll"}
+    p = rows["Prefix"]
+    assert (p["target_class"], p["target_method"], p["target_arg_types"], p["harmony_priority"], p["harmony_before"]) == ("EntityPlayer", "Update", '["int", "string"]', 600, '["other.mod"]')
+    assert p["returns_bool"] and p["modifies_result"] and p["is_guarded"] and p["guard_condition"] == "__instance == null"
+    assert (rows["Dynamic"]["target_class"], rows["Dynamic"]["target_method"]) == ("Block", "Place")
+
+
+def test_bodies_and_trees(spark):
+    from strataweave.sources import source_code as sc
+
+    files = spark.createDataFrame([("a.cs", SOURCE), ("b.xml", '<r><a name="x"><b value="1"/><b/></a></r>')], "file_path string, content string")
+    got = {r["method"]: (r["first_line"], r["last_line"]) for r in sc.scan(files, sc.bodies, sc.BODY_COLUMNS).collect()}
+    assert got["TryParse"] == (12, 17) and got["Get"] == (18, 18)
+    paths = [r["element_xpath"] for r in sc.scan(files.filter("file_path = 'b.xml'"), sc.tree, sc.TREE_COLUMNS).collect()]
+    assert paths == ['/r/a[@name="x"]', '/r/a[@name="x"]/b[1]', '/r/a[@name="x"]/b[2]']
+
+
+def test_types(spark):
+    from pyspark.sql import functions as F
+
+    from strataweave.functions import types as ty
+
+    assert ty.split_parameters("Dictionary<int, string> a, int[] b") == ["Dictionary<int, string> a", "int[] b"]
+    assert ty.resolve("List<int?>[]") == "System.Collections.Generic.List<System.Nullable<System.Int32>>[]"
+    df = spark.createDataFrame([("(int a, string b)", "(System.Int32 x, System.String y)"), ("(int a)", "(long a)"), (None, "()")], "a string, b string")
+    assert [r[0] for r in df.select(ty.same_signature(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    assert df.select(ty.parameters(F.lit("int a, List<b, c> d"))).first()[0] == ["int a", "List<b, c> d"]
+    row = spark.range(1).select(ty.overload_matches(F.array(F.lit("Int32")), F.array(F.lit("System.Int32"), F.lit("__result"))).alias("m")).first()
+    assert row["m"]
