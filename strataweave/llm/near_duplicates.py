@@ -167,12 +167,14 @@ _RAW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bin
 
 def _scan(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # set ids of this task: copies give their signatures once
+    turn = 0  # documents go round the buckets, so that copies do not meet in one
     held, count = [], 0
     for batch in batches:
         rows = []
         for doc_id, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True):
             sid = set_id(s)
-            rows.append((0, (sid if len(s) else doc_id or 0) & ((1 << bits) - 1), doc_id, sid, len(s), sketch(s)))
+            turn += 1
+            rows.append((0, turn & ((1 << bits) - 1), doc_id, sid, len(s), sketch(s)))
             if len(s) and sid not in seen:
                 seen.add(sid)
                 if len(sig := signatures(s, percent)):
