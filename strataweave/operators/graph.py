@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Model, csv, n, query
+from ..session import shared_dir
 
 CLOSURE_SQL = """
     WITH RECURSIVE edges AS (
@@ -25,10 +26,8 @@ CLOSURE_SQL = """
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written below the session's checkpoint or warehouse folder and read again."""
-    conf = df.sparkSession.conf
-    at = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
-    path = f"{at.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    """``df`` written below the session's shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
