@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from . import bytescan
-from .common import cut, documents, shared_dir, table
+from .common import cut, documents, table
 from .components import components
 
 PERCENT = 80
