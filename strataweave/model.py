@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,11 @@ class Model:
 REGISTRY: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register an operator over a Model as a query, with the SQL it equals."""
+def query(name: str, sql: str | None = None, **args):
+    """Register an operator over a Model, at ``args`` if given, as a query, with the SQL it equals."""
 
-    def keep(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
-        REGISTRY[name] = (f, sql)
+    def keep(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        REGISTRY[name] = (partial(f, **args), sql)
         return f
 
     return keep

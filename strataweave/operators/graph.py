@@ -2,6 +2,9 @@
 
 Closures are semi-naive loops: each round joins the frontier with the edges, keeps what is new, and is written to the
 session's shared folder and read again, so that plans stay short and a lost executor costs one round.
+
+The reference's closure goes ten steps, and so do the operators here and the queries named ``_whole``. The queries of the
+same names without it stop at four, as their SQL does.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from ..model import Model, csv, n, query
 from ..session import shared_dir
 
+DEPTH = 10  # MAX_DEPTH of the reference
+
 CLOSURE_SQL = """
     WITH RECURSIVE edges AS (
       SELECT DISTINCT d.id AS s, p.id AS t, 'extends' AS kind FROM xml_definitions d JOIN xml_definitions p ON d.extends = p.name AND d.definition_type = p.definition_type WHERE d.id <> p.id
@@ -42,7 +47,7 @@ def direct_edges(m: Model) -> DataFrame:
     return extends.unionByName(refs).join(targets, ["target_name", "target_type"]).filter("source <> target").select("source", "target", "ref_type").distinct()
 
 
-def closure(m: Model, kind: str | None = None, depth: int = 10) -> DataFrame:
+def closure(m: Model, kind: str | None = None, depth: int = DEPTH) -> DataFrame:
     """source, target, depth, path, reference_types of every reachable pair within ``depth`` steps, by a shortest path.
 
     Of equally short paths the least path text is kept. path: JSON array of ``type:id`` steps. reference_types:
@@ -66,22 +71,24 @@ def closure(m: Model, kind: str | None = None, depth: int = 10) -> DataFrame:
     return seen.select("source", "target", "depth", F.to_json("path").alias("path"), F.array_join(F.array_sort(F.array_distinct(types)), ",").alias("reference_types"))
 
 
-@query("grf_04_transitive_closure", CLOSURE_SQL + " SELECT source, target, depth FROM reach")
-def transitive_closure(m: Model) -> DataFrame:
-    """Reachable pairs within four steps."""
-    return closure(m, None, 4).select("source", "target", "depth")
+@query("grf_04_transitive_closure_whole")
+@query("grf_04_transitive_closure", CLOSURE_SQL + " SELECT source, target, depth FROM reach", depth=4)
+def transitive_closure(m: Model, depth: int = DEPTH) -> DataFrame:
+    """Reachable pairs within ``depth`` steps."""
+    return closure(m, None, depth).select("source", "target", "depth")
 
 
+@query("grf_05_impact_analysis_whole")
 @query("grf_05_impact_analysis", CLOSURE_SQL + """
     , one AS (SELECT min(id) AS id FROM xml_definitions WHERE definition_type = 'item')
     SELECT 'dependent' AS side, d.id AS entity_id, d.name, d.definition_type, r.depth FROM reach r JOIN one ON r.target = one.id JOIN xml_definitions d ON d.id = r.source
-    UNION ALL SELECT 'requirement', d.id, d.name, d.definition_type, r.depth FROM reach r JOIN one ON r.source = one.id JOIN xml_definitions d ON d.id = r.target""")
-def impact_of_first_item(m: Model) -> DataFrame:
+    UNION ALL SELECT 'requirement', d.id, d.name, d.definition_type, r.depth FROM reach r JOIN one ON r.source = one.id JOIN xml_definitions d ON d.id = r.target""", depth=4)
+def impact_of_first_item(m: Model, depth: int = DEPTH) -> DataFrame:
     first = m.xml_definitions.filter("definition_type = 'item'").agg(F.min("id").alias("id"))
-    return impact(m, first)
+    return impact(m, first, depth)
 
 
-def impact(m: Model, entity: DataFrame, depth: int = 4) -> DataFrame:
+def impact(m: Model, entity: DataFrame, depth: int = DEPTH) -> DataFrame:
     """What depends on the entities in ``entity`` (id) and what they need."""
     reach = closure(m, None, depth)
     defs = m.xml_definitions.select(F.col("id").alias("entity_id"), "name", "definition_type")
@@ -90,36 +97,39 @@ def impact(m: Model, entity: DataFrame, depth: int = 4) -> DataFrame:
     return down.unionByName(up).join(defs, "entity_id").select("side", "entity_id", "name", "definition_type", "depth")
 
 
+@query("grf_06_inheritance_hotspots_whole")
 @query("grf_06_inheritance_hotspots", CLOSURE_SQL + """
     SELECT d.name AS base_entity, d.definition_type, count(*) AS dependent_count, CASE WHEN count(*) > 100 THEN 'CRITICAL' WHEN count(*) > 50 THEN 'HIGH' WHEN count(*) > 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
-    FROM reach r JOIN xml_definitions d ON r.target = d.id GROUP BY r.target, d.name, d.definition_type""")
-def inheritance_hotspots(m: Model) -> DataFrame:
+    FROM reach r JOIN xml_definitions d ON r.target = d.id GROUP BY r.target, d.name, d.definition_type""", depth=4)
+def inheritance_hotspots(m: Model, depth: int = DEPTH) -> DataFrame:
     """How many entities depend on each, with a risk band."""
-    counts = closure(m, None, 4).groupBy("target").agg(n().alias("dependent_count"))
+    counts = closure(m, None, depth).groupBy("target").agg(n().alias("dependent_count"))
     c = F.col("dependent_count")
     risk = F.when(c > 100, "CRITICAL").when(c > 50, "HIGH").when(c > 20, "MEDIUM").otherwise("LOW")
     return counts.join(m.xml_definitions, F.col("target") == F.col("id")).select(F.col("name").alias("base_entity"), "definition_type", "dependent_count", risk.alias("risk_level"))
 
 
+@query("grf_07_hotspots_with_dependents_whole")
 @query("grf_07_hotspots_with_dependents", CLOSURE_SQL + """
     SELECT d.name AS base_entity, d.definition_type, count(DISTINCT r.source) AS dependent_count, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS dependents
-    FROM reach r JOIN xml_definitions d ON r.target = d.id JOIN xml_definitions s ON r.source = s.id GROUP BY d.id, d.name, d.definition_type ORDER BY dependent_count DESC, d.id LIMIT 25""")
-def hotspots_with_dependents(m: Model) -> DataFrame:
+    FROM reach r JOIN xml_definitions d ON r.target = d.id JOIN xml_definitions s ON r.source = s.id GROUP BY d.id, d.name, d.definition_type ORDER BY dependent_count DESC, d.id LIMIT 25""", depth=4)
+def hotspots_with_dependents(m: Model, depth: int = DEPTH) -> DataFrame:
     """The 25 entities most depended on, with their dependents."""
     defs = m.xml_definitions
-    reach = closure(m, None, 4)
+    reach = closure(m, None, depth)
     top = reach.groupBy("target").agg(F.countDistinct("source").alias("dependent_count")).orderBy(F.desc("dependent_count"), "target").limit(25)
     names = defs.select(F.col("id").alias("source"), F.col("name").alias("dependent"))
     lists = reach.join(F.broadcast(top), "target").join(names, "source").groupBy("target", "dependent_count").agg(csv(F.col("dependent")).alias("dependents"))
     return lists.join(defs, F.col("target") == F.col("id")).select(F.col("name").alias("base_entity"), "definition_type", "dependent_count", "dependents")
 
 
+@query("grf_08_dependency_stats_whole")
 @query("grf_08_dependency_stats", CLOSURE_SQL + """
     , a AS (SELECT source AS id, count(*) AS n, max(depth) AS depth FROM reach GROUP BY 1), b AS (SELECT target AS id, count(*) AS n FROM reach GROUP BY 1)
-    SELECT d.id, d.name, coalesce(a.n, 0) AS dependencies, coalesce(b.n, 0) AS dependents, coalesce(a.depth, 0) AS max_depth FROM xml_definitions d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE a.n IS NOT NULL OR b.n IS NOT NULL""")
-def dependency_stats(m: Model) -> DataFrame:
+    SELECT d.id, d.name, coalesce(a.n, 0) AS dependencies, coalesce(b.n, 0) AS dependents, coalesce(a.depth, 0) AS max_depth FROM xml_definitions d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE a.n IS NOT NULL OR b.n IS NOT NULL""", depth=4)
+def dependency_stats(m: Model, depth: int = DEPTH) -> DataFrame:
     """For each entity in some dependency: how many it needs, how many need it, how deep."""
-    reach = closure(m, None, 4)
+    reach = closure(m, None, depth)
     needs = reach.groupBy(F.col("source").alias("id")).agg(n().alias("dependencies"), F.max("depth").alias("max_depth"))
     needed = reach.groupBy(F.col("target").alias("id")).agg(n().alias("dependents"))
     both = needs.join(needed, "id", "full_outer").join(m.xml_definitions.select("id", "name"), "id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import REMOVALS, Model, csv, n, query, total, with_mod
-from .graph import CLOSURE_SQL, closure
+from .graph import CLOSURE_SQL, DEPTH, closure
 
 DEFS = ("id", "definition_type", "name")
 
@@ -28,13 +28,14 @@ def deleted_entity_referenced(m: Model) -> DataFrame:
     return gone.join(refs, ["target_type", "target_name"]).select("mod_id", "entity_id", F.col("target_name").alias("deleted_entity"), "deleter_mod", "ref_count")
 
 
+@query("cnf_16_h2_broken_inheritance_whole")
 @query("cnf_16_h2_broken_inheritance", CLOSURE_SQL + """
     SELECT DISTINCT m1.id AS mod1_id, m2.id AS mod2_id, t.target AS entity_id, dt.name AS parent_entity, ds.name AS child_entity, t.depth
     FROM ext t JOIN xml_definitions ds ON t.source = ds.id JOIN xml_definitions dt ON t.target = dt.id
     JOIN mod_xml_operations o1 ON o1.target_name = dt.name AND o1.target_type = dt.definition_type JOIN mod_xml_operations o2 ON o2.target_name = ds.name AND o2.target_type = ds.definition_type
     JOIN mods m1 ON o1.mod_id = m1.id JOIN mods m2 ON o2.mod_id = m2.id
-    WHERE m1.id <> m2.id AND t.depth > 1 AND t.depth <= 4 AND o1.operation IN ('set', 'remove') AND o1.property_name IS NOT NULL""")
-def broken_inheritance(m: Model, depth: int = 4) -> DataFrame:
+    WHERE m1.id <> m2.id AND t.depth > 1 AND t.depth <= 4 AND o1.operation IN ('set', 'remove') AND o1.property_name IS NOT NULL""", depth=4)
+def broken_inheritance(m: Model, depth: int = DEPTH) -> DataFrame:
     """One mod changes a parent's property, another touches a descendant more than one step below."""
     chain = closure(m, "extends", depth).filter("depth > 1")
     parents = _targets(m, m.mod_xml_operations.filter("operation in ('set', 'remove') and property_name is not null")).select(F.col("entity_id").alias("target"), F.col("target_name").alias("parent_entity"), F.col("mod_id").alias("mod1_id")).distinct()
@@ -105,11 +106,12 @@ def entity_class_conflict(m: Model) -> DataFrame:
     return both.selectExpr("a.mod_id as mod1_id", "b.mod_id as mod2_id", "entity_id", "target_name as entity_class", "property_name", "a.new_value as val1", "b.new_value as val2").distinct()
 
 
+@query("cnf_22_m1_transitive_property_override_whole")
 @query("cnf_22_m1_transitive_property_override", CLOSURE_SQL + """
     SELECT DISTINCT m.id AS mod1_id, m.id AS mod2_id, t.target AS entity_id, dp.name AS parent, dc.name AS child, o.property_name, t.depth
     FROM ext t JOIN xml_definitions dp ON t.target = dp.id JOIN xml_definitions dc ON t.source = dc.id JOIN mod_xml_operations o ON o.target_name = dp.name JOIN mods m ON o.mod_id = m.id
-    WHERE t.depth >= 2 AND t.depth <= 4 AND o.property_name IS NOT NULL ORDER BY 1, 3, 5, 6, 7 LIMIT 100""")
-def transitive_property_override(m: Model, depth: int = 4, limit: int | None = 100) -> DataFrame:
+    WHERE t.depth >= 2 AND t.depth <= 4 AND o.property_name IS NOT NULL ORDER BY 1, 3, 5, 6, 7 LIMIT 100""", depth=4)
+def transitive_property_override(m: Model, depth: int = DEPTH, limit: int | None = 100) -> DataFrame:
     """A property change of a parent reaches descendants two or more steps below; the first hundred by mod and entity."""
     chain = closure(m, "extends", depth).filter("depth >= 2")
     names = m.xml_definitions.select("id", "name")
@@ -138,12 +140,13 @@ def buff_chain_interference(m: Model, limit: int | None = 50) -> DataFrame:
     return out.orderBy("mod1_id", "mod2_id", "entity_id", "buff1").limit(limit) if limit else out
 
 
+@query("cnf_24_m3_shared_parent_whole")
 @query("cnf_24_m3_shared_parent", CLOSURE_SQL + """
     , dep AS (SELECT target, count(*) AS n FROM reach WHERE depth <= 4 GROUP BY 1)
     SELECT d.id AS entity_id, d.name AS parent_name, count(DISTINCT o.mod_id) AS mod_count, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS mods, coalesce(max(dep.n), 0) AS dependent_count
     FROM xml_definitions d JOIN mod_xml_operations o ON o.target_name = d.name AND o.target_type = d.definition_type JOIN mods m ON o.mod_id = m.id LEFT JOIN dep ON dep.target = d.id
-    WHERE d.extends IS NULL AND d.definition_type IN ('item', 'block', 'entity_class') GROUP BY d.id, d.name HAVING count(DISTINCT o.mod_id) >= 2 ORDER BY dependent_count DESC, entity_id LIMIT 50""")
-def shared_parent(m: Model, depth: int = 4, limit: int = 50) -> DataFrame:
+    WHERE d.extends IS NULL AND d.definition_type IN ('item', 'block', 'entity_class') GROUP BY d.id, d.name HAVING count(DISTINCT o.mod_id) >= 2 ORDER BY dependent_count DESC, entity_id LIMIT 50""", depth=4)
+def shared_parent(m: Model, depth: int = DEPTH, limit: int = 50) -> DataFrame:
     """Several mods change a root entity that others depend on."""
     roots = m.xml_definitions.filter("extends is null and definition_type in ('item', 'block', 'entity_class')").select(F.col("id").alias("entity_id"))
     rows = _targets(m, m.mod_xml_operations, mod="name").join(roots, "entity_id", "left_semi")
