@@ -59,6 +59,26 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(total / F.size(a))
 
 
+def capital_tokens(name: Column) -> Column:
+    """Lower-case parts of a name that begin at its capitals, of letters and digits only."""
+    parts = F.split(F.regexp_replace(name, r"[^\p{L}\p{Nd}]", ""), r"(?<=.)(?=\p{Lu})")
+    return F.filter(F.transform(parts, F.lower), lambda t: F.length(t) > 0)
+
+
+def spelling_score(a: Column, b: Column) -> Column:
+    """Edit similarity of two lower-case strings; 0.8 if one contains the other, 0.7 + 0.02 a character from a common prefix of four."""
+    edit = edit_similarity(a, b)
+    edit = F.when(F.contains(a, b) | F.contains(b, a), F.greatest(edit, F.lit(0.8))).otherwise(edit)
+    prefixed = (F.length(a) >= 4) & (F.substring(a, 1, 4) == F.substring(b, 1, 4))
+    return F.when(prefixed, F.greatest(edit, 0.7 + common_prefix(a, b) * 0.02)).otherwise(edit)
+
+
+def token_score(a: Column, b: Column) -> Column:
+    """Left tokens that contain a right one or lie in one, over the larger count."""
+    met = F.filter(a, lambda s: F.exists(b, lambda t: F.contains(t, s) | F.contains(s, t)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(met) / F.greatest(F.size(a), F.size(b)))
+
+
 def type_bonus(a: Column, b: Column) -> Column:
     """0.15 for equal type names, 0.05 where one contains the other."""
     a, b = F.lower(a), F.lower(b)

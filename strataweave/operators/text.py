@@ -135,28 +135,21 @@ def game_context(m: Model) -> DataFrame:
 
 
 def fuzzy_match(names: DataFrame, known: DataFrame, least: float = 0.4, top: int = 5) -> DataFrame:
-    """For each ``name`` the best ``top`` of ``known`` (known, kind): score of edits, affixes and tokens, at least ``least``.
+    """For each ``name`` the best ``top`` of ``known`` (known, kind) by the reference's score, at least ``least``.
 
-    A pair is scored if it shares a token, which anything of use does; so the join is by token, not of all with all.
+    Every name is scored against all that is known: 0.4 is so low that no shared token or q-gram is sure.
     """
-    a = names.select("name", F.explode(F.array_distinct(tx.name_tokens(F.col("name")))).alias("t"))
-    b = known.select("known", F.explode(F.array_distinct(tx.name_tokens(F.col("known")))).alias("t"))
-    pairs = a.join(b, "t").select("name", "known").distinct()
-    left, right = F.col("name"), F.col("known")
-    x, y = tx.name_tokens(left), tx.name_tokens(right)
-    edit = tx.edit_similarity(left, right)
-    edit = F.when(F.contains(F.lower(left), F.lower(right)) | F.contains(F.lower(right), F.lower(left)), F.greatest(edit, F.lit(0.8))).otherwise(edit)
-    score = F.round(F.greatest(edit, F.lit(0.6) * tx.token_similarity(x, y) + F.lit(0.4) * tx.jaccard(x, y)), 2)
-    order = Window.partitionBy("name").orderBy(F.desc("score"), "known")
-    ranked = pairs.withColumn("score", score).filter(F.col("score") >= least).withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.filter(F.col("rank") <= top)
+    side = lambda rows, c, p: rows.filter(F.col(c).isNotNull()).distinct().withColumns({f"{p}l": F.lower(c), f"{p}t": tx.capital_tokens(F.col(c))})
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = side(names.select("name"), "name", "n").repartition(parts, "name").crossJoin(F.broadcast(side(known.select("known", "kind"), "known", "k")))
+    score = F.greatest(tx.spelling_score(F.col("nl"), F.col("kl")), tx.token_score(F.col("nt"), F.col("kt")))
+    found = pairs.select("name", "known", "kind", score.alias("s")).filter(F.col("s") >= least).select("name", "known", "kind", F.bround("s", 2).alias("score"))
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "known", "kind")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
 
 
 @query("scl_17_fuzzy_match")
 def fuzzy_classes(m: Model) -> DataFrame:
-    """Distinct name stems that code depends on against the stems of definitions."""
-    stem = F.regexp_replace("name", r"_\d+$", "")
-    camel = lambda c: F.regexp_replace(c, r"^(small|large|red|blue|hot|cold)", "$1_")
-    known = m.xml_definitions.select(camel(stem).alias("known")).distinct()
-    wanted = m.csharp_deps.select(F.col("dependency_name").alias("name")).select(F.concat(camel(stem), F.lit("_old")).alias("name")).distinct()
-    return fuzzy_match(wanted, known)
+    """Distinct names that code depends on against the names of definitions."""
+    known = m.xml_definitions.select(F.col("name").alias("known"), F.col("definition_type").alias("kind"))
+    return fuzzy_match(m.csharp_deps.select(F.col("dependency_name").alias("name")), known)

@@ -1,9 +1,12 @@
 """Whole jobs of which a registered query with SQL does a part."""
 
+import re
+
 import pytest
 
 from strataweave.api import Engine
 from strataweave.model import REGISTRY, Model
+from strataweave.operators import text
 
 STEPS = 12
 
@@ -55,3 +58,40 @@ def test_closure_of_tables_equals_search(spark, sf_dir):
     m = Model(spark, sf_dir)
     edges = [(r["source"], r["target"]) for r in REGISTRY["grf_02_direct_edges"][0](m).collect()]
     assert {(r["source"], r["target"], r["depth"]) for r in REGISTRY["grf_04_transitive_closure_whole"][0](m).collect()} == reached(edges)
+
+
+def score_of(a, b):
+    """The reference's score, by its rule."""
+    x, y = a.lower(), b.lower()
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row, old = [i], row
+        for j, d in enumerate(y, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
+    best = 1 - row[-1] / max(len(x), len(y))
+    if x in y or y in x:
+        best = max(best, 0.8)
+    same = next((i for i, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+    if same >= 4:
+        best = max(best, 0.7 + same * 0.02)
+    s, t = ([w.lower() for w in re.findall("^[^A-Z]+|[A-Z][^A-Z]*", re.sub("[^A-Za-z0-9]", "", z))] for z in (a, b))
+    return max(best, sum(any(u in v or v in u for v in t) for u in s) / max(len(s), len(t)))
+
+
+def test_fuzzy_match_scores_all_pairs(spark):
+    names = ["pistl", "pistol", "concreteBlock", "zzz", "gunPistolT1", "ab_cd"]
+    known = ["pistol", "pistols", "bridgeConcreteBlock", "gunPistol", "pistolGrip", "meleeToolAxe", "abcd_9", "rifle"]
+    got = text.fuzzy_match(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x, "item") for x in known], "known string, kind string"))
+    rows = {(r["name"], r["known"]): r["score"] for r in got.collect()}
+    want = {}
+    for a in names:
+        all_ = sorted(((-round(score_of(a, b), 2), b) for b in known if score_of(a, b) >= 0.4))
+        want |= {(a, b): -s for s, b in all_[:5]}
+    assert rows == pytest.approx(want)
+    assert rows["pistl", "pistol"] == 0.83 and rows["pistol", "pistols"] >= 0.8
+
+
+def test_fuzzy_match_takes_full_names(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    best = {r["name"]: r for r in REGISTRY["scl_17_fuzzy_match"][0](m).filter("rank = 1").collect()}
+    assert {r["known"] for r in best.values()} == {r["dependency_name"] for r in m.csharp_deps.select("dependency_name").collect()}
