@@ -245,30 +245,32 @@ PAIRS_SQL = """
 
 
 def _pair_conflicts(m: Model) -> DataFrame:
-    h3 = conflicting_base_values(m).select(F.lit("H3").alias("pattern_id"), F.lit("high").alias("severity"), "mod1_id", "mod2_id")
-    return h3.unionByName(recipe_conflict(m).select(F.lit("H5").alias("pattern_id"), F.lit("high").alias("severity"), "mod1_id", "mod2_id"))
+    h3 = conflicting_base_values(m).select(F.lit("H3").alias("pattern_id"), F.lit("high").alias("severity"), "mod1_id", "mod2_id", "entity_id")
+    return h3.unionByName(recipe_conflict(m).select(F.lit("H5").alias("pattern_id"), F.lit("high").alias("severity"), "mod1_id", "mod2_id", "entity_id"))
 
 
-@query("cnf_29_persistable_conflicts", PAIRS_SQL + " SELECT pattern_id, count(*) AS n FROM c WHERE mod1_id IN (SELECT id FROM mods) AND mod2_id IN (SELECT id FROM mods) GROUP BY 1")
-def persistable_counts(m: Model) -> DataFrame:
-    """How many H3 and H5 conflicts the store would keep."""
-    kept = _pair_conflicts(m).withColumn("entity_id", F.lit(1).cast("long"))
-    return persistable(m, kept).groupBy("pattern_id").agg(n().alias("n"))
+@query("cnf_29_persistable_conflicts_whole")
+@query("cnf_29_persistable_conflicts", PAIRS_SQL + " SELECT pattern_id, count(*) AS n FROM c WHERE mod1_id IN (SELECT id FROM mods) AND mod2_id IN (SELECT id FROM mods) GROUP BY 1", source=_pair_conflicts)
+def persistable_counts(m: Model, source=indirect_conflicts) -> DataFrame:
+    """How many conflicts of each pattern the store would keep; the query with SQL counts H3 and H5 only."""
+    return persistable(m, source(m)).groupBy("pattern_id").agg(n().alias("n"))
 
 
-@query("cnf_30_conflict_summary", PAIRS_SQL + " SELECT severity, count(*) AS conflict_count, string_agg(DISTINCT pattern_id, ',' ORDER BY pattern_id) AS patterns_found FROM c GROUP BY 1")
-def conflict_summary(m: Model, conflicts: DataFrame | None = None) -> DataFrame:
-    rows = _pair_conflicts(m) if conflicts is None else conflicts
+@query("cnf_30_conflict_summary_whole")
+@query("cnf_30_conflict_summary", PAIRS_SQL + " SELECT severity, count(*) AS conflict_count, string_agg(DISTINCT pattern_id, ',' ORDER BY pattern_id) AS patterns_found FROM c GROUP BY 1", source=_pair_conflicts)
+def conflict_summary(m: Model, conflicts: DataFrame | None = None, source=indirect_conflicts) -> DataFrame:
+    rows = source(m) if conflicts is None else conflicts
     return rows.groupBy("severity").agg(n().alias("conflict_count"), csv(F.col("pattern_id")).alias("patterns_found"))
 
 
+@query("cnf_30_mod_interaction_matrix_whole")
 @query("cnf_30_mod_interaction_matrix", PAIRS_SQL + """
     SELECT m1.name AS mod1_name, m2.name AS mod2_name, count(*) AS interaction_count, CAST(sum(CASE WHEN severity = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS high_count,
       CAST(sum(CASE WHEN severity = 'medium' THEN 1 ELSE 0 END) AS BIGINT) AS medium_count, CAST(sum(CASE WHEN severity = 'low' THEN 1 ELSE 0 END) AS BIGINT) AS low_count
-    FROM c JOIN mods m1 ON mod1_id = m1.id JOIN mods m2 ON mod2_id = m2.id GROUP BY mod1_id, mod2_id, m1.name, m2.name""")
-def mod_interaction_matrix(m: Model, conflicts: DataFrame | None = None) -> DataFrame:
+    FROM c JOIN mods m1 ON mod1_id = m1.id JOIN mods m2 ON mod2_id = m2.id GROUP BY mod1_id, mod2_id, m1.name, m2.name""", source=_pair_conflicts)
+def mod_interaction_matrix(m: Model, conflicts: DataFrame | None = None, source=indirect_conflicts) -> DataFrame:
     """Which pairs of mods meet how often."""
-    rows = _pair_conflicts(m) if conflicts is None else conflicts
+    rows = source(m) if conflicts is None else conflicts
     level = F.col("severity")
     grouped = rows.groupBy("mod1_id", "mod2_id").agg(n().alias("interaction_count"), total(level == "high").alias("high_count"), total(level == "medium").alias("medium_count"), total(level == "low").alias("low_count"))
     names = m.mods.select("id", "name")

@@ -3,20 +3,20 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataweave.api import Engine
 from strataweave.model import REGISTRY, Model
-from strataweave.operators import text
+from strataweave.operators import indirect, text
 
 STEPS = 12
 
 
-@pytest.fixture(scope="module")
-def chain(spark):
+def chain_of(spark, steps):
     """Item 1 is extended by 2, 2 by 3 and so on; two mods set a property of each."""
-    defs = [(i, "item", f"i{i}", f"i{i - 1}" if i > 1 else None) for i in range(1, STEPS + 1)]
-    refs = spark.createDataFrame([], "source_def_id long, target_type string, target_name string, reference_context string")
-    ops = [(i * 2 + k, k + 1, "set", "item", f"i{i}", "p", str(k)) for i in range(1, STEPS + 1) for k in (0, 1)]
+    defs = [(i, "item", f"i{i}", f"i{i - 1}" if i > 1 else None) for i in range(1, steps + 1)]
+    refs = spark.createDataFrame([], "id long, source_def_id long, target_type string, target_name string, reference_context string")
+    ops = [(i * 2 + k, k + 1, "set", "item", f"i{i}", "p", str(k)) for i in range(1, steps + 1) for k in (0, 1)]
     return Model(spark, tables={
         "xml_definitions": spark.createDataFrame(defs, "id long, definition_type string, name string, extends string"), "xml_references": refs,
         "mods": spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string"),
@@ -24,6 +24,11 @@ def chain(spark):
     })
 
 
+@pytest.fixture(scope="module")
+def chain(spark):
+    return chain_of(spark, STEPS)
+
+
 def reached(edges, depth=10):
     """source, target, depth by breadth-first search."""
     out = set()
@@ -95,3 +100,15 @@ def test_fuzzy_match_takes_full_names(spark, sf_dir):
     m = Model(spark, sf_dir)
     best = {r["name"]: r for r in REGISTRY["scl_17_fuzzy_match"][0](m).filter("rank = 1").collect()}
     assert {r["known"] for r in best.values()} == {r["dependency_name"] for r in m.csharp_deps.select("dependency_name").collect()}
+
+
+def test_summaries_take_all_patterns(spark):
+    """H2, H3, M1 and M3 meet in the chain; of these only pairs of mods can be stored."""
+    m = chain_of(spark, 3)
+    summary = {r["severity"]: r["patterns_found"].split(",") for r in REGISTRY["cnf_30_conflict_summary_whole"][0](m).collect()}
+    assert summary == {"high": ["H2", "H3"], "medium": ["M1", "M3"]}
+    kept = {r["pattern_id"]: r["n"] for r in REGISTRY["cnf_29_persistable_conflicts_whole"][0](m).collect()}
+    assert set(kept) == {"H2", "H3", "M1"} and kept["H3"] == 3
+    rows = {(r["mod1_name"], r["mod2_name"]): r for r in REGISTRY["cnf_30_mod_interaction_matrix_whole"][0](m).collect()}
+    assert rows["A", "A"]["medium_count"] > 0 and rows["B", "A"]["high_count"] > 0
+    assert indirect.persistable(m, indirect._pair_conflicts(m).withColumn("entity_id", F.lit(-1).cast("long"))).isEmpty()
