@@ -112,3 +112,15 @@ def test_summaries_take_all_patterns(spark):
     rows = {(r["mod1_name"], r["mod2_name"]): r for r in REGISTRY["cnf_30_mod_interaction_matrix_whole"][0](m).collect()}
     assert rows["A", "A"]["medium_count"] > 0 and rows["B", "A"]["high_count"] > 0
     assert indirect.persistable(m, indirect._pair_conflicts(m).withColumn("entity_id", F.lit(-1).cast("long"))).isEmpty()
+
+
+def test_sorts_keep_all_rows(spark):
+    ids = spark.range(1, 701)
+    m = Model(spark, tables={
+        "xml_definitions": ids.selectExpr("id", "'item' as definition_type", "lpad(701 - id, 4, '0') as name"), "xml_references": ids.selectExpr("id % 7 + 1 as source_def_id"),
+        "game_code_analysis": ids.selectExpr("id", "case when id % 2 = 0 then 'BUG' else 'INFO' end as severity"),
+    })
+    run = lambda name: [tuple(r) for r in REGISTRY[name][0](m).collect()]
+    assert run("srt_01_multi_key_sort_whole") == [("item", f"{i:04}") for i in range(1, 701)]
+    assert run("srt_02_ranked_severities_whole") == [(i, "BUG") for i in range(2, 701, 2)] + [(i, "INFO") for i in range(1, 701, 2)]
+    assert run("srt_05_sort_by_subquery_whole") == [(i, 100 if i <= 7 else 0) for i in range(1, 701)]
