@@ -65,6 +65,12 @@ VIEWS: dict[str, str] = {
                concat('src', CAST(o_orderkey % 50 AS STRING), '.cs') AS source_file, o_orderkey % 400 AS line_number
         FROM orders CROSS JOIN (SELECT count(*) AS np FROM part) cp CROSS JOIN (SELECT count(*) AS ns FROM supplier) cs
         JOIN xml_definitions d ON d.id = o_orderkey * 3 % np + 1 WHERE o_orderkey % 4 = 0""",
+    "csharp_deps_whole": """
+        SELECT o_orderkey + 1 AS id, o_custkey % ns + 1 AS mod_id,
+               elt5(o_orderkey, 'item', 'harmony_class', 'buff', 'extends_class', 'entity_class') AS dependency_type, d.name AS dependency_name,
+               concat('src', CAST(o_orderkey % 50 AS STRING), '.cs') AS source_file, o_orderkey % 400 AS line_number
+        FROM orders CROSS JOIN (SELECT count(*) AS np FROM part) cp CROSS JOIN (SELECT count(*) AS ns FROM supplier) cs
+        JOIN xml_definitions d ON d.id = o_orderkey * 3 % np + 1""",
     "harmony_patches": """
         SELECT l_orderkey + 1 AS id, l_suppkey + 1 AS mod_id, concat('Patch', CAST(l_orderkey % 97 AS STRING)) AS patch_class,
                concat('Class', CAST(l_partkey % 50 AS STRING)) AS target_class, concat('M', CAST(l_orderkey % 20 AS STRING)) AS target_method,

@@ -98,8 +98,8 @@ def test_fuzzy_match_scores_all_pairs(spark):
 
 def test_fuzzy_match_takes_full_names(spark, sf_dir):
     m = Model(spark, sf_dir)
-    best = {r["name"]: r for r in REGISTRY["scl_17_fuzzy_match"][0](m).filter("rank = 1").collect()}
-    assert {r["known"] for r in best.values()} == {r["dependency_name"] for r in m.csharp_deps.select("dependency_name").collect()}
+    best = {r["name"]: r["score"] for r in REGISTRY["scl_17_fuzzy_match"][0](m).filter("rank = 1").collect()}
+    assert min(best.values()) >= 1 and set(best) == {r["dependency_name"] for r in m.csharp_deps_whole.select("dependency_name").collect()}
 
 
 def test_summaries_take_all_patterns(spark):
@@ -124,3 +124,9 @@ def test_sorts_keep_all_rows(spark):
     assert run("srt_01_multi_key_sort_whole") == [("item", f"{i:04}") for i in range(1, 701)]
     assert run("srt_02_ranked_severities_whole") == [(i, "BUG") for i in range(2, 701, 2)] + [(i, "INFO") for i in range(1, 701, 2)]
     assert run("srt_05_sort_by_subquery_whole") == [(i, 100 if i <= 7 else 0) for i in range(1, 701)]
+
+
+def test_dependencies_of_all_orders(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    assert m.csharp_deps_whole.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert sum(r["n"] for r in REGISTRY["cnf_49_code_rollup_whole"][0](m).collect()) == m.csharp_deps_whole.count()
