@@ -130,3 +130,9 @@ def test_dependencies_of_all_orders(spark, sf_dir):
     m = Model(spark, sf_dir)
     assert m.csharp_deps_whole.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     assert sum(r["n"] for r in REGISTRY["cnf_49_code_rollup_whole"][0](m).collect()) == m.csharp_deps_whole.count()
+
+
+def test_index_holds_all_terms(spark):
+    m = Model(spark, tables={"method_bodies": spark.createDataFrame([(1, "Guns and a gun, 7 zebras"), (2, "zebra"), (3, ""), (4, None)], "method_id long, body string")})
+    rows = {(r["method_id"], r["term"]): (r["tf"], r["doc_length"]) for r in REGISTRY["flt_06_postings_whole"][0](m).collect()}
+    assert rows == {(1, "gun"): (2, 6), (1, "and"): (1, 6), (1, "a"): (1, 6), (1, "7"): (1, 6), (1, "zebra"): (1, 6), (2, "zebra"): (1, 1)}
