@@ -133,6 +133,12 @@ def missing_scores(m: Model, scored: DataFrame, force: bool = False) -> DataFram
     return rows if force else rows.join(scored.select("id"), "id", "left_anti")
 
 
+@query("inc_07_score_only_missing_whole")
+def relevance_of_missing(m: Model) -> DataFrame:
+    """Relevance scores of findings not scored before; bugs stand for those that were."""
+    return missing_scores(m, m.game_code_analysis.filter("severity = 'BUG'"))
+
+
 @query("inc_07_score_only_missing", f"""
     WITH p AS (SELECT id, {PENALTY_SQL} AS penalty FROM game_code_analysis) SELECT p.id, p.penalty FROM p LEFT JOIN (SELECT id FROM game_code_analysis WHERE severity = 'BUG') s ON s.id = p.id WHERE s.id IS NULL""")
 def score_only_missing(m: Model) -> DataFrame:
@@ -151,6 +157,13 @@ def scored_findings(m: Model) -> DataFrame:
     return rows.select("id", "severity", F.coalesce("penalty", F.lit(0)).alias("score")).orderBy(F.desc("score"), "severity", "id")
 
 
+@query("cod_32_scored_findings_whole")
+def findings_by_relevance(m: Model) -> DataFrame:
+    """All findings with their relevance score, the best first."""
+    rows = m.game_code_analysis.select("id", "severity").join(relevance_scores(m).withColumnRenamed("total_score", "score"), "id", "left")
+    return rows.select("id", "severity", F.coalesce("score", F.lit(0)).alias("score")).orderBy(F.desc("score"), "severity", "id")
+
+
 @query("cod_33_types_with_findings", """
     SELECT t.id, count(g.id) AS findings FROM types t LEFT JOIN (SELECT DISTINCT id, class_name AS c FROM game_code_analysis UNION SELECT DISTINCT id, replace(method_name, 'M', 'Type') FROM game_code_analysis) g ON g.c = t.name GROUP BY 1""")
 def types_with_findings(m: Model) -> DataFrame:

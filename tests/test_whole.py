@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.api import Engine
 from strataweave.model import REGISTRY, Model
-from strataweave.operators import indirect, text
+from strataweave.operators import indirect, patches, relevance, text
 
 STEPS = 12
 
@@ -136,3 +136,14 @@ def test_index_holds_all_terms(spark):
     m = Model(spark, tables={"method_bodies": spark.createDataFrame([(1, "Guns and a gun, 7 zebras"), (2, "zebra"), (3, ""), (4, None)], "method_id long, body string")})
     rows = {(r["method_id"], r["term"]): (r["tf"], r["doc_length"]) for r in REGISTRY["flt_06_postings_whole"][0](m).collect()}
     assert rows == {(1, "gun"): (2, 6), (1, "and"): (1, 6), (1, "a"): (1, 6), (1, "7"): (1, 6), (1, "zebra"): (1, 6), (2, "zebra"): (1, 1)}
+
+
+def test_scores_and_kinds_are_whole(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    score = {r["id"]: r["total_score"] for r in relevance.relevance_scores(m).collect()}
+    grave = {r["id"] for r in m.game_code_analysis.filter("severity = 'BUG'").collect()}
+    assert {r["id"]: r["total_score"] for r in REGISTRY["inc_07_score_only_missing_whole"][0](m).collect()} == {k: v for k, v in score.items() if k not in grave}
+    rows = REGISTRY["cod_32_scored_findings_whole"][0](m).collect()
+    assert {r["id"]: r["score"] for r in rows} == score and [r["score"] for r in rows] == sorted(score.values(), reverse=True)
+    counts = REGISTRY["cnf_38_harmony_conflicts_whole"][0](m).collect()
+    assert len({r["conflict_type"] for r in counts}) > 2 and sum(r["n"] for r in counts) == patches.harmony_conflicts(m).count()
