@@ -38,6 +38,12 @@ def utf8_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(1)).cast("long")
 
 
+def tasks_for(df: DataFrame, task_bytes: int) -> int:
+    """Tasks for ``df`` at ``task_bytes`` of stored input each, by Catalyst's estimate; the session's number at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes) if size < 1 << 60 else 0)
+
+
 def slices(texts: list[str], chars: int = 3_000_000):
     """(from, to) of runs of ``texts`` that hold about ``chars`` characters: bounds what one step holds in memory."""
     begin, held = 0, 0

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import bytescan
-from .common import cut, documents, table
+from .common import cut, documents, table, tasks_for
 from .components import components
 
 PERCENT = 80
@@ -385,15 +385,10 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield _batch(out, ["a", "b", "links"], [pa.int64(), pa.int64(), pa.int64()])
 
 
-def _tasks(df: DataFrame, task_bytes: int = 8 << 20) -> int:
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // task_bytes if size < 1 << 60 else 0)
-
-
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, n_links (other documents linked, copies included)."""
     shared_dir(docs.sparkSession)
-    tasks = _tasks(docs)
+    tasks = tasks_for(docs, 8 << 20)
     bits = min(15, (tasks - 1).bit_length() + 1)
     source = documents(docs)
     raw = source.mapInArrow(lambda it: _scan(it, percent, bits), RAW).repartition(tasks, "bucket")
