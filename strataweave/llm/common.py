@@ -29,6 +29,15 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names of our own for ``names`` that none of ``taken`` equals, whatever its case."""
+    held = {c.lower() for c in taken}
+    tail = ""
+    while any(f"__{n}{tail}" in held for n in names):
+        tail += "_"
+    return [f"__{n}{tail}" for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

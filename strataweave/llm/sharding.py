@@ -1,134 +1,150 @@
 """Histogram sort: exact splitters from counted histograms, then one exchange (law ``bytes``).
 
-Splitters are found before any row moves. Each round counts, exactly and over all partitions, the bytes and rows
-below evenly spaced candidate boundaries inside every interval that may still hold a splitter; the interval shrinks
-to one histogram cell, and a splitter is settled when its bytes lie within ``tolerance`` of the wanted share or when
-the cell holds a single key. A key that alone outweighs the tolerance (a hot document id) is split by a second key, a
-hash of the text, with the same rounds. Then one range exchange by (shard, key) sorts the rows; each task's rows
-are numbered where they lie, and the per-task counts (one row a task) turn those into gapless slots.
+Rows are ordered by (key, hash of the text, place in the input), so that neither a hot key nor many equal rows make a
+stretch that cannot be cut. Splitters are found before any row moves. Each round counts, exactly and over all partitions,
+the bytes below evenly spaced probes inside every interval that still holds an unsettled splitter; an interval shrinks to
+the histogram cell its splitter falls in. A splitter is settled when the bytes below a probe lie within tolerance of what is
+wanted. An interval that has shrunk to a single value of the key goes on over the hash, then over the place. Splitters
+of shards are tight; between them lie loose ones that cut a shard into stretches of ``task_bytes``. Then one exchange by
+stretch number sorts the rows: each task's rows are numbered where they lie, and the per-task counts (one row a task)
+turn those into gapless slots.
 
-Only DataFrame functions run here; the driver sees at most ``CELLS`` rows an interval and one row a task.
+Only DataFrame functions run here; the driver sees at most ``PROBES`` rows a round and one row a task.
 
 Defined results: a null text has no bytes (size 1); a null key sorts first; rows equal in key and text are
-interchangeable and stay in one shard; an empty table gives an empty result; extra columns are carried along.
+interchangeable and are cut like any others; an empty table gives an empty result; extra columns are carried along, but
+``size``, ``shard`` and ``slot`` of the input give way to those found here. The place is where a row was read, so ``docs``
+should be a stored table: over one that comes out of a shuffle, shards stay whole but may miss the tolerance.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, utf8_size
+from .common import cut, fresh, new_folder, utf8_size
 
-#: Cells that one round counts inside one open interval.
-CELLS = 256
+#: Bits of one histogram level: an interval is cut into at most 2 ** BITS cells a round.
+BITS = 8
+#: Cells that one round counts in all open intervals together.
+PROBES = 1 << 18
 LOW, HIGH = -(2**63), 2**63 - 1
+ORDER = ("key", "tie", "place")
 
 
 @dataclass
 class Splitter:
-    """Rows with (key, tie) below (key, tie) of the splitter go to the shards before it."""
+    """``want`` bytes should lie below it, ``slack`` fewer at most. Until ``bound`` is settled it lies among the rows whose
+    first order columns equal ``prefix`` and whose next one shares the bits above the last ``bits`` with ``lo``."""
 
     want: int
+    slack: int
     lo: int
-    hi: int
-    below_bytes: int = 0
-    below_rows: int = 0
-    key: int | None = None
-    tie: int = LOW
-    done: bool = False
-
-
-def _cell(value: Column, lo: int, step: int) -> Column:
-    # Doubles or longs would lose or overflow on 64-bit keys, decimals do neither.
-    wide = value.cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
-    return F.floor(wide / F.lit(step).cast("decimal(20,0)")).cast("int") if step > 1 else wide.cast("int")
-
-
-def _histogram(rows: DataFrame, column: str, spans: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    """For each disjoint span (lo, hi, step): its non-empty cells as (cell, bytes, rows)."""
-    which = F.lit(None).cast("int")
-    cell = F.lit(None).cast("int")
-    for i, (lo, hi, step) in enumerate(spans):
-        inside = F.col(column).between(F.lit(lo), F.lit(hi))
-        which, cell = F.when(inside, F.lit(i)).otherwise(which), F.when(inside, _cell(F.col(column), lo, step)).otherwise(cell)
-    counted = (
-        rows.select(which.alias("span"), cell.alias("cell"), "size").filter("span is not null")
-        .groupBy("span", "cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    )
-    out: dict[int, list[tuple[int, int, int]]] = {i: [] for i in range(len(spans))}
-    for r in counted.collect():  # at most CELLS rows a span
-        out[r["span"]].append((r["cell"], r["bytes"], r["rows"]))
-    return {i: sorted(x) for i, x in out.items()}
+    bits: int
+    below: int = 0
+    prefix: tuple[int, ...] = ()
+    bound: tuple[int, int, int] | None = None
+    cells: list = field(default_factory=list, repr=False)
 
+    def span(self) -> tuple:
+        return (*self.prefix, self.lo), self.bits
 
-def _refine(rows: DataFrame, column: str, open_: list[Splitter], slack: int, settle) -> None:
-    """Shrink the intervals of ``open_`` until each splitter is settled."""
-    while todo := [s for s in open_ if not s.done]:
-        spans = sorted({(s.lo, s.hi) for s in todo})
-        spans = [(lo, hi, max(1, -(-(hi - lo + 1) // CELLS))) for lo, hi in spans]
-        cells = dict(zip([x[:2] for x in spans], _histogram(rows, column, spans).values(), strict=True))
-        for s in todo:
-            lo, hi = s.lo, s.hi
-            step = max(1, -(-(hi - lo + 1) // CELLS))
-            for cell, n_bytes, n_rows in cells[lo, hi]:
-                if s.below_bytes + n_bytes <= s.want:
-                    s.below_bytes, s.below_rows = s.below_bytes + n_bytes, s.below_rows + n_rows
-                    continue
-                s.lo, s.hi = lo + cell * step, min(hi, lo + (cell + 1) * step - 1)
-                if s.want - s.below_bytes <= slack:
-                    s.done, s.hi = True, s.lo
-                    settle(s, s.lo, None)
-                elif step == 1:
-                    s.done = True
-                    settle(s, s.lo, (n_bytes, n_rows))
-                break
-            else:  # all of it lies below
-                s.done = True
-                settle(s, hi, None, past=True)
-
-
-def find_splitters(rows: DataFrame, n_shards: int, tolerance: float) -> tuple[list[Splitter], int, int]:
-    """Exact splitters of ``rows`` (key long, tie long, size long); total bytes and rows."""
+
+def _filled(values: tuple[int, ...], by: int) -> tuple[int, int, int]:
+    return (*values, *[by] * (len(ORDER) - len(values)))
+
+
+def block(lo: int, hi: int) -> tuple[int, int]:
+    """(start, bits) of the smallest aligned block of 64-bit values that holds lo to hi."""
+    a, b = lo - LOW, hi - LOW
+    bits = (a ^ b).bit_length()
+    return (a >> bits << bits) + LOW, bits
+
+
+def position(bounds: list[tuple[int, ...]], row: Column, like: str) -> Column:
+    """How many of the sorted ``bounds`` (structs of the DDL type ``like``) are at most ``row``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    names = [x.split(":")[0].strip() for x in like.removeprefix("struct<").rstrip(">").split(",")]
+    held = F.from_json(F.lit(json.dumps([dict(zip(names, b, strict=True)) for b in bounds])), f"array<{like}>")
+
+    def step(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        right = F.get(held, mid) <= row
+        return F.when(at["lo"] >= at["hi"], at).when(right, F.struct((mid + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), mid.alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda at: at["lo"])
+
+
+ROW = "struct<key: bigint, tie: bigint, place: bigint>"
+
+
+def _row(*columns: str) -> Column:
+    return F.struct(*(F.col(c).alias(n) for c, n in zip(columns, ORDER, strict=True)))
+
+
+def _histogram(rows: DataFrame, spans: list[tuple], shift: list[int]) -> list[list[tuple[int, int, int]]]:
+    """For each of the disjoint sorted spans its non-empty cells as (cell, bytes, rows)."""
+    starts = [_filled(values, LOW) for values, _ in spans]
+    ends = [_filled((*values[:-1], values[-1] + (1 << bits) - 1), HIGH) for values, bits in spans]
+    of = F.from_json(F.lit(json.dumps([{"level": len(v) - 1, "mask": (1 << min(bits - s, 62)) - 1, "shift": s, "end": dict(zip(ORDER, e, strict=True))} for (v, bits), s, e in zip(spans, shift, ends, strict=True)])), f"array<struct<level: int, mask: bigint, shift: int, end: {ROW}>>")
+    found = rows.select((position(starts, _row(*ORDER), ROW) - 1).alias("span"), *ORDER, "size").filter("span >= 0").withColumn("of", F.get(of, F.col("span")))
+    value = F.when(F.col("of.level") == 0, F.col("key")).when(F.col("of.level") == 1, F.col("tie")).otherwise(F.col("place"))
+    # An aligned block: the cell is a run of bits of the value, its sign bit turned so that order is unsigned.
+    cell = F.call_function("shiftrightunsigned", value.bitwiseXOR(F.lit(LOW)), F.col("of.shift")).bitwiseAND(F.col("of.mask"))
+    counted = (
+        found.filter(_row(*ORDER) <= F.col("of.end")).groupBy("span", cell.cast("int").alias("cell")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    )
+    out: list[list[tuple[int, int, int]]] = [[] for _ in spans]
+    for r in counted.collect():  # at most PROBES rows
+        out[r["span"]].append((r["cell"], r["bytes"], r["rows"]))
+    return [sorted(x) for x in out]
+
+
+def _advance(s: Splitter, cells: list[tuple[int, int, int]], shift: int) -> None:
+    """Move ``s`` into the cell it falls in, or settle it."""
+    for cell, n_bytes, n_rows in cells:
+        if s.below + n_bytes <= s.want:
+            s.below += n_bytes
+            continue
+        s.lo, s.bits = s.lo + (cell << shift), shift
+        if s.want - s.below <= s.slack:
+            s.bound = _filled((*s.prefix, s.lo), LOW)
+        elif shift == 0 and n_rows > 1 and len(s.prefix) + 1 < len(ORDER):
+            s.prefix, s.lo, s.bits = (*s.prefix, s.lo), LOW, 64
+        elif shift == 0:  # one row: the nearer side
+            past = s.want - s.below > n_bytes / 2
+            s.below += n_bytes if past else 0
+            s.bound = _filled((*s.prefix, s.lo + 1 if past and s.lo < HIGH else s.lo), LOW)
+        return
+    s.bound = _filled((*s.prefix, min(HIGH, s.lo + (1 << s.bits) - 1)), HIGH)  # all of it lies below
+
+
+def find_splitters(rows: DataFrame, n_shards: int, tolerance: float, stretches: int = 1) -> tuple[list[Splitter], int, int]:
+    """Exact splitters of ``rows`` (key, tie, place, size: long) at every ``stretches``-th place; total bytes and rows."""
     total = rows.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     if not total["n"]:
         return [], 0, 0
-    slack = int(total["b"] / n_shards * tolerance)
-    found = [Splitter(total["b"] * i // n_shards, total["lo"], total["hi"]) for i in range(1, n_shards)]
-    heavy: list[Splitter] = []
-
-    def by_key(s: Splitter, key: int, alone: tuple[int, int] | None, past: bool = False) -> None:
-        s.key = key
-        if past:
-            s.tie = HIGH
-        elif alone and alone[0] > max(slack, 1) and alone[1] > 1:
-            heavy.append(s)
-        elif alone and s.want - s.below_bytes > alone[0] / 2:  # the key lies nearer below than above
-            s.below_bytes, s.below_rows, s.tie = s.below_bytes + alone[0], s.below_rows + alone[1], HIGH
-
-    _refine(rows, "key", found, slack, by_key)
-
-    def by_tie(s: Splitter, tie: int, alone: tuple[int, int] | None, past: bool = False) -> None:
-        s.tie = HIGH if past else tie
-        if alone and s.want - s.below_bytes > alone[0] / 2:
-            s.below_bytes, s.below_rows, s.tie = s.below_bytes + alone[0], s.below_rows + alone[1], min(HIGH, tie + 1)
-
-    for key in {s.key for s in heavy}:
-        own = [s for s in heavy if s.key == key]
-        for s in own:
-            s.lo, s.hi, s.done = LOW, HIGH, False
-        _refine(rows.filter(F.col("key") == F.lit(key)), "tie", own, slack, by_tie)
+    parts = n_shards * stretches
+    tight, loose = int(total["b"] / n_shards * tolerance), total["b"] // parts // 2
+    lo, bits = block(total["lo"], total["hi"])
+    found = [Splitter(total["b"] * i // parts, loose if i % stretches else tight, lo, bits) for i in range(1, parts)]
+    while todo := [s for s in found if s.bound is None]:
+        spans = sorted({s.span() for s in todo})
+        cells_bits = max(1, min(BITS, (PROBES // len(spans)).bit_length() - 1))
+        shift = [max(0, bits - cells_bits) for _, bits in spans]
+        cells = dict(zip(spans, zip(_histogram(rows, spans, shift), shift, strict=True), strict=True))
+        for s in todo:
+            _advance(s, *cells[s.span()])
     return found, total["b"], total["n"]
 
 
-def shard_of(found: list[Splitter]) -> Column:
-    out = F.lit(0)
-    for s in found:
-        below = (F.col("__key") < F.lit(s.key)) | ((F.col("__key") == F.lit(s.key)) & (F.col("__tie") < F.lit(s.tie)))
-        out = out + F.when(below, 0).otherwise(1)
-    return out.cast("int")
+#: Stretches that the search for splitters places; beyond, a task gets more bytes and its sort spills.
+MOST_STRETCHES = 32_768
 
 
 def histogram_sort(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", n_shards: int = 8, tolerance: float = 0.0005, task_bytes: int = 64 << 20) -> DataFrame:
@@ -138,41 +154,46 @@ def histogram_sort(docs: DataFrame, path: str | None = None, key: str = "doc_id"
     """
     spark = docs.sparkSession
     path = path or new_folder(spark, "shards")
-    clash = [c for c in docs.columns if c in ("size", "shard", "slot", "__key", "__tie", "__part", "__pos")]
-    keyed = (
-        docs.drop(*clash)
-        .withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(LOW)))
-        .withColumn("__tie", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("size", utf8_size(F.col(text)))
-    )
-    narrow = cut(keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), "size"))
-    found, n_bytes, n_rows = find_splitters(narrow, n_shards, tolerance)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shards, -(-n_bytes // task_bytes))
+    own = docs.drop(*(c for c in ("size", "shard", "slot") if c not in (key, text)))
+    k, t, p, part, pos, to = fresh(docs.columns, "key", "tie", "place", "part", "pos", "to")
+    keyed = own.select(
+        "*", F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias(k), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(t),
+        F.monotonically_increasing_id().alias(p), utf8_size(F.col(text).cast("string")).alias("size"),
+    )
+    narrow = cut(keyed.select(F.col(k).alias("key"), F.col(t).alias("tie"), F.col(p).alias("place"), "size"))
+    n_bytes = narrow.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // task_bytes))
+    stretches = max(1, min(MOST_STRETCHES // n_shards, -(-tasks // n_shards)))
+    found, _, _ = find_splitters(narrow, n_shards, tolerance, stretches)
+    row = _row(k, t, p)
+    bounds = sorted(s.bound for s in found)
+    shards = sorted(s.bound for i, s in enumerate(found, 1) if i % stretches == 0)
     place = F.monotonically_increasing_id()
     sorted_ = (
-        keyed.withColumn("shard", shard_of(found))
-        .repartitionByRange(tasks, "__key", "__tie").sortWithinPartitions("shard", "__key", "__tie")
-        .withColumn("__part", F.shiftright(place, 33)).withColumn("__pos", place.bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("__key", "__tie")
+        keyed.select("*", position(shards, row, ROW).alias("shard"), position(bounds, row, ROW).alias(to))
+        .repartitionById(n_shards * stretches, to).sortWithinPartitions("shard", k, t, p)
+        .withColumn(part, F.shiftright(place, 33)).withColumn(pos, place.bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop(k, t, p, to)
     )
     sorted_.write.partitionBy("shard").parquet(path)
-    return read_shards(spark, path, sorted_.schema, tasks)
+    return read_shards(spark, path, sorted_.schema, n_shards * stretches, part, pos)
 
 
 #: Exchange tasks up to which their counts (24 bytes a task and shard) are broadcast; beyond, they are joined.
 BROADCAST_TASKS = 200_000
 
 
-def read_shards(spark, path: str, schema, tasks: int) -> DataFrame:
-    """The shards below ``path``, written by ``tasks`` tasks, with their slots."""
+def read_shards(spark, path: str, schema, tasks: int, part: str, pos: str) -> DataFrame:
+    """The shards below ``path``, written by ``tasks`` tasks, with their slots; part, pos: where a task put a row."""
     files = spark.read.schema(schema).parquet(path)
     # A task wrote consecutive rows of the order, so a slot is the rows of the shard in earlier tasks plus the distance
     # from the task's first row in this shard. One row for each task and shard is summed here.
-    counts = files.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
-    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("shard", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__base"))
+    n, first, base = fresh(schema.names, "n", "first", "base")
+    counts = files.groupBy("shard", part).agg(F.count(F.lit(1)).alias(n), F.min(pos).alias(first))
+    before = F.sum(n).over(Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("shard", part, (F.coalesce(before, F.lit(0)) - F.col(first)).alias(base))
     bases = F.broadcast(bases) if tasks <= BROADCAST_TASKS else bases
-    return files.join(bases, ["shard", "__part"]).withColumn("slot", F.col("__pos") + F.col("__base")).drop("__part", "__pos", "__base")
+    return files.join(bases, ["shard", part]).withColumn("slot", F.col(pos) + F.col(base)).drop(part, pos, base)
 
 
 def op8_histogram_sort(spark, sf_dir: str) -> DataFrame:

@@ -43,3 +43,34 @@ def test_odd_rows(spark):
     assert sh.histogram_sort(odd_documents(spark).limit(0)).count() == 0
     null_key = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
     assert sh.histogram_sort(null_key, n_shards=2).count() == 2
+
+
+def test_equal_rows_are_cut(spark):
+    docs = spark.range(800).selectExpr("5L as doc_id", "'same text' as text", "id as __key", "'x' as shard").repartition(3)
+    rows = sh.histogram_sort(docs).collect()
+    assert sorted(r["__key"] for r in rows) == list(range(800))
+    laws([(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in rows], 8, 10)
+
+
+def test_a_third_of_rows_equal(spark):
+    docs = spark.range(6000).selectExpr("if(id % 3 = 0, 1000L, id) as doc_id", "if(id % 3 = 0, 'copy', concat('text ', id)) as text").repartition(6)
+    rows = sh.histogram_sort(docs).collect()
+    laws([(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in rows], 8, 60)
+
+
+def test_splitters_match_a_sorted_list(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([3, 3, rng.randrange(-(2**63), 2**63)]), rng.choice([1, rng.randrange(-(2**63), 2**63)]), i, rng.randrange(1, 50)) for i in range(2000)]
+    found, total, n = sh.find_splitters(spark.createDataFrame(rows, "key long, tie long, place long, size long"), 4, 0.0, 5)
+    assert (total, n) == (sum(r[3] for r in rows), 2000)
+    for i, s in enumerate(found, 1):
+        below = sum(r[3] for r in rows if r[:3] < s.bound)
+        assert abs(below - total * i // 20) <= (50 if i % 5 == 0 else total // 40 + 50)
+
+
+def test_an_exchange_by_the_splitters_found(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('y', 50) as text")
+    rows = sh.histogram_sort(docs, path=str(tmp_path / "s"), n_shards=4, task_bytes=8 << 10)
+    per_file = [r[0] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("__part").count().select("count").collect()]
+    assert len(per_file) >= 24 and max(per_file) < 2 * min(per_file) + 50
+    assert rows.count() == 4000
