@@ -27,3 +27,36 @@ def test_odd_rows(spark):
     got = run(spark, same + alone + ties + [(None, 0, "user", "lost")])
     assert [x[:3] for x in got] == [(1, "prompt", 0), (2, "chosen", -1), (2, "chosen", 1), (3, "prompt", 0), (3, "prompt", 0), (3, "rejected", 1)]
     assert run(spark, []) == []
+
+
+def records(spark, rows, **more):
+    df = spark.createDataFrame([(*r, "clash", 9) for r in rows], COLUMNS)
+    cut = lambda text, spans: [text[x["start"] : x["end"]] for x in spans]
+    got = pf.paired_records(pf.adjacent_pairs(df), **more).orderBy("pair_id", "segment").collect()
+    return [(r["pair_id"], r["segment"], r["prompt"], r["chosen"], cut(r["chosen"], r["chosen_spans"]), r["rejected"], cut(r["rejected"], r["rejected_spans"])) for r in got]
+
+
+def said(role, text):
+    return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+
+def test_paired_records(spark):
+    a = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (0, 3, "assistant", "\U0001f600 ok")]
+    b = [(1, 0, "user", "hi"), (1, 1, "assistant", "no")]
+    same = [(2, 0, "user", "x"), (3, 0, "user", "x")]
+    alone = [(5, 0, "assistant", "y")]
+    assert records(spark, a + b + same + alone) == [
+        (0, 0, said("user", "hi"), said("assistant", "yes") + said("user", "more") + said("assistant", "\U0001f600 ok"), ["yes<|im_end|>", "\U0001f600 ok<|im_end|>"], said("assistant", "no"), ["no<|im_end|>"]),
+        (1, 0, said("user", "x"), "", [], "", []),
+        (2, 0, "", "", [], said("assistant", "y"), ["y<|im_end|>"]),
+    ]
+    assert records(spark, []) == []
+
+
+def test_long_pairs_go_on_in_further_records(spark):
+    turns = [(side, i, "assistant" if i % 2 else "user", f"{i} {side if i > 5 else ''}") for side in (0, 1) for i in range(20)]
+    whole, parts = records(spark, turns), records(spark, turns, segment_turns=3)
+    assert len(whole) == 1 and [p[1] for p in parts] == list(range(7))
+    for k in (2, 3, 5):
+        assert "".join(p[k] for p in parts) == whole[0][k]
+    assert [x for p in parts for x in p[4]] == whole[0][4]
