@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -71,17 +72,32 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert got == want and want
     blocks = dc.tiled_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), block_bytes=4000)
     assert {(r["doc_id"], r["item_id"]): r["tiled_words"] for r in blocks.collect()} == want
-    left = dc.drop_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    for size in (dc.BLOCK_BYTES, 4000):
+        left = dc.drop_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), block_bytes=size)
+        assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_reordered_passage_and_odd_rows(spark):
+@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 0])
+def test_reordered_passage_and_odd_rows(spark, block_bytes):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
-    bench = spark.createDataFrame([(1, f"{a} {b}"), (2, "short item"), (3, None), (None, a), (4, f"{a} {b}")], "item_id long, text string")
-    docs = spark.createDataFrame([(7, f"x {b.upper()} y {a} z"), (8, a), (7, f"{a} {b}"), (9, None)], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], r["n_tiles"]) for r in dc.tiled_pairs(docs, bench).collect())
-    assert got == [(7, 1, 1), (7, 1, 2), (7, 4, 1), (7, 4, 2)]
-    assert dc.tiled_pairs(odd_documents(spark), bench).count() == 0
-    assert dc.tiled_pairs(docs, bench.limit(0)).count() == 0
-    assert dc.drop_contaminated(docs.limit(0), bench).count() == 0
-    assert dc.drop_contaminated(odd_documents(spark), bench).count() == odd_documents(spark).count()
+    bench = spark.createDataFrame([(1, f"{a} {b}"), (2, "Short item here"), (3, None), (None, a), (4, f"{a} {b}")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"x {b.upper()} y {a} z"), (8, a), (7, f"{a} {b}"), (9, None), (5, "short  ITEM here"), (6, "a short item here"), (None, a)], "doc_id long, text string")
+    pairs = lambda d, i: dc.tiled_pairs(d, i, block_bytes=block_bytes)
+    clean = lambda d, i: dc.drop_contaminated(d, i, block_bytes=block_bytes)
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted(((r["doc_id"], r["item_id"], r["n_tiles"]) for r in pairs(docs, bench).collect()), key=key)
+    assert got == [(5, 2, 1), (7, 1, 1), (7, 1, 2), (7, 4, 1), (7, 4, 2), (7, None, 1), (7, None, 1), (8, None, 1), (None, None, 1)]
+    assert sorted(r["doc_id"] for r in clean(docs, bench).collect()) == [6, 9]
+    assert pairs(odd_documents(spark), bench).count() == 0
+    assert pairs(docs, bench.limit(0)).count() == 0
+    assert clean(docs.limit(0), bench).count() == 0
+    odd = odd_documents(spark).withColumnRenamed("shard", "__dkey")
+    assert clean(odd, bench).count() == odd.count() and clean(odd, bench).columns == odd.columns
+
+
+def test_a_passage_of_a_third_of_all_documents_and_a_large_benchmark(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.range(3000).selectExpr("id as doc_id", f"if(id % 3 = 0, concat('x', id, ' {passage}'), concat_ws(' ', transform(sequence(1, 30), x -> concat('w', id * 31 + x)))) as text")
+    bench = spark.range(400).selectExpr("id as item_id", f"if(id = 7, '{passage}', concat_ws(' ', transform(sequence(1, 40), x -> concat('v', id * 41 + x)))) as text")
+    got = dc.tiled_pairs(docs, bench, block_bytes=1000).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 3000, 3)) and {r["item_id"] for r in got} == {7}
