@@ -24,7 +24,7 @@ _powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """A fixed bijection of 64 bits."""
+    """A fixed bijection of 64 bits; ``h`` is an array, since numpy warns of overflow in scalars."""
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
     h = h ^ (h >> np.uint64(33))

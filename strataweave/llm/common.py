@@ -38,6 +38,11 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return [f"__{n}{tail}" for n in names]
 
 
+def quoted(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

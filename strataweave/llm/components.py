@@ -13,15 +13,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps hang every node below the least neighbour it knows; the edges end as
     stars around the roots after a number of rounds that is logarithmic in practice. Each round is kept in the shared
-    folder. Nodes without edges are not in the result; self loops and nulls are ignored; no edges give an empty result.
+    folder, and so are the least neighbours by themselves: a join of two stored tables is one that Spark splits where a
+    node has very many neighbours, or broadcasts where a side turns out small. Nodes without edges are not in the result; self loops and nulls are ignored; no edges give an empty result.
     """
     now = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         now = cut(small)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

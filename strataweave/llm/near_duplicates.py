@@ -18,7 +18,9 @@ emits the pairs of a group or gathers them on the driver.
 Shingles are 64-bit hashes of runs of five ASCII-lower-cased words; a text of one to four words is one shingle.
 
 Defined results: a null or blank text has no shingles, no links and itself as component; equal sets are linked; a row
-repeated under one id counts as a copy; an empty table gives an empty result.
+repeated under one id counts as a copy; a null doc_id is linked like others and names a component only where no member
+has an id (the component is null then); an empty table gives an empty result; other columns are left out, whatever their
+names, and ``keep_one`` carries them along.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import bytescan
-from .common import cut, documents, table, tasks_for
+from .common import WORD, cut, documents, fresh, quoted, table, tasks_for
 from .components import components
 
 PERCENT = 80
@@ -45,10 +47,15 @@ SKETCH = 128
 #: Signatures that a task holds before it passes them on.
 FLUSH = 1_500_000
 LIST_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 512, 1_000_000
+#: Stored bytes of documents for one task; a task holds about ten times as much. Larger executors may take more.
+TASK_BYTES = 8 << 20
 #: Family members up to which their table is broadcast to the scan of the texts (about 40 bytes each); else they join.
 BROADCAST_MEMBERS = 200_000
 _SALT = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
+#: For each band what sets its prefix shingles apart.
+_PREFIX_SALT = np.arange(1, 65, dtype=np.uint64) * _SALT[2]
+
 
 def differ_at_most(n: int, percent: int) -> int:
     """Most shingles in which a set of n and a similar set that is no smaller can differ."""
@@ -89,7 +96,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             out.append(bytescan.mix(h))
         if (full.sum(axis=1) > K2).sum() <= k // (K2 + 1):
             prefix = n - -(-n * percent // 100) + 1
-            out.append(bytescan.mix(s[:prefix] + np.uint64(i + 1) * _SALT[2]))
+            out.append(bytescan.mix(s[:prefix] + _PREFIX_SALT[i]))
     return np.concatenate(out)
 
 
@@ -117,7 +124,8 @@ def unfold(sketches: list[bytes]) -> np.ndarray:
 
 
 def set_id(s: np.ndarray) -> int:
-    return int(bytescan.mix(bytescan.mix(s ^ _SALT[0]).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
+    total = bytescan.mix(s ^ _SALT[0]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))
+    return int(bytescan.mix(total).view(np.int64)[0])
 
 
 def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -126,10 +134,11 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(bytescan.shingles(hashes[bounds[i] : bounds[i + 1]]))
 
 
-# Rows between the scan and the signature tasks. kind 0, a document: a = doc_id, b = set id, n, blob = sketch.
+# Rows between the scan and the signature tasks. kind 0, a document: a = doc_id, b = set id, t = hash of its text, n, blob =
+# sketch.
 # kind 1, signatures of one bucket: blob = members, then their ids and signature counts, then 48 bits of each signature.
-# Buckets are the signatures' leading bits, twice as many as tasks at least, so few that a member's id seldom repeats.
-RAW = "kind int, bucket long, a long, b long, n long, blob binary"
+# Buckets are the signatures' leading bits, two to four times as many as tasks, so few that a member's id seldom repeats.
+RAW = "kind int, bucket long, a long, b long, t long, n long, blob binary"
 
 
 def _pack(held: list[tuple[int, np.ndarray]], bits: int) -> Iterator[tuple]:
@@ -144,17 +153,17 @@ def _pack(held: list[tuple[int, np.ndarray]], bits: int) -> Iterator[tuple]:
         first = np.flatnonzero(np.diff(m, prepend=-1))
         counts = np.diff(np.append(first, len(m))).astype(np.uint32)
         low = np.ascontiguousarray(sig[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]
-        yield 1, int(bucket[lo]), None, None, None, np.uint32(len(first)).tobytes() + ids[m[first]].tobytes() + counts.tobytes() + low.tobytes()
+        yield 1, int(bucket[lo]), None, None, None, None, np.uint32(len(first)).tobytes() + ids[m[first]].tobytes() + counts.tobytes() + low.tobytes()
 
 
-def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (the bucket above their 48 bits) and for each its member's id."""
+def _unpack(bucket: int, blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (at most 16 leading bits above their 48 low ones) and for each its member's id."""
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
     ids, counts = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
     low = np.frombuffer(blob, np.uint8, -1, 4 + 12 * n).reshape(-1, 6)
     sig = np.zeros((len(low), 8), np.uint8)
     sig[:, :6] = low
-    return sig.view(np.uint64).ravel() | np.uint64(bucket << 48), np.repeat(ids, counts)
+    return sig.view(np.uint64).ravel() | np.uint64(bucket >> max(0, bits - 16) << 48), np.repeat(ids, counts)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -162,8 +171,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-_RAW_NAMES = ["kind", "bucket", "a", "b", "n", "blob"]
-_RAW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_RAW_NAMES = ["kind", "bucket", "a", "b", "t", "n", "blob"]
+_RAW_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -172,10 +181,10 @@ def _scan(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterato
     held, count = [], 0
     for batch in batches:
         rows = []
-        for doc_id, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True):
+        for doc_id, text_hash, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets_of(batch.column(1)), strict=True):
             sid = set_id(s)
             turn += 1
-            rows.append((0, turn & ((1 << bits) - 1), doc_id, sid, len(s), sketch(s)))
+            rows.append((0, turn & ((1 << bits) - 1), doc_id, sid, text_hash, len(s), sketch(s)))
             if len(s) and sid not in seen:
                 seen.add(sid)
                 if len(sig := signatures(s, percent)):
@@ -189,15 +198,18 @@ def _scan(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterato
         yield _batch(list(_pack(held, bits)), _RAW_NAMES, _RAW_TYPES)
 
 
+_LISTED_NAMES = ["kind", "a", "b", "t", "n", "blob"]
+
+
 # Rows after the signature tasks. kind 0 as before; kind 1, a list: a = its hash, n = members, blob = their ids.
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     parts = []
     for batch in batches:
         kinds = np.asarray(batch.column(0))
         if (kinds == 0).any():
-            yield batch.filter(pa.array(kinds == 0)).select(["kind", "a", "b", "n", "blob"])
+            yield batch.filter(pa.array(kinds == 0)).select(_LISTED_NAMES)
         for k in np.flatnonzero(kinds == 1).tolist():
-            parts.append(_unpack(batch.column(1)[k].as_py(), batch.column(5)[k].as_py()))
+            parts.append(_unpack(batch.column(1)[k].as_py(), batch.column(6)[k].as_py(), bits))
     if not parts:
         return
     sig, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -220,9 +232,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(first, len(sig)))
     key = bytescan.mix(np.add.reduceat(bytescan.mix(ids.astype(np.uint64)), first) + size.astype(np.uint64)).astype(np.int64)
     _, once = np.unique(key, return_index=True)
-    rows = [(1, int(key[i]), None, int(size[i]), ids[first[i] : first[i] + size[i]].tobytes()) for i in once.tolist() if size[i] > 1]
+    rows = [(1, int(key[i]), None, None, int(size[i]), ids[first[i] : first[i] + size[i]].tobytes()) for i in once.tolist() if size[i] > 1]
     for a in range(0, len(rows), 10_000):
-        yield _batch(rows[a : a + 10_000], ["kind", "a", "b", "n", "blob"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+        yield _batch(rows[a : a + 10_000], _LISTED_NAMES, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,16 +397,18 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield _batch(out, ["a", "b", "links"], [pa.int64(), pa.int64(), pa.int64()])
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id, n_links (other documents linked, copies included)."""
+def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, sid), one a document; classes (sid, root, component_id, n_links), one a set with shingles."""
     shared_dir(docs.sparkSession)
-    tasks = tasks_for(docs, 8 << 20)
-    bits = min(15, (tasks - 1).bit_length() + 1)
-    source = documents(docs)
+    tasks = tasks_for(docs, task_bytes)
+    bits = (tasks - 1).bit_length() + 1
+    source = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     raw = source.mapInArrow(lambda it: _scan(it, percent, bits), RAW).repartition(tasks, "bucket")
-    dealt = cut(raw.mapInArrow(_lists, "kind int, a long, b long, n long, blob binary"))
-    sets = dealt.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), "n", "blob")
-    classes = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("blob").alias("sketch"))
+    dealt = cut(raw.mapInArrow(lambda it: _lists(it, bits), "kind int, a long, b long, t long, n long, blob binary"))
+    sets = dealt.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("t").alias("text_hash"), F.col("b").alias("sid"), "n", "blob")
+    # A class is read again by the text of its least id; a class of null ids only by one of its texts.
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash")))
+    classes = sets.filter("n > 0").groupBy("sid").agg(least.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("blob").alias("sketch"))
     lists = dealt.filter("kind = 1").groupBy("a").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
 
     pairs = ["list", "x", "y"]
@@ -403,14 +417,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     close = sized.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: _close(it, percent), "a long, b long")
     families = cut(components(close).join(classes.select("sid", "least", "copies", "n"), F.col("node") == F.col("sid")).select("root", "sid", "least", "copies", "n"))
 
-    blocks = families.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks"))
+    blocks = cut(families.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks")))
     placed = families.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks"))
-    wanted = placed.select(F.col("least").alias("doc_id"), "root", "sid", "copies", "blocks", "own")
+    wanted = placed.select(F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"), "root", "sid", "copies", "blocks", "own")
     wanted = F.broadcast(wanted) if families.count() <= BROADCAST_MEMBERS else wanted
     pairs = ["root", "x", "y"]
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    same = (F.col("text_hash") == F.col("least_hash")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
     texts = (
-        source.join(wanted, "doc_id").select("root", "sid", "copies", "own", "text", other)
+        source.join(wanted, same).select("root", "sid", "copies", "own", "text", other)
         .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "copies", (F.col("own") <= F.col("other")).alias("left"), "text")
     )
     verified = cut(texts.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: _verify(it, percent), "a long, b long, links long"))
@@ -418,21 +433,31 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = components(verified.filter("b is not null").select("a", "b"))
     links = verified.filter("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     named = classes.select("sid", "least", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = cut(named.join(least, "root").join(links, "sid", "left").select("sid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(known, "sid", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    firsts = cut(named.groupBy("root").agg(F.min("least.doc_id").alias("component_id")))
+    known = named.join(firsts, "root").join(links, "sid", "left").select("sid", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sets.select("doc_id", "text_hash", "n", "sid"), cut(known)
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """doc_id, text -> doc_id, n_shingles, component_id, n_links (other documents linked, copies included)."""
+    rows, known = _linked(docs, percent, task_bytes)
+    named = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(known, "sid", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component: that of its least doc_id (of rows with one id, the first by text); rows without id stay."""
-    found = jaccard_components(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    row = F.struct(*columns)
-    first = docs.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
-    return first.select("row.*").unionByName(docs.filter("doc_id is null"))
+def keep_one(docs: DataFrame, percent: int = PERCENT, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """One row of each component, that of its least doc_id (ids before null; of one id the least hash of text, of equal ones
+    any); rows without shingles are linked with nothing and all stay."""
+    rows, known = _linked(docs, percent, task_bytes)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    best = rows.filter("n > 0").join(known.select("sid", "root"), "sid").groupBy("root").agg(F.min(order).alias("o"))
+    of, at, empty = fresh(docs.columns, "of", "at", "empty")
+    stay = cut(best.select(F.coalesce("o.doc_id", F.lit(0)).alias(of), F.struct(F.col("o.doc_id").isNull(), F.col("o.text_hash")).alias(at)).distinct())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({of: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), at: F.struct(F.col("doc_id").isNull(), F.xxhash64(text)), empty: ~F.rlike(text, F.lit(WORD))})
+    one = keyed.filter(~F.col(empty)).join(stay, [of, at], "left_semi").groupBy(of, at).agg(F.first(F.struct(*(quoted(c) for c in docs.columns))).alias("row"))
+    return one.select("row.*").unionByName(keyed.filter(empty).select(*(quoted(c) for c in docs.columns)))

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, new_folder, table
+from .common import documents, fresh, new_folder, quoted, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "local_phone")
 STRICT = {
@@ -139,11 +139,7 @@ def with_spans(rows: DataFrame, text: str = "text", strict: str = "strict", wide
     strictly = lambda k: lambda x: strict_check(k, x["m"])
     kept = [F.filter(F.col(at[k]), strictly(k)) for k in STRICT]
     more = [F.filter(F.col(at[k]), has_letter_and_digit) if k in ("key_run", "hex_run") else F.col(at[k]) for k in WIDE]
-    return found.select(*(_quoted(c) for c in rows.columns), _sorted(F.concat(*kept)).alias(strict), _sorted(F.concat(*more)).alias(wide))
-
-
-def _quoted(c: str) -> Column:
-    return F.col(f"`{c.replace('`', '``')}`")
+    return found.select(*(quoted(c) for c in rows.columns), _sorted(F.concat(*kept)).alias(strict), _sorted(F.concat(*more)).alias(wide))
 
 
 def features(x: Column) -> list[Column]:

@@ -65,11 +65,13 @@ def test_blobs_come_back():
     rng = np.random.default_rng(7)
     held = [(int(i), rng.integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2)) for i in range(9)]
     got = {}
-    for _, bucket, _, _, _, blob in nd._pack(held, 6):
-        for s, i in zip(*nd._unpack(bucket, blob), strict=True):
-            got.setdefault(int(i), set()).add(int(s))
-    keep = lambda s: (s >> 58 << 48) | (s & ((1 << 48) - 1))
-    assert got == {i: {keep(int(x)) for x in s} for i, s in held}
+    keep = lambda s, bits: (s >> 64 - bits >> max(0, bits - 16) << 48) | (s & ((1 << 48) - 1))
+    for bits in (6, 16, 23):
+        got.clear()
+        for _, bucket, *_, blob in nd._pack(held, bits):
+            for s, i in zip(*nd._unpack(bucket, blob, bits), strict=True):
+                got.setdefault(int(i), set()).add(int(s))
+        assert got == {i: {keep(int(x), bits) for x in s} for i, s in held}
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -101,8 +103,24 @@ def test_odd_rows(spark):
     assert nd.jaccard_components(odd_documents(spark).limit(0)).count() == 0
     kept = nd.keep_one(odd_documents(spark))
     assert kept.columns == odd_documents(spark).columns
-    want = {c for _, _, c, _ in brute([(r[0], r[1]) for r in odd_rows()])}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    # One row for each component of rows with words, and every row without.
+    want = {c for (_, n, c, _) in brute([(r[0], r[1]) for r in odd_rows()]) if n}
+    rows = kept.collect()
+    assert {r["doc_id"] for r in rows if shingles(r["text"])} >= want
+    assert sum(1 for r in rows if not shingles(r["text"])) == sum(1 for r in odd_rows() if not shingles(r[1]))
+
+
+def test_null_and_repeated_ids(spark):
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(None, long[0]), (None, long[0] + " x"), (None, long[1]), (5, long[1]), (7, long[2]), (7, long[3]), (7, long[3]), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __of int")
+    got = nd.jaccard_components(docs).collect()
+    key = lambda r: str(tuple(r))
+    want = [(None, 36, None, 1), (None, 37, None, 1), (None, 36, 5, 1), (5, 36, 5, 1), (7, 36, 7, 0), (7, 36, 7, 1), (7, 36, 7, 1), (9, 0, 9, 0), (9, 0, 9, 0), (None, 0, None, 0)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    kept = sorted(r["__of"] for r in nd.keep_one(docs).collect())
+    assert [i for i in kept if i not in (0, 1, 5, 6)] == [3, 4, 7, 8, 9]
+    assert len({0, 1} & set(kept)) == 1 and len({5, 6} & set(kept)) == 1
 
 
 def test_components(spark):
