@@ -3,21 +3,23 @@
 Encoding. No piece has a space mark after another character, and a character that stands in no longer piece never
 merges; a text therefore falls into units (spaces and the word after them) whose ids do not depend on one another.
 The unknown units of a slice become one flat numpy array of symbols. In each round every pair of neighbours has the
-score rank of the piece it would make, a segmented minimum finds each unit's best rank and, among equals, its leftmost
-position, all units merge there at once, and the arrays are compacted; finished units leave. A round does for each
-unit exactly what the library's queue does next, so ids are equal, ties included. Units of over ``LONG_UNIT``
-characters would need many rounds; they take an exact scalar merge queue (O(n log n)) instead.
+score rank of the piece it would make, and a segmented minimum finds each unit's best rank. All pairs of that rank merge
+at once, from the left and without overlap, up to the first whose merging makes a pair of as good a rank with a neighbour;
+what lies to the right of that one waits for the next round. Then the arrays are compacted; finished units leave. So a
+round does for each unit exactly what the library's queue does next, ties included, and a unit of any length takes
+about as many rounds as ranks occur in it.
 
 Each worker keeps a bounded table of units it has met. Decoding joins the pieces' bytes; bytes that are not UTF-8 are
 replaced one by one, as the library does.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; characters outside the vocabulary
-become UTF-8 byte pieces; the space mark U+2581 in a text is a space; repeated rows are encoded alike.
+become UTF-8 byte pieces; the space mark U+2581 in a text is a space; repeated rows are encoded alike; an empty table
+gives an empty result. ``encode_documents`` leaves other columns out; ``encode_columns`` carries them along, but columns
+named ``ids`` or ``decoded`` give way to those made here.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import documents, slices, table
 
 SPACE = "▁"
+#: Units longer than this are not kept in the table of known ones.
 LONG_UNIT = 200
+#: Characters of unknown units that merge together; bounds what the rounds hold.
+ROUND_CHARS = 2_000_000
 KNOWN_UNITS = 300_000
 FAR = np.int64(1) << 62
 
@@ -82,40 +87,24 @@ class PieceModel:
                 self.symbol_of_char[ord(n)] = i
         self.decoded = [b"" if i in self.control else bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
         self.decoded[self.unk] = " ⁇ ".encode()
-        self.bytes_of_char = {}
+        self.wide, self.wide_id = self.widest_blank()
+
+    def widest_blank(self) -> tuple[int, int]:
+        """(width, id) of the piece that a long run of spaces begins with over and over; width 0 if it does not."""
+        width = max((len(n) for n in self.plain if not n.strip(SPACE)), default=0)
+        made = self.plain.get(SPACE * width, -1)
+        if width < 2 or (self.pair_keys >> 20 == made).any():  # it would merge on
+            return 0, -1
+        for rest in range(width):
+            sym, _ = self.merge_rounds([SPACE * (3 * width + rest)])
+            if sym[:3].tolist() != [made] * 3:
+                return 0, -1
+        return width, made
 
     def spell(self, name: str) -> list[int]:
         """Ids of what is no piece: its UTF-8 bytes."""
         return [self.id_of_byte[b] for b in name.encode("utf-8", "surrogatepass")]
 
-    def merge_queue(self, unit: str) -> list[int]:
-        """One unit by a scalar queue: best rank first, then leftmost."""
-        text = list(unit)
-        after, before, alive = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1)), [True] * len(text)
-        queue: list[tuple[int, int, str]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and after[i] < len(text) and (r := self.rank.get(text[i] + text[after[i]])) is not None:
-                heapq.heappush(queue, (r, i, text[i] + text[after[i]]))
-
-        for i in range(len(text)):
-            offer(i)
-        while queue:
-            _, i, made = heapq.heappop(queue)
-            if not alive[i] or after[i] >= len(text) or text[i] + text[after[i]] != made:
-                continue
-            j = after[i]
-            text[i], alive[j], after[i] = made, False, after[j]
-            if after[i] < len(text):
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        out: list[int] = []
-        for i, t in enumerate(text):
-            if alive[i]:
-                out.extend([self.plain[t]] if t in self.plain else self.spell(t))
-        return out
-
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair; FAR where it makes none."""
         key = left << 20 | right
@@ -124,6 +113,22 @@ class PieceModel:
         piece = np.where(hit, self.pair_piece[at], 0)
         return np.where(hit, self.rank_by_id[piece], FAR), piece
 
+    def mergeable(self, hits: np.ndarray, sym: np.ndarray, unit: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Those of ``hits`` (places of their units' best pairs) that merge in one round with the queue's result."""
+        fresh = np.concatenate([[True], np.diff(hits) > 1])  # in a run of touching pairs every other one, from the left
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
+        at = hits[(np.arange(len(hits)) - begin) % 2 == 0]
+        # Pairs beside a merged one as they are just after it: what is left of it has merged, what is right has not.
+        left = np.where(np.concatenate([[False], at[1:] == at[:-1] + 2]), np.concatenate([[0], made[at[:-1]]]), sym[np.maximum(at - 1, 0)])
+        after, n = np.minimum(at + 2, len(sym) - 1), len(sym)
+        before_rank, after_rank = self.pair_ranks(left, made[at])[0], self.pair_ranks(made[at], sym[after])[0]
+        before_rank[(at == 0) | (unit[np.maximum(at - 1, 0)] != unit[at])] = FAR
+        after_rank[(at + 2 >= n) | (unit[after] != unit[at])] = FAR
+        early = (np.minimum(before_rank, after_rank) <= rank[at]).astype(np.int64)
+        first = np.concatenate([[True], unit[at][1:] != unit[at][:-1]])
+        passed = np.cumsum(early) - early
+        return at[passed == passed[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]]
+
     def merge_rounds(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all units (spaces already marked) and where each unit's begin and the last one's end."""
         lengths = np.array([len(u) for u in units], np.int64)
@@ -149,8 +154,7 @@ class PieceModel:
                     break
                 keep = best < FAR
                 best, count = best[keep], count[keep]
-            hits = np.flatnonzero(rank == np.repeat(best, count))
-            at = hits[np.concatenate([[True], unit[hits][1:] != unit[hits][:-1]])]  # the leftmost of each unit
+            at = self.mergeable(np.flatnonzero(rank == np.repeat(best, count)), sym, unit, rank, made)
             sym[at] = made[at]
             rest = np.ones(len(sym), bool)
             rest[at + 1] = False
@@ -168,21 +172,19 @@ class PieceModel:
 
     def ids_of_units(self, units: list[str]) -> dict[str, bytes]:
         """unit (with plain spaces) -> little-endian 32-bit ids."""
-        out, short = {}, []
-        for u in units:
-            if len(u) > LONG_UNIT:
-                out[u] = np.array(self.merge_queue(u.replace(" ", SPACE)), "<i4").tobytes()
-            else:
-                short.append(u)
-        sym, bounds = self.merge_rounds([u.replace(" ", SPACE) for u in short])
+        # Equal ranks make spaces merge one by one from the left; what a long run begins with is known, the rest merges.
+        blanks = [len(u) - len(u.lstrip(" ")) for u in units]
+        whole = [max(0, n // self.wide - 3) if self.wide else 0 for n in blanks]
+        sym, bounds = self.merge_rounds([u[k * self.wide :].replace(" ", SPACE) for u, k in zip(units, whole, strict=True)])
         raw, at = sym.astype("<i4").tobytes(), (4 * bounds).tolist()
-        out.update((u, raw[a:b]) for u, a, b in zip(short, at[:-1], at[1:], strict=True))
+        head = np.array([self.wide_id], "<i4").tobytes()
+        out = {u: head * k + raw[a:b] for u, k, a, b in zip(units, whole, at[:-1], at[1:], strict=True)}
         odd = np.flatnonzero((sym < 0) | (sym >= self.size))  # symbols that are no piece
         for k in np.unique(np.searchsorted(bounds, odd, side="right") - 1).tolist():
             ids: list[int] = []
             for s in sym[bounds[k] : bounds[k + 1]].tolist():
                 ids.extend(self.spell(chr(-1 - s)) if s < 0 else self.spell(self.name_of[s]) if s >= self.size else [s])
-            out[short[k]] = np.array(ids, "<i4").tobytes()
+            out[units[k]] = head * whole[k] + np.array(ids, "<i4").tobytes()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -234,8 +236,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         if len(known) > KNOWN_UNITS:
             known.clear()
         new = list({u for us in split for u in us if u not in known})
-        for i in range(0, len(new), 100_000):
-            known.update(model.ids_of_units(new[i : i + 100_000]))
+        for i, j in slices(new, ROUND_CHARS):
+            known.update(model.ids_of_units(new[i:j]))
         out.extend(b"".join(map(known.__getitem__, us)) for us in split)
         for u in new:
             if len(u) > LONG_UNIT:

@@ -35,12 +35,17 @@ def test_long_units(text):
     assert ours([text]) == [LIB.encode(text)]
 
 
-def test_rounds_equal_queue():
-    m = pieces.model_at(PATH)
-    units = ["▁international", "▁▁▁▁▁x", "aaaaaaaaaa", "1234567", "▁Código"]
-    sym, bounds = m.merge_rounds(units)
-    for k, u in enumerate(units):
-        assert sym[bounds[k] : bounds[k + 1]].tolist() == m.merge_queue(u)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aeinst", min_size=1, max_size=400) | st.text(alphabet="0123456789abcdef", min_size=1, max_size=300), max_size=4))
+def test_rounds_of_long_units_equal_the_library(units):
+    assert ours(units) == LIB.encode(units)
+
+
+def test_very_long_units_take_few_rounds():
+    rng = np.random.default_rng(1)
+    texts = [" " * n + w for n in (1, 15, 31, 47, 63, 64, 65, 79, 80, 81, 100, 333) for w in ("", "the", "漢", "\n", "x" * 40)]
+    texts += ["a" * 200_000, "ab" * 100_000, "".join(rng.choice(list("0123456789abcdef"), 30_000)), " " * 100_000]
+    assert ours(texts) == LIB.encode(texts)
 
 
 def test_query_and_odd_rows(spark, sf_dir):
