@@ -1,7 +1,4 @@
-import re
-
 import corpus_pipeline as cp
-import numpy as np
 import sentencepiece
 
 from strataweave.llm import pieces, quality
@@ -12,6 +9,7 @@ from .odd import odd_documents
 from .test_decontaminate import brute as tiled
 from .test_decontaminate import words
 from .test_near_duplicates import brute as components
+from .test_private_data import all_spans
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
 
@@ -31,11 +29,25 @@ def test_run_equals_brute_force(spark, sf_dir):
     got = {r["doc_id"]: r for r in cp.run(spark, sf_dir).collect()}
     assert got.keys() == first - leaks
     assert 0 < len(leaks) and len(first) < len(good) < len(docs)
-    for i, r in got.items():
-        assert r["ids"] == LIB.encode(r["decoded"])
-        plain = [p for p in re.split(r"\[(?:" + "|".join(k.upper() for k in pd.KINDS) + r")\]", r["decoded"])]
-        assert all(p in docs[i]["text"] for p in plain)
-    assert np.mean([r["decoded"] == docs[i]["text"] for i, r in got.items()]) > 0.5
+    kept = sorted(got)
+    trees = pd.fit(spark.createDataFrame([(i, docs[i]["text"]) for i in kept], "doc_id long, text string"))
+    changed = 0
+    for i in kept:
+        want = redacted(docs[i]["text"], all_spans(docs[i]["text"], trees))
+        changed += want != docs[i]["text"]
+        assert got[i]["ids"] == LIB.encode(want) and got[i]["decoded"] == LIB.decode(got[i]["ids"])
+        assert got[i]["n_chars"] == len(want)
+    assert changed
+
+
+def redacted(text, spans):
+    """text with each stretch that spans (kind:start:end, by start) cover replaced by its first span's kind."""
+    out, to = [], 0
+    for kind, a, b in (s.split(":") for s in spans.split(",") if s):
+        if int(a) >= to:
+            out += [text[to : int(a)], f"[{kind.upper()}]"]
+        to = max(to, int(b))
+    return "".join(out) + text[to:]
 
 
 def test_stages_bear_odd_rows(spark, sf_dir):
