@@ -60,12 +60,6 @@ VIEWS: dict[str, str] = {
                      l_linenumber = 2 AND CAST(l_quantity AS BIGINT) % 3 = 0 AS modifies_value
               FROM lineitem JOIN xml_definitions ON id = l_partkey + 1 WHERE l_linenumber <= 3) o""",
     "csharp_deps": """
-        SELECT o_orderkey + 1 AS id, o_custkey % ns + 1 AS mod_id,
-               elt5(o_orderkey, 'item', 'harmony_class', 'buff', 'extends_class', 'entity_class') AS dependency_type, d.name AS dependency_name,
-               concat('src', CAST(o_orderkey % 50 AS STRING), '.cs') AS source_file, o_orderkey % 400 AS line_number
-        FROM orders CROSS JOIN (SELECT count(*) AS np FROM part) cp CROSS JOIN (SELECT count(*) AS ns FROM supplier) cs
-        JOIN xml_definitions d ON d.id = o_orderkey * 3 % np + 1 WHERE o_orderkey % 4 = 0""",
-    "csharp_deps_whole": """
         SELECT o_orderkey + 1 AS id, o_custkey % ns + 1 AS mod_id,
                elt5(o_orderkey, 'item', 'harmony_class', 'buff', 'extends_class', 'entity_class') AS dependency_type, d.name AS dependency_name,
                concat('src', CAST(o_orderkey % 50 AS STRING), '.cs') AS source_file, o_orderkey % 400 AS line_number
@@ -85,7 +79,7 @@ VIEWS: dict[str, str] = {
     "class_inheritance": """
         SELECT concat('Class', CAST(p_partkey AS STRING)) AS class_name,
                CASE WHEN p_partkey > 0 THEN concat('Class', CAST(DIV(p_partkey, 2) AS STRING)) END AS parent_class, p_partkey % 4 = 0 AS is_abstract
-        FROM part WHERE p_partkey < 50""",
+        FROM part""",
     "types": """
         SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, concat('Type', CAST(n_nationkey + 1 AS STRING)) AS name, concat('NS', CAST(n_regionkey AS STRING)) AS namespace,
                concat('NS', CAST(n_regionkey AS STRING), '.Type', CAST(n_nationkey + 1 AS STRING)) AS full_name,

@@ -33,11 +33,6 @@ class Model:
             getattr(self, n).createOrReplaceTempView(n)
 
 
-    def over(self, **names: str) -> Model:
-        """The same model with other tables: keyword = name, value = table that stands for it where there is one."""
-        return Model(self.spark, self.sf_dir, self._tables | {k: getattr(self, v) for k, v in names.items() if hasattr(self, v)})
-
-
 REGISTRY: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {}
 
 

@@ -2,14 +2,8 @@
 
 import importlib
 import pkgutil
-import re
-
-from ..model import REGISTRY
 
 
 def load() -> None:
     for found in pkgutil.iter_modules(__path__):
         importlib.import_module(f"{__name__}.{found.name}")
-    for name, (f, sql) in list(REGISTRY.items()):  # readers of a quarter of the code's dependencies, over all of them
-        if sql and re.search(r"\bcsharp_deps\b", sql) and not name.endswith("_whole"):
-            REGISTRY[f"{name}_whole"] = (lambda m, f=f: f(m.over(csharp_deps="csharp_deps_whole")), re.sub(r"\bcsharp_deps\b", "csharp_deps_whole", sql))

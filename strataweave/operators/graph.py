@@ -3,8 +3,7 @@
 Closures are semi-naive loops: each round joins the frontier with the edges, keeps what is new, and is written to the
 session's shared folder and read again, so that plans stay short and a lost executor costs one round.
 
-The reference's closure goes ten steps, and so do the operators here and the queries named ``_whole``. The queries of the
-same names without it stop at four, as their SQL does.
+A closure goes ten steps, as the rule it stands for does.
 """
 
 from __future__ import annotations
@@ -17,15 +16,15 @@ from pyspark.sql import functions as F
 from ..model import Model, csv, n, query
 from ..session import shared_dir
 
-DEPTH = 10  # MAX_DEPTH of the reference
+DEPTH = 10
 
 CLOSURE_SQL = """
     WITH RECURSIVE edges AS (
       SELECT DISTINCT d.id AS s, p.id AS t, 'extends' AS kind FROM xml_definitions d JOIN xml_definitions p ON d.extends = p.name AND d.definition_type = p.definition_type WHERE d.id <> p.id
       UNION SELECT r.source_def_id, p.id, r.reference_context FROM xml_references r JOIN xml_definitions p ON r.target_name = p.name AND r.target_type = p.definition_type WHERE r.source_def_id <> p.id),
-    walk AS (SELECT s, t, 1 AS depth FROM edges UNION SELECT w.s, e.t, w.depth + 1 FROM walk w JOIN edges e ON w.t = e.s WHERE w.depth < 4 AND w.s <> e.t),
+    walk AS (SELECT s, t, 1 AS depth FROM edges UNION SELECT w.s, e.t, w.depth + 1 FROM walk w JOIN edges e ON w.t = e.s WHERE w.depth < 10 AND w.s <> e.t),
     reach AS (SELECT s AS source, t AS target, min(depth) AS depth FROM walk GROUP BY 1, 2),
-    up AS (SELECT s, t, 1 AS depth FROM edges WHERE kind = 'extends' UNION SELECT u.s, e.t, u.depth + 1 FROM up u JOIN edges e ON u.t = e.s WHERE e.kind = 'extends' AND u.depth < 4 AND u.s <> e.t),
+    up AS (SELECT s, t, 1 AS depth FROM edges WHERE kind = 'extends' UNION SELECT u.s, e.t, u.depth + 1 FROM up u JOIN edges e ON u.t = e.s WHERE e.kind = 'extends' AND u.depth < 10 AND u.s <> e.t),
     ext AS (SELECT s AS source, t AS target, min(depth) AS depth FROM up GROUP BY 1, 2)
 """
 
@@ -71,18 +70,16 @@ def closure(m: Model, kind: str | None = None, depth: int = DEPTH) -> DataFrame:
     return seen.select("source", "target", "depth", F.to_json("path").alias("path"), F.array_join(F.array_sort(F.array_distinct(types)), ",").alias("reference_types"))
 
 
-@query("grf_04_transitive_closure_whole")
-@query("grf_04_transitive_closure", CLOSURE_SQL + " SELECT source, target, depth FROM reach", depth=4)
+@query("grf_04_transitive_closure", CLOSURE_SQL + " SELECT source, target, depth FROM reach")
 def transitive_closure(m: Model, depth: int = DEPTH) -> DataFrame:
     """Reachable pairs within ``depth`` steps."""
     return closure(m, None, depth).select("source", "target", "depth")
 
 
-@query("grf_05_impact_analysis_whole")
 @query("grf_05_impact_analysis", CLOSURE_SQL + """
     , one AS (SELECT min(id) AS id FROM xml_definitions WHERE definition_type = 'item')
     SELECT 'dependent' AS side, d.id AS entity_id, d.name, d.definition_type, r.depth FROM reach r JOIN one ON r.target = one.id JOIN xml_definitions d ON d.id = r.source
-    UNION ALL SELECT 'requirement', d.id, d.name, d.definition_type, r.depth FROM reach r JOIN one ON r.source = one.id JOIN xml_definitions d ON d.id = r.target""", depth=4)
+    UNION ALL SELECT 'requirement', d.id, d.name, d.definition_type, r.depth FROM reach r JOIN one ON r.source = one.id JOIN xml_definitions d ON d.id = r.target""")
 def impact_of_first_item(m: Model, depth: int = DEPTH) -> DataFrame:
     first = m.xml_definitions.filter("definition_type = 'item'").agg(F.min("id").alias("id"))
     return impact(m, first, depth)
@@ -97,10 +94,9 @@ def impact(m: Model, entity: DataFrame, depth: int = DEPTH) -> DataFrame:
     return down.unionByName(up).join(defs, "entity_id").select("side", "entity_id", "name", "definition_type", "depth")
 
 
-@query("grf_06_inheritance_hotspots_whole")
 @query("grf_06_inheritance_hotspots", CLOSURE_SQL + """
     SELECT d.name AS base_entity, d.definition_type, count(*) AS dependent_count, CASE WHEN count(*) > 100 THEN 'CRITICAL' WHEN count(*) > 50 THEN 'HIGH' WHEN count(*) > 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
-    FROM reach r JOIN xml_definitions d ON r.target = d.id GROUP BY r.target, d.name, d.definition_type""", depth=4)
+    FROM reach r JOIN xml_definitions d ON r.target = d.id GROUP BY r.target, d.name, d.definition_type""")
 def inheritance_hotspots(m: Model, depth: int = DEPTH) -> DataFrame:
     """How many entities depend on each, with a risk band."""
     counts = closure(m, None, depth).groupBy("target").agg(n().alias("dependent_count"))
@@ -109,10 +105,9 @@ def inheritance_hotspots(m: Model, depth: int = DEPTH) -> DataFrame:
     return counts.join(m.xml_definitions, F.col("target") == F.col("id")).select(F.col("name").alias("base_entity"), "definition_type", "dependent_count", risk.alias("risk_level"))
 
 
-@query("grf_07_hotspots_with_dependents_whole")
 @query("grf_07_hotspots_with_dependents", CLOSURE_SQL + """
     SELECT d.name AS base_entity, d.definition_type, count(DISTINCT r.source) AS dependent_count, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS dependents
-    FROM reach r JOIN xml_definitions d ON r.target = d.id JOIN xml_definitions s ON r.source = s.id GROUP BY d.id, d.name, d.definition_type ORDER BY dependent_count DESC, d.id LIMIT 25""", depth=4)
+    FROM reach r JOIN xml_definitions d ON r.target = d.id JOIN xml_definitions s ON r.source = s.id GROUP BY d.id, d.name, d.definition_type ORDER BY dependent_count DESC, d.id LIMIT 25""")
 def hotspots_with_dependents(m: Model, depth: int = DEPTH) -> DataFrame:
     """The 25 entities most depended on, with their dependents."""
     defs = m.xml_definitions
@@ -123,10 +118,9 @@ def hotspots_with_dependents(m: Model, depth: int = DEPTH) -> DataFrame:
     return lists.join(defs, F.col("target") == F.col("id")).select(F.col("name").alias("base_entity"), "definition_type", "dependent_count", "dependents")
 
 
-@query("grf_08_dependency_stats_whole")
 @query("grf_08_dependency_stats", CLOSURE_SQL + """
     , a AS (SELECT source AS id, count(*) AS n, max(depth) AS depth FROM reach GROUP BY 1), b AS (SELECT target AS id, count(*) AS n FROM reach GROUP BY 1)
-    SELECT d.id, d.name, coalesce(a.n, 0) AS dependencies, coalesce(b.n, 0) AS dependents, coalesce(a.depth, 0) AS max_depth FROM xml_definitions d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE a.n IS NOT NULL OR b.n IS NOT NULL""", depth=4)
+    SELECT d.id, d.name, coalesce(a.n, 0) AS dependencies, coalesce(b.n, 0) AS dependents, coalesce(a.depth, 0) AS max_depth FROM xml_definitions d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE a.n IS NOT NULL OR b.n IS NOT NULL""")
 def dependency_stats(m: Model, depth: int = DEPTH) -> DataFrame:
     """For each entity in some dependency: how many it needs, how many need it, how deep."""
     reach = closure(m, None, depth)
@@ -171,7 +165,7 @@ def base_class_chain(m: Model) -> DataFrame:
 
 @query("grf_01_call_chains", """
     WITH RECURSIVE e AS (SELECT DISTINCT caller_id AS s, callee_id AS t FROM calls), walk AS (SELECT s, t, [s, t] AS path, 1 AS depth FROM e WHERE s = 1
-      UNION ALL SELECT w.s, e.t, list_append(w.path, e.t), w.depth + 1 FROM walk w JOIN e ON w.t = e.s WHERE w.depth < 4 AND NOT list_contains(w.path, e.t))
+      UNION ALL SELECT w.s, e.t, list_append(w.path, e.t), w.depth + 1 FROM walk w JOIN e ON w.t = e.s WHERE w.depth < 10 AND NOT list_contains(w.path, e.t))
     SELECT s AS source, t AS target, depth, array_to_string(path, '>') AS path FROM walk""")
 def call_chains_of_first(m: Model) -> DataFrame:
     return call_chains(m, m.methods.filter("id = 1").select("id"), 4)

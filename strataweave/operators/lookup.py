@@ -249,13 +249,11 @@ def union_of_entities(m: Model) -> DataFrame:
     return m.mod_xml_operations.filter("operation = 'remove' or (operation = 'set' and property_name is not null)").select("target_type", "target_name").distinct()
 
 
-@query("srt_02_ranked_severities_whole")
 @query("srt_02_ranked_severities", """
-    SELECT id, severity FROM game_code_analysis ORDER BY CASE severity WHEN 'BUG' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'INFO' THEN 3 ELSE 4 END, id LIMIT 200""", limit=200)
-def ranked_severities(m: Model, limit: int | None = None) -> DataFrame:
+    SELECT id, severity FROM game_code_analysis ORDER BY CASE severity WHEN 'BUG' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'INFO' THEN 3 ELSE 4 END, id""")
+def ranked_severities(m: Model) -> DataFrame:
     s = F.col("severity")
-    out = m.game_code_analysis.select("id", "severity").orderBy(F.when(s == "BUG", 1).when(s == "WARNING", 2).when(s == "INFO", 3).otherwise(4), "id")
-    return out.limit(limit) if limit else out
+    return m.game_code_analysis.select("id", "severity").orderBy(F.when(s == "BUG", 1).when(s == "WARNING", 2).when(s == "INFO", 3).otherwise(4), "id")
 
 
 @query("cod_34_largest_hot_methods", """

@@ -84,11 +84,9 @@ def weighted_severity(m: Model) -> DataFrame:
     return m.game_code_analysis.groupBy("class_name").agg(F.sum(F.when(s == "BUG", 40).when(s == "WARNING", 25).when(s == "INFO", 10).otherwise(0)).alias("weight"))
 
 
-@query("srt_01_multi_key_sort_whole")
-@query("srt_01_multi_key_sort", "SELECT definition_type, name FROM xml_definitions ORDER BY definition_type DESC, name LIMIT 500", limit=500)
-def multi_key_sort(m: Model, limit: int | None = None) -> DataFrame:
-    out = m.xml_definitions.select("definition_type", "name").orderBy(F.desc("definition_type"), "name")
-    return out.limit(limit) if limit else out
+@query("srt_01_multi_key_sort", "SELECT definition_type, name FROM xml_definitions ORDER BY definition_type DESC, name")
+def multi_key_sort(m: Model) -> DataFrame:
+    return m.xml_definitions.select("definition_type", "name").orderBy(F.desc("definition_type"), "name")
 
 
 @query("srt_03_top_k", "SELECT callee_id, count(*) AS n FROM calls GROUP BY 1 ORDER BY n DESC, callee_id LIMIT 25")
@@ -96,13 +94,11 @@ def top_k(m: Model) -> DataFrame:
     return m.calls.groupBy("callee_id").agg(n().alias("n")).orderBy(F.desc("n"), "callee_id").limit(25)
 
 
-@query("srt_05_sort_by_subquery_whole")
-@query("srt_05_sort_by_subquery", "SELECT d.id, (SELECT count(*) FROM xml_references r WHERE r.source_def_id = d.id) AS refs FROM xml_definitions d ORDER BY refs DESC, d.id LIMIT 100", limit=100)
-def sort_by_count(m: Model, limit: int | None = None) -> DataFrame:
+@query("srt_05_sort_by_subquery", "SELECT d.id, (SELECT count(*) FROM xml_references r WHERE r.source_def_id = d.id) AS refs FROM xml_definitions d ORDER BY refs DESC, d.id")
+def sort_by_count(m: Model) -> DataFrame:
     refs = m.xml_references.groupBy(F.col("source_def_id").alias("id")).agg(n().alias("refs"))
     rows = m.xml_definitions.select("id").join(refs, "id", "left").select("id", F.coalesce("refs", F.lit(0).cast("long")).alias("refs"))
-    out = rows.orderBy(F.desc("refs"), "id")
-    return out.limit(limit) if limit else out
+    return rows.orderBy(F.desc("refs"), "id")
 
 
 @query("set_01_union_all", "SELECT caller_id, 'inner' AS kind FROM calls UNION ALL SELECT caller_id, 'outer' FROM external_calls")

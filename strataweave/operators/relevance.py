@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Model, n, query
+from ..model import REGISTRY, Model, n, query
 
 #: Weight of each factor.
 WEIGHTS = {"connectivity": 1.0, "entity": 1.2, "mod": 1.5, "keyword": 0.8}
@@ -133,33 +133,15 @@ def missing_scores(m: Model, scored: DataFrame, force: bool = False) -> DataFram
     return rows if force else rows.join(scored.select("id"), "id", "left_anti")
 
 
-@query("inc_07_score_only_missing_whole")
+@query("inc_07_score_only_missing", f"SELECT s.id, s.total_score FROM ({REGISTRY['cod_26_relevance_scores'][1]}) s JOIN game_code_analysis g ON g.id = s.id WHERE g.severity <> 'BUG'")
 def relevance_of_missing(m: Model) -> DataFrame:
     """Relevance scores of findings not scored before; bugs stand for those that were."""
     return missing_scores(m, m.game_code_analysis.filter("severity = 'BUG'"))
 
 
-@query("inc_07_score_only_missing", f"""
-    WITH p AS (SELECT id, {PENALTY_SQL} AS penalty FROM game_code_analysis) SELECT p.id, p.penalty FROM p LEFT JOIN (SELECT id FROM game_code_analysis WHERE severity = 'BUG') s ON s.id = p.id WHERE s.id IS NULL""")
-def score_only_missing(m: Model) -> DataFrame:
-    """Penalties of findings not scored before; bugs stand for those that were."""
-    scored = m.game_code_analysis.filter("severity = 'BUG'").select("id")
-    return artifact_penalties(m).join(scored, "id", "left_anti")
-
-
-@query("cod_32_scored_findings", f"""
-    WITH p AS (SELECT id, {PENALTY_SQL} AS penalty FROM game_code_analysis WHERE severity <> 'INFO')
-    SELECT g.id, g.severity, coalesce(p.penalty, 0) AS score FROM game_code_analysis g LEFT JOIN p ON p.id = g.id ORDER BY score DESC, g.severity, g.id""")
+@query("cod_32_scored_findings", f"SELECT g.id, g.severity, coalesce(s.total_score, 0) AS score FROM game_code_analysis g LEFT JOIN ({REGISTRY['cod_26_relevance_scores'][1]}) s ON s.id = g.id")
 def scored_findings(m: Model) -> DataFrame:
-    """All findings with their score, 0 where there is none, the best first."""
-    scores = artifact_penalties(m).join(m.game_code_analysis.filter("severity <> 'INFO'").select("id"), "id", "left_semi")
-    rows = m.game_code_analysis.select("id", "severity").join(scores, "id", "left")
-    return rows.select("id", "severity", F.coalesce("penalty", F.lit(0)).alias("score")).orderBy(F.desc("score"), "severity", "id")
-
-
-@query("cod_32_scored_findings_whole")
-def findings_by_relevance(m: Model) -> DataFrame:
-    """All findings with their relevance score, the best first."""
+    """All findings with their relevance score, 0 where there is none, the best first."""
     rows = m.game_code_analysis.select("id", "severity").join(relevance_scores(m).withColumnRenamed("total_score", "score"), "id", "left")
     return rows.select("id", "severity", F.coalesce("score", F.lit(0)).alias("score")).orderBy(F.desc("score"), "severity", "id")
 

@@ -152,5 +152,5 @@ def fuzzy_match(names: DataFrame, known: DataFrame, least: float = 0.4, top: int
 def fuzzy_classes(m: Model) -> DataFrame:
     """Distinct names that code depends on against the names of definitions."""
     known = m.xml_definitions.select(F.col("name").alias("known"), F.col("definition_type").alias("kind"))
-    deps = m.over(csharp_deps="csharp_deps_whole").csharp_deps
+    deps = m.csharp_deps
     return fuzzy_match(deps.select(F.col("dependency_name").alias("name")), known)

@@ -1,4 +1,4 @@
-"""Whole jobs of which a registered query with SQL does a part."""
+"""Queries whose whole results are held against searches and sums in Python."""
 
 import re
 
@@ -43,15 +43,15 @@ def reached(edges, depth=10):
 
 def test_closure_goes_ten_steps(chain):
     want = reached([(i, i - 1) for i in range(2, STEPS + 1)])
-    assert {tuple(r) for r in REGISTRY["grf_04_transitive_closure_whole"][0](chain).select("source", "target", "depth").collect()} == want
+    assert {tuple(r) for r in REGISTRY["grf_04_transitive_closure"][0](chain).select("source", "target", "depth").collect()} == want
     run = lambda name: REGISTRY[name][0](chain).collect()
-    assert {(r["side"], r["entity_id"], r["depth"]) for r in run("grf_05_impact_analysis_whole")} == {("dependent", i, i - 1) for i in range(2, 12)}
-    assert {r["base_entity"]: r["dependent_count"] for r in run("grf_06_inheritance_hotspots_whole")}["i1"] == 10
-    assert {r["base_entity"]: len(r["dependents"].split(",")) for r in run("grf_07_hotspots_with_dependents_whole")}["i1"] == 10
-    assert {r["id"]: r["max_depth"] for r in run("grf_08_dependency_stats_whole")}[STEPS] == 10
-    assert {(r["parent_entity"], r["child_entity"], r["depth"]) for r in run("cnf_16_h2_broken_inheritance_whole")} == {(f"i{t}", f"i{s}", d) for s, t, d in want if d > 1}
-    assert max(r["depth"] for r in run("cnf_22_m1_transitive_property_override_whole")) == 10
-    assert [(r["entity_id"], r["dependent_count"]) for r in run("cnf_24_m3_shared_parent_whole")] == [(1, 10)]
+    assert {(r["side"], r["entity_id"], r["depth"]) for r in run("grf_05_impact_analysis")} == {("dependent", i, i - 1) for i in range(2, 12)}
+    assert {r["base_entity"]: r["dependent_count"] for r in run("grf_06_inheritance_hotspots")}["i1"] == 10
+    assert {r["base_entity"]: len(r["dependents"].split(",")) for r in run("grf_07_hotspots_with_dependents")}["i1"] == 10
+    assert {r["id"]: r["max_depth"] for r in run("grf_08_dependency_stats")}[STEPS] == 10
+    assert {(r["parent_entity"], r["child_entity"], r["depth"]) for r in run("cnf_16_h2_broken_inheritance")} == {(f"i{t}", f"i{s}", d) for s, t, d in want if d > 1}
+    assert max(r["depth"] for r in run("cnf_22_m1_transitive_property_override")) == 10
+    assert [(r["entity_id"], r["dependent_count"]) for r in run("cnf_24_m3_shared_parent")] == [(1, 10)]
 
 
 def test_engine_goes_ten_steps(chain):
@@ -62,7 +62,7 @@ def test_engine_goes_ten_steps(chain):
 def test_closure_of_tables_equals_search(spark, sf_dir):
     m = Model(spark, sf_dir)
     edges = [(r["source"], r["target"]) for r in REGISTRY["grf_02_direct_edges"][0](m).collect()]
-    assert {(r["source"], r["target"], r["depth"]) for r in REGISTRY["grf_04_transitive_closure_whole"][0](m).collect()} == reached(edges)
+    assert {(r["source"], r["target"], r["depth"]) for r in REGISTRY["grf_04_transitive_closure"][0](m).collect()} == reached(edges)
 
 
 def score_of(a, b):
@@ -99,17 +99,17 @@ def test_fuzzy_match_scores_all_pairs(spark):
 def test_fuzzy_match_takes_full_names(spark, sf_dir):
     m = Model(spark, sf_dir)
     best = {r["name"]: r["score"] for r in REGISTRY["scl_17_fuzzy_match"][0](m).filter("rank = 1").collect()}
-    assert min(best.values()) >= 1 and set(best) == {r["dependency_name"] for r in m.csharp_deps_whole.select("dependency_name").collect()}
+    assert min(best.values()) >= 1 and set(best) == {r["dependency_name"] for r in m.csharp_deps.select("dependency_name").collect()}
 
 
 def test_summaries_take_all_patterns(spark):
     """H2, H3, M1 and M3 meet in the chain; of these only pairs of mods can be stored."""
     m = chain_of(spark, 3)
-    summary = {r["severity"]: r["patterns_found"].split(",") for r in REGISTRY["cnf_30_conflict_summary_whole"][0](m).collect()}
+    summary = {r["severity"]: r["patterns_found"].split(",") for r in REGISTRY["cnf_30_conflict_summary"][0](m).collect()}
     assert summary == {"high": ["H2", "H3"], "medium": ["M1", "M3"]}
-    kept = {r["pattern_id"]: r["n"] for r in REGISTRY["cnf_29_persistable_conflicts_whole"][0](m).collect()}
+    kept = {r["pattern_id"]: r["n"] for r in REGISTRY["cnf_29_persistable_conflicts"][0](m).collect()}
     assert set(kept) == {"H2", "H3", "M1"} and kept["H3"] == 3
-    rows = {(r["mod1_name"], r["mod2_name"]): r for r in REGISTRY["cnf_30_mod_interaction_matrix_whole"][0](m).collect()}
+    rows = {(r["mod1_name"], r["mod2_name"]): r for r in REGISTRY["cnf_30_mod_interaction_matrix"][0](m).collect()}
     assert rows["A", "A"]["medium_count"] > 0 and rows["B", "A"]["high_count"] > 0
     assert indirect.persistable(m, indirect._pair_conflicts(m).withColumn("entity_id", F.lit(-1).cast("long"))).isEmpty()
 
@@ -121,20 +121,20 @@ def test_sorts_keep_all_rows(spark):
         "game_code_analysis": ids.selectExpr("id", "case when id % 2 = 0 then 'BUG' else 'INFO' end as severity"),
     })
     run = lambda name: [tuple(r) for r in REGISTRY[name][0](m).collect()]
-    assert run("srt_01_multi_key_sort_whole") == [("item", f"{i:04}") for i in range(1, 701)]
-    assert run("srt_02_ranked_severities_whole") == [(i, "BUG") for i in range(2, 701, 2)] + [(i, "INFO") for i in range(1, 701, 2)]
-    assert run("srt_05_sort_by_subquery_whole") == [(i, 100 if i <= 7 else 0) for i in range(1, 701)]
+    assert run("srt_01_multi_key_sort") == [("item", f"{i:04}") for i in range(1, 701)]
+    assert run("srt_02_ranked_severities") == [(i, "BUG") for i in range(2, 701, 2)] + [(i, "INFO") for i in range(1, 701, 2)]
+    assert run("srt_05_sort_by_subquery") == [(i, 100 if i <= 7 else 0) for i in range(1, 701)]
 
 
 def test_dependencies_of_all_orders(spark, sf_dir):
     m = Model(spark, sf_dir)
-    assert m.csharp_deps_whole.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-    assert sum(r["n"] for r in REGISTRY["cnf_49_code_rollup_whole"][0](m).collect()) == m.csharp_deps_whole.count()
+    assert m.csharp_deps.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert sum(r["n"] for r in REGISTRY["cnf_49_code_rollup"][0](m).collect()) == m.csharp_deps.count()
 
 
 def test_index_holds_all_terms(spark):
     m = Model(spark, tables={"method_bodies": spark.createDataFrame([(1, "Guns and a gun, 7 zebras"), (2, "zebra"), (3, ""), (4, None)], "method_id long, body string")})
-    rows = {(r["method_id"], r["term"]): (r["tf"], r["doc_length"]) for r in REGISTRY["flt_06_postings_whole"][0](m).collect()}
+    rows = {(r["method_id"], r["term"]): (r["tf"], r["doc_length"]) for r in REGISTRY["flt_06_stemmed_postings"][0](m).collect()}
     assert rows == {(1, "gun"): (2, 6), (1, "and"): (1, 6), (1, "a"): (1, 6), (1, "7"): (1, 6), (1, "zebra"): (1, 6), (2, "zebra"): (1, 1)}
 
 
@@ -142,8 +142,8 @@ def test_scores_and_kinds_are_whole(spark, sf_dir):
     m = Model(spark, sf_dir)
     score = {r["id"]: r["total_score"] for r in relevance.relevance_scores(m).collect()}
     grave = {r["id"] for r in m.game_code_analysis.filter("severity = 'BUG'").collect()}
-    assert {r["id"]: r["total_score"] for r in REGISTRY["inc_07_score_only_missing_whole"][0](m).collect()} == {k: v for k, v in score.items() if k not in grave}
-    rows = REGISTRY["cod_32_scored_findings_whole"][0](m).collect()
+    assert {r["id"]: r["total_score"] for r in REGISTRY["inc_07_score_only_missing"][0](m).collect()} == {k: v for k, v in score.items() if k not in grave}
+    rows = REGISTRY["cod_32_scored_findings"][0](m).collect()
     assert {r["id"]: r["score"] for r in rows} == score and [r["score"] for r in rows] == sorted(score.values(), reverse=True)
-    counts = REGISTRY["cnf_38_harmony_conflicts_whole"][0](m).collect()
+    counts = REGISTRY["cnf_38_harmony_conflicts"][0](m).collect()
     assert len({r["conflict_type"] for r in counts}) > 2 and sum(r["n"] for r in counts) == patches.harmony_conflicts(m).count()
