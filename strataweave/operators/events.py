@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Model, n, query
+from .code import METHOD, lines
 
 KEY = ["owner_type", "event_name"]
 
@@ -44,13 +45,86 @@ def effective_callers(m: Model) -> DataFrame:
     return m.calls.join(methods, "callee_id").join(types, "type_id").groupBy("target_class", "target_method").agg(F.countDistinct("caller_id").alias("affected_callers"))
 
 
-@query("evt_05_event_names", """
-    SELECT DISTINCT event_name, event_name IN ('click', 'purchase', 'signup') OR event_name LIKE 'On%' OR event_name LIKE '%Changed' OR event_name LIKE '%Event' AS looks_like_event FROM event_declarations""")
-def event_names(m: Model, known: tuple[str, ...] = ("click", "purchase", "signup")) -> DataFrame:
-    """Whether a name is that of an event: a known one, On…, …Changed or …Event."""
+#: Names known to be events, whatever their case, and how the names of others begin, end or go.
+KNOWN_EVENTS = (
+    "DragAndDropItemChanged", "OnBackpackItemsChangedInternal", "OnToolbeltItemsChangedInternal", "OnInventoryChanged", "ItemsChanged", "SlotChanged", "OnOpen",
+    "OnClose", "OnValueChanged", "OnClick", "OnPress",
+)
+FIRED_LIKE = r"^On|Changed$|Event$|ItemsChanged"
+HANDLED_LIKE = FIRED_LIKE + r"|Fired$|Triggered$|Handler$|Click|Press"
+
+
+def looks_like_event(name: Column, pattern: str = HANDLED_LIKE) -> Column:
+    return F.lower(name).isin(*map(str.lower, KNOWN_EVENTS)) | F.rlike(name, F.lit(pattern))
+
+
+@query("evt_05_event_names", f"""
+    WITH n AS (SELECT DISTINCT event_name FROM event_declarations UNION SELECT DISTINCT 'On' || event_name || 'Raised' FROM event_declarations UNION SELECT DISTINCT event_name || 'Fired' FROM event_declarations
+      UNION SELECT DISTINCT 'SLOT' || upper(event_name) FROM event_declarations UNION SELECT 'slotchanged' UNION SELECT 'MouseClicks' UNION SELECT 'onlooker')
+    SELECT event_name, lower(event_name) IN ({", ".join(f"'{k.lower()}'" for k in KNOWN_EVENTS)}) OR starts_with(event_name, 'On') OR suffix(event_name, 'Changed') OR suffix(event_name, 'Event') OR suffix(event_name, 'Fired')
+      OR suffix(event_name, 'Triggered') OR suffix(event_name, 'Handler') OR contains(event_name, 'ItemsChanged') OR contains(event_name, 'Click') OR contains(event_name, 'Press') AS handled_like,
+      lower(event_name) IN ({", ".join(f"'{k.lower()}'" for k in KNOWN_EVENTS)}) OR starts_with(event_name, 'On') OR suffix(event_name, 'Changed') OR suffix(event_name, 'Event') OR contains(event_name, 'ItemsChanged') AS fired_like FROM n""")
+def event_names(m: Model) -> DataFrame:
+    """Whether a name may be that of an event that is handled, or (with fewer rules) fired; over declared names and forms of them."""
     name = F.col("event_name")
-    looks = name.isin(*known) | name.startswith("On") | name.endswith("Changed") | name.endswith("Event")
-    return m.event_declarations.select("event_name", looks.alias("looks_like_event")).distinct()
+    own = m.event_declarations.select("event_name").distinct()
+    forms = F.array(name, F.concat(F.lit("On"), name, F.lit("Raised")), F.concat(name, F.lit("Fired")), F.concat(F.lit("SLOT"), F.upper(name)), *map(F.lit, ("slotchanged", "MouseClicks", "onlooker")))
+    names = own.select(F.explode(forms).alias("event_name")).distinct()
+    return names.select("event_name", looks_like_event(name).alias("handled_like"), looks_like_event(name, FIRED_LIKE).alias("fired_like"))
+
+
+#: What a variable's name says of its type.
+OWNER_OF_VARIABLE = {
+    "player": "EntityPlayerLocal", "entityPlayer": "EntityPlayerLocal", "_player": "EntityPlayerLocal", "backpack": "Bag", "Backpack": "Bag", "_backpack": "Bag",
+    "toolbelt": "Inventory", "Toolbelt": "Inventory", "_toolbelt": "Inventory",
+}
+OWNER_OF_MEMBER = {"Backpack": "Bag", "Toolbelt": "Inventory", "Player": "EntityPlayerLocal"}
+
+
+def _owner(receiver: Column, own: Column) -> Column:
+    """Type of the object that an event belongs to, by the text before it; without any, the class around it."""
+    last = F.substring_index(receiver, ".", -1)
+    pick = lambda table, key: F.coalesce(*(F.when(key == k, v) for k, v in table.items()))
+    variable = F.coalesce(pick(OWNER_OF_VARIABLE, receiver), F.when(F.rlike(receiver, F.lit("[iI]nventory")), "XUiM_PlayerInventory"), receiver)
+    return F.when((receiver == "") | (receiver == "this"), own).when(F.contains(receiver, F.lit(".")), F.coalesce(pick(OWNER_OF_MEMBER, last), last)).otherwise(variable)
+
+
+def event_rows(files: DataFrame) -> DataFrame:
+    """file_path, content -> declarations, subscriptions and fires of events, one row each, with the class around them.
+
+    kind: declaration, subscription or fire; detail: the delegate's type, ``add`` or ``remove``, or how it is fired; handler:
+    the method that a subscription names (``<lambda>`` for one without a name); conditional: fired only if not null.
+    """
+    order = Window.partitionBy("file_path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines(files).withColumn("type", F.last(F.nullif(F.regexp_extract("line", r"\b(?:class|struct|interface)\s+(\w+)", 1), F.lit("")), ignorenulls=True).over(order))
+    code = rows.filter(~F.rlike("line", F.lit(r"^\s*(//|\*|/\*)")))
+    own = F.coalesce("type", F.lit("Unknown"))
+    hit = lambda pattern: code.select("file_path", "line_number", "line", own.alias("type"), F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("hit"))
+    part = lambda pattern, k: F.regexp_extract("hit", pattern, k)
+    no = F.lit(None)
+    shape = lambda rows, kind, owner, name, detail, handler=no, conditional=no: rows.select(
+        "file_path", "line_number", F.lit(kind).alias("kind"), "type", owner.alias("owner_type"), name.alias("event_name"), detail.alias("detail"),
+        handler.cast("string").alias("handler"), conditional.cast("boolean").alias("conditional"),
+    )
+    declares = r"\bevent\s+([\w.]+(?:<[^;{=]*>)?)\s+(\w+)\s*(?:[;={]|$)"
+    declared = shape(hit(declares), "declaration", F.col("type"), part(declares, 2), part(declares, 1))
+    subscribes = r"((?:\w+\.)*)(\w+)\s*([+-])=\s*([^;]+)"
+    right = F.trim(part(subscribes, 4))
+    made = F.coalesce(F.nullif(F.regexp_extract(right, r"^new\s+[\w.<>]+\(\s*([\w.]+)", 1), F.lit("")), right)
+    handler = F.when(F.contains(right, F.lit("=>")), "<lambda>").otherwise(F.substring_index(made, ".", -1))
+    before = F.regexp_replace(part(subscribes, 1), r"\.$", "")
+    found = hit(subscribes).filter(looks_like_event(part(subscribes, 2)))
+    subscribed = shape(found, "subscription", _owner(before, F.col("type")), part(subscribes, 2), F.when(part(subscribes, 3) == "+", "add").otherwise("remove"), handler)
+    invokes = r"((?:\w+\??\.)*)(\w+)(\??)\.(Invoke|DynamicInvoke)\s*\("
+    before = F.regexp_replace(F.replace(part(invokes, 1), F.lit("?"), F.lit("")), r"\.$", "")
+    found = hit(invokes).filter(looks_like_event(part(invokes, 2), FIRED_LIKE))
+    invoked = shape(found, "fire", _owner(before, F.col("type")), part(invokes, 2), part(invokes, 4), conditional=F.contains(F.col("hit"), F.lit("?")))
+    # A direct call: a name by itself, neither a member nor what a declaration declares.
+    calls = r"(?<![\w.])(?<!\bnew )(\w+)\s*\("
+    declaration = F.rlike("line", F.lit(METHOD)) | F.rlike("line", F.lit(r"\bdelegate\b"))
+    found = hit(calls).filter(looks_like_event(part(calls, 1), FIRED_LIKE) & ~declaration)
+    called = shape(found, "fire", F.col("type"), part(calls, 1), F.lit("direct"), conditional=F.lit(False))
+    return declared.unionByName(subscribed).unionByName(invoked).unionByName(called)
 
 
 @query("evt_07_flow_coverage", """

@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
+
+def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """``rows`` as a Parquet table at ``path``, all or nothing, and what is stored there; ``append`` adds to it."""
+    rows.write.mode(mode).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to a table of their own in the shared folder, and read from there."""
+    return write_table(rows, f"{shared_dir(rows.sparkSession)}/tables/{name}-{uuid.uuid4().hex}", "error")
+
+
+def rebuild(rows: DataFrame, path: str, old: DataFrame | None, stale: DataFrame, key: list[str]) -> DataFrame:
+    """The table at ``path`` anew: ``old`` without the keys in ``stale``, then ``rows``. ``path`` must not be where ``old`` lies."""
+    kept = rows if old is None else old.join(stale.select(*key).distinct(), key, "left_anti").select(*rows.columns).unionByName(rows)
+    return write_table(kept, path)
+
+
+def copy_if_changed(source: DataFrame, target: DataFrame | None, path: str, hash_of: list[str]) -> tuple[DataFrame, bool]:
+    """``source`` copied to ``path`` unless ``target``, the copy of an earlier run, holds the same rows; the copy and whether it was made.
+
+    Rows are compared by the order-free sum of their hashes over ``hash_of`` and by their number.
+    """
+    seal = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*hash_of).cast("decimal(38,0)")), F.lit(0))).first()
+    if target is not None and seal(source) == seal(target):
+        return target, False
+    return write_table(source, path), True
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``new`` over ``old``: of rows with one key the new one stands."""
@@ -17,12 +49,14 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
     return old.unionByName(fresh.select(*old.columns))
 
 
-def keep_first(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old values stand, and nulls among them are filled from ``new``."""
+def keep_first(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Old values stand, and nulls among them are filled from ``new``: from its first row by ``order`` that has a value."""
     values = [c for c in old.columns if c not in key]
-    rank = old.withColumn("__r", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__r", F.lit(1)))
-    first = [F.coalesce(F.max(F.when(F.col("__r") == 0, F.col(c))), F.max(F.when(F.col("__r") == 1, F.col(c)))).alias(c) for c in values]
-    return rank.groupBy(*key).agg(*first).select(*old.columns)
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__place")))
+    late = new.withColumn("__place", place).groupBy(*key).agg(*(first(c).alias(f"__new_{c}") for c in values)).withColumn("__added", F.lit(True))
+    both = old.withColumn("__held", F.lit(True)).join(late, key, "full_outer")
+    return both.select(*(c if c in key else F.coalesce(c, f"__new_{c}").alias(c) for c in old.columns))
 
 
 def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:

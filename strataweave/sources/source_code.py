@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ATTRIBUTE = re.compile(r"\[HarmonyPatch\((.*)\)\]")
@@ -123,14 +123,17 @@ BODY_COLUMNS = "method string, parameters string, first_line long, last_line lon
 TREE_COLUMNS = "element_type string, element_name string, element_xpath string, property_value string, line_number long"
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
 def scan(files: DataFrame, of, columns: str) -> DataFrame:
     """file_path, content -> file_path and the rows that ``of`` (patches, bodies, tree) finds."""
-    names = ["file_path", *(c.split()[0] for c in columns.split(", "))]
+    schema = pa.schema([("file_path", pa.string()), *((c.split()[0], _ARROW[c.split()[1]]) for c in columns.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["file_path"], batch["content"], strict=True):
-                if content and (rows := of(content)):
-                    yield pd.DataFrame([r | {"file_path": path} for r in rows]).reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+            rows = [r | {"file_path": path} for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if content for r in of(content)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file_path", "content").mapInPandas(run, "file_path string, " + columns)
+    return files.select("file_path", "content").mapInArrow(run, "file_path string, " + columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +22,9 @@ ENTITIES = {
 #: Property names that refer to another entity.
 REFERRING = {
     "Extends": "item", "HandItem": "item", "BuffOnEat": "buff", "BuffOnExecute": "buff", "SpawnEntityName": "entity_class", "SoundIdle": "sound", "SoundDeath": "sound",
-    "SoundAttack": "sound", "SoundHurt": "sound", "LootListOnDeath": "loot_group",
+    "SoundAttack": "sound", "SoundRandom": "sound", "LootListOnDeath": "loot_group",
 }
 OPERATIONS = ("set", "append", "remove", "insertAfter", "insertBefore", "setattribute", "removeattribute", "csv")
-COLUMNS = ["path", "kind", "entity", "line_number", "definition_type", "name", "extends", "property_name", "property_value", "property_class", "target_type", "target_name", "context"]
 SCHEMA = "path string, kind string, entity long, line_number long, definition_type string, name string, extends string, property_name string, property_value string, property_class string, target_type string, target_name string, context string"
 
 
@@ -144,14 +143,22 @@ def parse(path: str, content: str | None, handler: type[_Config] = _Config) -> l
     return doc.rows
 
 
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64()}[c.split()[1]]) for c in SCHEMA.split(", ")])
+
+
 def _scan(files: DataFrame, handler: type[_Config]) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                if found := parse(path, content, handler):
-                    yield pd.DataFrame(found).reindex(columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+            found: list[dict] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.extend(parse(path, content, handler))
+                if len(found) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(found, _ARROW)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, _ARROW)
 
-    return files.select("path", "content").mapInPandas(rows, SCHEMA)
+    return files.select("path", "content").mapInArrow(rows, SCHEMA)
 
 
 def config_rows(files: DataFrame) -> DataFrame:
@@ -189,6 +196,53 @@ def change_operations(files: DataFrame) -> DataFrame:
     return rows.select("*", xp.normalise(path).alias("xpath_normalized"), xp.path_hash(path).alias("xpath_hash"), found["type"].alias("target_type"), found["name"].alias("target_name"), xp.property_name(path).alias("property_name"), xp.effect(path).alias("effect"))
 
 
+#: Elements that stand for an addition by themselves, and the parents whose names are not the element's plus s.
+ADDED = ("item", "block", "recipe", "buff", "entity_class", "quest", "trader", "vehicle", "lootcontainer", "lootgroup", "progression", "skill", "perk", "book")
+PARENTS = {"entity_class": "entityclasses"}
+#: What in a path tells the file it aims at, in order.
+TARGET_FILES = [
+    (r"/items|/item\[", "items.xml"), (r"/blocks|/block\[", "blocks.xml"), (r"/recipes|/recipe\[", "recipes.xml"), (r"/buffs|/buff\[", "buffs.xml"),
+    (r"/entityclasses|/entity_class\[", "entityclasses.xml"), ("/progression", "progression.xml"), ("/loot", "loot.xml"), ("/quests", "quests.xml"), ("/traders", "traders.xml"), ("/vehicles", "vehicles.xml"),
+]
+
+
+class _Additions(_Config):
+    """Rows of one change document by the second parser: operations with a path anywhere, and right below the root elements
+    with a path under other names and whole entities, which are added to their parents."""
+
+    def start(self, tag: str, a: dict, line: int) -> None:
+        self.depth += 1
+        name = tag.lower()
+        path = a.get("xpath")
+        if self.open is None and path and (name in ("set", "append", "insertafter", "insertbefore", "remove", "removeattribute") or self.depth == 2):
+            self.open, self.text = {"depth": self.depth, "operation": name, "path": path, "line": line}, ""
+        elif self.open is None and self.depth == 2 and name in ADDED:
+            label = a.get("name", a.get("id"))
+            parent = PARENTS.get(name, name + "s")
+            self.row("operation", line, definition_type="append", name=f"/{parent}", property_value=f'<{name} name="{label}">...</{name}>' if label else f"<{name}/>", context=f"{parent}.xml")
+
+    def end(self, tag: str) -> None:
+        if self.open is not None and self.depth == self.open["depth"]:
+            o = self.open
+            self.row("operation", o["line"], definition_type=o["operation"], name=o["path"], property_value=self.text or None)
+            self.open = None
+        self.depth -= 1
+
+    def data(self, text: str) -> None:
+        if self.open is not None:
+            self.text += text
+
+
+def xml_changes(files: DataFrame) -> DataFrame:
+    """Changes of change documents by the second parser: operation, path, property, new value and the file aimed at."""
+    path = F.col("name")
+    rows = _scan(files, _Additions).filter("kind = 'operation'")
+    named = F.nullif(F.regexp_extract(path, r"(?i)property\[@name=['\"]([^'\"]+)['\"]\]", 1), F.lit(""))
+    attribute = F.nullif(F.nullif(F.regexp_extract(path, r"/@([A-Za-z_]\w*)$", 1), F.lit("")), F.lit("value"))
+    target = F.coalesce("context", *(F.when(F.rlike(F.lower(path), F.lit(p)), f) for p, f in TARGET_FILES), F.substring_index("path", "/", -1))
+    return rows.select(F.col("path").alias("file_path"), "line_number", F.col("definition_type").alias("operation"), path.alias("xpath"), F.coalesce(named, attribute).alias("property_name"), F.col("property_value").alias("new_value"), target.alias("xml_file"))
+
+
 def mods(files: DataFrame) -> DataFrame:
     """One row for each folder with a ModInfo.xml: name, version, author, and load order by folder name."""
     info = files.filter(F.col("path").endswith("ModInfo.xml"))

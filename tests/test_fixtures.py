@@ -147,8 +147,8 @@ public class ItemActionFoo : ItemAction, IModApi
         x = 1;
     }
     public string Get() { return null; }
-    void Use() { AddBuff("buffBurning"); // AddBuff("no")
-        // AddBuff("buffCommented");
+    void Use() { e.AddBuff("buffBurning"); // AddBuff("no")
+        // e.AddBuff("buffCommented");
         GameManager.DoIt();
     }
 }
@@ -162,7 +162,9 @@ def test_code_rules(spark):
     assert {(r["analysis_type"], r["line_number"]) for r in code.block_findings(files).collect()} == {("empty_catch", 14), ("stub_method", 18)}
     assert [(r["line_number"], r["line"]) for r in code.unreachable(files).collect()] == [(16, "x = 1;")]
     names = {(r["entity_type"], r["entity_name"]) for r in code.hardcoded_entities(files).collect()}
-    assert ("buff", "buffBurning") in names and ("buff", "buffCommented") not in names and ("implements_imodapi", "IModApi") in names
+    assert ("buff", "buffBurning") in names and ("buff", "buffCommented") not in names
+    built = {(r["entity_type"], r["entity_name"]) for r in code.entity_dependencies(files).collect()} - names
+    assert built == {("extends_itemaction", "ItemAction")}
     assert ("GameManager", "DoIt") in {(r["target_class"], r["target_method"]) for r in code.static_calls(files).collect()}
     assert {(r["alias"], r["target"]) for r in code.imports(files).collect()} == {(None, "System"), ("Alias", "System.Text.Encoding")}
     assert [(r["class_name"], r["parent_class"], r["interfaces"]) for r in code.class_signatures(files).collect()] == [("ItemActionFoo", "ItemAction", "IModApi")]
