@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import REGISTRY, Model, n, query
+from .graph import settled
 
 #: Weight of each factor.
 WEIGHTS = {"connectivity": 1.0, "entity": 1.2, "mod": 1.5, "keyword": 0.8}
@@ -98,20 +99,60 @@ def mod_scores(m: Model) -> DataFrame:
     return rows.select("id", F.least(F.lit(50), F.col("p") + F.col("x") + F.col("d")).alias("score"))
 
 
-CONNECT_SQL = """
-    SELECT g.id, least(100, CASE WHEN coalesce(c.n, 0) >= 5 THEN 30 + 20 WHEN coalesce(c.n, 0) >= 3 THEN 15 + 10 WHEN coalesce(c.n, 0) >= 2 THEN 15 + 5 WHEN coalesce(c.n, 0) = 1 THEN 5 + 5 ELSE 0 END) AS score
-    FROM game_code_analysis g LEFT JOIN (SELECT me.name, count(DISTINCT c.caller_id) AS n FROM calls c JOIN methods me ON me.id = c.callee_id GROUP BY 1) c ON c.name = g.method_name"""
+CALLBACKS = ("Update", "LateUpdate", "FixedUpdate", "Awake", "Start")
+REACH_SQL = f"""
+    WITH RECURSIVE walk AS (SELECT id, 0 AS depth FROM methods WHERE name IN ({", ".join(f"'{c}'" for c in CALLBACKS)})
+      UNION SELECT calls.callee_id, walk.depth + 1 FROM walk JOIN calls ON calls.caller_id = walk.id WHERE walk.depth < 5)
+    SELECT name, CAST(min(depth) AS INTEGER) AS depth FROM walk JOIN methods USING (id) GROUP BY 1"""
+CONNECT_SQL = f"""
+    SELECT g.id, least(100, if(r.name IS NULL, 0, 10) + CASE WHEN coalesce(c.n, 0) >= 5 THEN 30 + 20 WHEN coalesce(c.n, 0) >= 3 THEN 15 + 10 WHEN coalesce(c.n, 0) >= 2 THEN 15 + 5 WHEN coalesce(c.n, 0) = 1 THEN 5 + 5 ELSE 0 END) AS score
+    FROM game_code_analysis g LEFT JOIN (SELECT me.name, count(DISTINCT c.caller_id) AS n FROM calls c JOIN methods me ON me.id = c.callee_id GROUP BY 1) c ON c.name = g.method_name
+    LEFT JOIN ({REACH_SQL}) r ON r.name = g.method_name"""
+
+
+def reachable_methods(m: Model, steps: int = 5) -> DataFrame:
+    """name, depth: the fewest calls (at most ``steps``) from a method that the engine calls to one of that name."""
+    edges = settled(m.calls.select(F.col("caller_id").alias("s"), F.col("callee_id").alias("t")).distinct())
+    frontier = seen = settled(m.methods.filter(F.col("name").isin(*CALLBACKS)).select("id", F.lit(0).alias("depth")).distinct())
+    for d in range(1, steps + 1):
+        new = frontier.join(edges, F.col("id") == F.col("s")).select(F.col("t").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        frontier = settled(new.withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.join(m.methods.select("id", "name"), "id").groupBy("name").agg(F.min("depth").alias("depth"))
+
+
+def caller_counts(m: Model) -> DataFrame:
+    """method_name, callers: distinct callers of the methods of a name."""
+    methods = m.methods.select(F.col("id").alias("callee_id"), F.col("name").alias("method_name"))
+    return m.calls.join(methods, "callee_id").groupBy("method_name").agg(F.countDistinct("caller_id").alias("callers"))
+
+
+@query("cod_22_reachability", f"""
+    SELECT g.id, CASE WHEN coalesce(c.n, 0) >= 5 THEN 'active' WHEN coalesce(c.n, 0) >= 2 THEN 'moderate' WHEN coalesce(c.n, 0) = 1 THEN 'low' ELSE 'unused' END AS usage_level,
+      CASE WHEN coalesce(c.n, 0) >= 5 THEN 'high' WHEN coalesce(c.n, 0) >= 2 THEN 'medium' WHEN coalesce(c.n, 0) = 1 THEN 'low' ELSE 'none' END AS confidence, r.name IS NOT NULL AS reachable, coalesce(r.depth, -1) AS depth
+    FROM game_code_analysis g LEFT JOIN (SELECT me.name, count(DISTINCT c.caller_id) AS n FROM calls c JOIN methods me ON me.id = c.callee_id GROUP BY 1) c ON c.name = g.method_name
+    LEFT JOIN ({REACH_SQL}) r ON r.name = g.method_name""")
+def reachability(m: Model) -> DataFrame:
+    """How much each finding's method is used, and within how many calls the engine comes to it (-1: in none of five)."""
+    reach = reachable_methods(m).withColumnRenamed("name", "method_name")
+    rows = m.game_code_analysis.select("id", "method_name").join(caller_counts(m), "method_name", "left").join(reach, "method_name", "left")
+    c = F.coalesce("callers", F.lit(0))
+    level = lambda *names: F.when(c >= 5, names[0]).when(c >= 2, names[1]).when(c == 1, names[2]).otherwise(names[3])
+    depth = F.col("depth")
+    return rows.select("id", level("active", "moderate", "low", "unused").alias("usage_level"), level("high", "medium", "low", "none").alias("confidence"), depth.isNotNull().alias("reachable"), F.coalesce(depth, F.lit(-1)).alias("depth"))
 
 
 @query("cod_27_connectivity_scores", CONNECT_SQL)
 def connectivity_scores(m: Model) -> DataFrame:
-    """Usage level by callers (five active, two moderate, one low), plus points for the callers themselves."""
-    methods = m.methods.select(F.col("id").alias("callee_id"), F.col("name").alias("method_name"))
-    counts = m.calls.join(methods, "callee_id").groupBy("method_name").agg(F.countDistinct("caller_id").alias("n"))
-    c = F.coalesce("n", F.lit(0))
+    """Usage level by callers (five active, two moderate, one low), points for the callers themselves, ten for what is reachable."""
+    c = F.coalesce("callers", F.lit(0))
     usage = F.when(c >= 5, USAGE_POINTS["active"]).when(c >= 2, USAGE_POINTS["moderate"]).when(c >= 1, USAGE_POINTS["low"]).otherwise(0)
     callers = F.when(c >= 5, 20).when(c >= 3, 10).when(c >= 1, 5).otherwise(0)
-    return m.game_code_analysis.join(counts, "method_name", "left").select("id", F.least(F.lit(100), usage + callers).alias("score"))
+    reach = reachable_methods(m).select(F.col("name").alias("method_name"), F.lit(10).alias("reach"))
+    rows = m.game_code_analysis.join(caller_counts(m), "method_name", "left").join(reach, "method_name", "left")
+    return rows.select("id", F.least(F.lit(100), usage + callers + F.coalesce("reach", F.lit(0))).alias("score"))
 
 
 @query("cod_26_relevance_scores", f"""

@@ -154,3 +154,28 @@ def fuzzy_classes(m: Model) -> DataFrame:
     known = m.xml_definitions.select(F.col("name").alias("known"), F.col("definition_type").alias("kind"))
     deps = m.csharp_deps
     return fuzzy_match(deps.select(F.col("dependency_name").alias("name")), known)
+
+
+def four_factor_score(a: F.Column, b: F.Column, kind_a: F.Column, kind_b: F.Column) -> F.Column:
+    """Token overlap, edit, affix and semantic token similarity, weighted, and a bonus for the type."""
+    x, y = tx.name_tokens(a), tx.name_tokens(b)
+    return 0.35 * tx.jaccard(x, y) + 0.25 * tx.edit_similarity(a, b) + 0.15 * tx.affix_similarity(a, b) + 0.25 * tx.token_similarity(x, y) + tx.type_bonus(kind_a, kind_b)
+
+
+def four_factor_match(names: DataFrame, known: DataFrame, least: float = 0.4, top: int = 5) -> DataFrame:
+    """For each (name, expected) the best ``top`` of ``known`` (known, kind) by four factors, at least ``least``, capped at 1."""
+    side = names.select("name", "expected").distinct()
+    pairs = side.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name").crossJoin(F.broadcast(known.select("known", "kind").distinct()))
+    scored = pairs.withColumn("s", four_factor_score(F.col("name"), F.col("known"), F.col("expected"), F.col("kind"))).filter(F.col("s") >= least)
+    capped = scored.select("name", "expected", "known", "kind", F.round(F.least("s", F.lit(1.0)), 6).alias("score"))
+    order = Window.partitionBy("name", "expected").orderBy(F.desc("score"), "known", "kind")
+    return capped.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+
+
+@query("scl_16_four_factor_match")
+def four_factor_entities(m: Model) -> DataFrame:
+    """Names of references that no definition has, against the definitions."""
+    defs = m.xml_definitions
+    missing = m.xml_references.join(defs.select(F.col("name").alias("target_name")), "target_name", "left_anti")
+    known = defs.select(F.col("name").alias("known"), F.col("definition_type").alias("kind"))
+    return four_factor_match(missing.select(F.col("target_name").alias("name"), F.col("target_type").alias("expected")), known, least=0.15)
