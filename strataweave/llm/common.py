@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,17 @@ def utf8_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(1)).cast("long")
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, after which the worker gives free memory back to the system: workers live on, and stages with large arrays
+    would otherwise leave the next ones little room."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tasks_for(df: DataFrame, task_bytes: int) -> int:
     """Tasks for ``df`` at ``task_bytes`` of stored input each, by Catalyst's estimate; the session's number at least."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import cut, documents, fresh, table
+from .common import cut, documents, fresh, released, table
 
 MIN_MATCH, COVERAGE = 5, 0.6
 BLOCK_BYTES = 8 << 20
@@ -295,7 +295,7 @@ def tiled_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATC
     items, texts = _items_of(benchmark), documents(docs)
     if small := _small(items, min_match, coverage, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(small)
-        out = texts.mapInArrow(lambda it: _pairs(it, sent), "doc_id long, item_id long, tiled_words long, item_words long, n_tiles long")
+        out = texts.mapInArrow(lambda it: released(_pairs(it, sent)), "doc_id long, item_id long, tiled_words long, item_words long, n_tiles long")
     else:
         texts, items = texts.withColumn("dkey", F.xxhash64("text")), items.withColumn("ikey", F.xxhash64("text"))
         pairs = _joined(texts, items, min_match, coverage)
@@ -320,7 +320,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
     if small := _small(items, min_match, coverage, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(small)
         rows = docs.select("text", *(c for c in docs.columns if c != "text"))
-        return rows.mapInArrow(lambda it: _clean(it, sent), rows.schema).select(*docs.columns)
+        return rows.mapInArrow(lambda it: released(_clean(it, sent)), rows.schema).select(*docs.columns)
     (key,) = fresh(docs.columns, "dkey")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     texts = keyed.select(F.col(key).alias("dkey"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

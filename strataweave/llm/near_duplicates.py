@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import bytescan
-from .common import WORD, cut, documents, fresh, quoted, table, tasks_for
+from .common import WORD, cut, documents, fresh, quoted, released, table, tasks_for
 from .components import components
 
 PERCENT = 80
@@ -45,7 +45,7 @@ SUBSETS = list(combinations(range(N2), N2 - K2))
 #: Least buckets of a sketch.
 SKETCH = 128
 #: Signatures that a task holds before it passes them on.
-FLUSH = 1_500_000
+FLUSH = 750_000
 LIST_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 512, 1_000_000
 #: Stored bytes of documents for one task; a task holds about ten times as much. Larger executors may take more.
 TASK_BYTES = 8 << 20
@@ -403,8 +403,8 @@ def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame,
     tasks = tasks_for(docs, task_bytes)
     bits = (tasks - 1).bit_length() + 1
     source = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    raw = source.mapInArrow(lambda it: _scan(it, percent, bits), RAW).repartition(tasks, "bucket")
-    dealt = cut(raw.mapInArrow(lambda it: _lists(it, bits), "kind int, a long, b long, t long, n long, blob binary"))
+    raw = source.mapInArrow(lambda it: released(_scan(it, percent, bits)), RAW).repartition(tasks, "bucket")
+    dealt = cut(raw.mapInArrow(lambda it: released(_lists(it, bits)), "kind int, a long, b long, t long, n long, blob binary"))
     sets = dealt.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("t").alias("text_hash"), F.col("b").alias("sid"), "n", "blob")
     # A class is read again by the text of its least id; a class of null ids only by one of its texts.
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash")))
@@ -414,7 +414,7 @@ def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame,
     pairs = ["list", "x", "y"]
     members = lists.mapInArrow(_members, "list long, x long, y long, sid long, left boolean")
     sized = members.join(classes.select("sid", "n", "sketch"), "sid").select(*pairs, "sid", "left", "n", "sketch")
-    close = sized.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: _close(it, percent), "a long, b long")
+    close = sized.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: released(_close(it, percent)), "a long, b long")
     families = cut(components(close).join(classes.select("sid", "least", "copies", "n"), F.col("node") == F.col("sid")).select("root", "sid", "least", "copies", "n"))
 
     blocks = cut(families.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks")))
@@ -428,7 +428,7 @@ def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame,
         source.join(wanted, same).select("root", "sid", "copies", "own", "text", other)
         .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "copies", (F.col("own") <= F.col("other")).alias("left"), "text")
     )
-    verified = cut(texts.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: _verify(it, percent), "a long, b long, links long"))
+    verified = cut(texts.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: released(_verify(it, percent)), "a long, b long, links long"))
 
     roots = components(verified.filter("b is not null").select("a", "b"))
     links = verified.filter("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table
+from .common import documents, released, slices, table
 
 SPACE = "▁"
 #: Units longer than this are not kept in the table of known ones.
@@ -263,7 +263,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, text -> doc_id, ids (array<int>), decoded."""
     model = model or default_model()
     rows = documents(docs).select("text", "doc_id")
-    return rows.mapInArrow(lambda it: _encode(it, model), "text string, doc_id long, ids array<int>, decoded string").select("doc_id", "ids", "decoded")
+    return rows.mapInArrow(lambda it: released(_encode(it, model)), "text string, doc_id long, ids array<int>, decoded string").select("doc_id", "ids", "decoded")
 
 
 def encode_columns(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -272,7 +272,7 @@ def encode_columns(docs: DataFrame, model: str | None = None) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
     rows = docs.select("text", *own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", ids array<int>, decoded string"
-    return rows.mapInArrow(lambda it: _encode(it, model), schema).drop("text")
+    return rows.mapInArrow(lambda it: released(_encode(it, model)), schema).drop("text")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import documents, table
+from .common import documents, released, table
 
 SHAPES, REPEATS, WORDS = 768, 3, 1 << 14
 #: Cells of shapes and repeats, which most texts fill, come first; words, which are sparse, after them.
@@ -100,7 +100,7 @@ class Terms:
         norm = np.maximum(norm, 1e-12).astype(np.float32)
         self.dense, self.values = self.dense / norm[:, None], self.values / norm[self.row]
 
-    def times(self, axes: np.ndarray, block: int = 100_000) -> np.ndarray:
+    def times(self, axes: np.ndarray, block: int = 8192) -> np.ndarray:
         """The matrix times ``axes`` (TERMS rows); entries by blocks, so that memory follows the block."""
         out = self.dense @ axes[:DENSE]
         for a in range(0, len(self.cells), block):
@@ -109,7 +109,7 @@ class Terms:
             out[row[first]] += np.add.reduceat(axes[DENSE + self.cells[a : a + block]] * self.values[a : a + block, None], first, axis=0)
         return out
 
-    def transposed_times(self, y: np.ndarray, block: int = 100_000) -> np.ndarray:
+    def transposed_times(self, y: np.ndarray, block: int = 8192) -> np.ndarray:
         out = np.zeros((TERMS, y.shape[1]), np.float32)
         out[:DENSE] = self.dense.T @ y
         order = np.argsort(self.cells, kind="stable")
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, rank: int
     rows = documents(docs).join(chosen, "doc_id").select("text", "quality", "ordinal")
     types = "dense array<float>, cells array<int>, counts array<float>, n_words long, quality int, ordinal long"
     # A text of very many words fills at most WORDS cells, so at most max_labelled rows of bounded size come to the driver.
-    found = rows.mapInArrow(_features, types).orderBy("ordinal", "quality", "n_words", "dense").limit(max_labelled).toArrow()
+    found = rows.mapInArrow(lambda it: released(_features(it)), types).orderBy("ordinal", "quality", "n_words", "dense").limit(max_labelled).toArrow()
     flat = lambda c, t: np.asarray(found.column(c).combine_chunks().flatten() if len(found) else pa.array([], pa.float32()), dtype=t)
     lengths = [len(x) for x in found.column("cells")]
     counts = Counts(flat("dense", np.float32).reshape(len(found), DENSE), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), flat("cells", np.int64), flat("counts", np.float32), np.asarray(found.column("n_words").to_numpy()))
@@ -190,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, rank: int
 
 def _scores(batches: Iterator[pa.RecordBatch], voters, neighbours: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, len(batch), 1024):
-            part = batch.slice(a, 1024)
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
             score = voters.value.vote(term_counts(part.column(0)), neighbours)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
 
@@ -203,7 +203,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000
     own = [c for c in docs.columns if c not in ("text", "score")]
     rows = docs.select("text", *own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double"
-    return rows.mapInArrow(lambda it: _scores(it, voters, neighbours), schema)
+    return rows.mapInArrow(lambda it: released(_scores(it, voters, neighbours)), schema)
 
 
 def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
