@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import REMOVALS, Model, csv, n, query, total, with_mod
+from .graph import CLOSURE_SQL, closure
 
 def zero() -> Column:
     return F.lit(0).cast("long")
@@ -98,15 +101,21 @@ def mod_health(m: Model) -> DataFrame:
 @query("cnf_47_superlatives", """
     SELECT 'longest_item_name' AS what, name AS who, CAST(length(name) AS BIGINT) AS n FROM (SELECT name FROM xml_definitions WHERE definition_type = 'item' ORDER BY length(name) DESC, name LIMIT 1) a
     UNION ALL SELECT 'most_referenced', target_name, n FROM (SELECT target_name, count(*) AS n FROM xml_references GROUP BY 1 ORDER BY n DESC, target_name LIMIT 1) b
-    UNION ALL SELECT 'most_properties', name, n FROM (SELECT d.name, count(*) AS n FROM xml_properties p JOIN xml_definitions d ON d.id = p.definition_id GROUP BY 1 ORDER BY n DESC, name LIMIT 1) c""")
+    UNION ALL SELECT 'most_properties', name, n FROM (SELECT d.name, count(*) AS n FROM xml_properties p JOIN xml_definitions d ON d.id = p.definition_id GROUP BY 1 ORDER BY n DESC, name LIMIT 1) c
+    UNION ALL SELECT 'most_outgoing', name, n FROM (SELECT d.name, count(*) AS n FROM xml_references r JOIN xml_definitions d ON d.id = r.source_def_id GROUP BY 1 ORDER BY n DESC, name LIMIT 1) e
+    UNION ALL SELECT 'most_incoming', name, n FROM (SELECT d.name, count(*) AS n FROM xml_references r JOIN xml_definitions d ON (d.definition_type, d.name) = (r.target_type, r.target_name) GROUP BY 1 ORDER BY n DESC, name LIMIT 1) f""")
 def superlatives(m: Model) -> DataFrame:
-    """The longest item name, the most referenced entity, the one with most properties; ties by name."""
+    """The longest item name, the name referenced most, the definitions with most properties, references out and references in; ties by name."""
     best = lambda rows, what: rows.orderBy(F.desc("n"), "who").limit(1).select(F.lit(what).alias("what"), "who", "n")
     longest = m.xml_definitions.filter("definition_type = 'item'").select(F.col("name").alias("who"), F.length("name").cast("long").alias("n"))
     referenced = m.xml_references.groupBy(F.col("target_name").alias("who")).agg(n().alias("n"))
     names = m.xml_definitions.select(F.col("id").alias("definition_id"), F.col("name").alias("who"))
     properties = m.xml_properties.join(names, "definition_id").groupBy("who").agg(n().alias("n"))
-    return best(longest, "longest_item_name").unionByName(best(referenced, "most_referenced")).unionByName(best(properties, "most_properties"))
+    outgoing = m.xml_references.join(names.withColumnRenamed("definition_id", "source_def_id"), "source_def_id").groupBy("who").agg(n().alias("n"))
+    ends = m.xml_definitions.select(F.col("definition_type").alias("target_type"), F.col("name").alias("target_name"))
+    incoming = m.xml_references.join(ends, ["target_type", "target_name"]).groupBy(F.col("target_name").alias("who")).agg(n().alias("n"))
+    found = {"longest_item_name": longest, "most_referenced": referenced, "most_properties": properties, "most_outgoing": outgoing, "most_incoming": incoming}
+    return reduce(DataFrame.unionByName, (best(rows, what) for what, rows in found.items()))
 
 
 @query("cnf_48_most_invasive", """
@@ -171,17 +180,52 @@ def top_entities_per_mod(m: Model) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(order)).filter("r <= 10").drop("r")
 
 
+@query("cnf_51_entity_export", "SELECT d.id, d.definition_type, d.name, d.file_path, d.line_number, coalesce(p.n, 0) AS properties FROM xml_definitions d LEFT JOIN (SELECT definition_id, count(*) AS n FROM xml_properties GROUP BY 1) p ON p.definition_id = d.id")
+def entity_export(m: Model) -> DataFrame:
+    """All definitions by type and name, with how many properties they have."""
+    props = m.xml_properties.groupBy(F.col("definition_id").alias("id")).agg(n().alias("properties"))
+    rows = m.xml_definitions.select("id", "definition_type", "name", "file_path", "line_number").join(props, "id", "left")
+    return rows.withColumn("properties", F.coalesce("properties", zero())).orderBy("definition_type", "name")
+
+
+@query("cnf_51_reference_export", "SELECT d.name AS source_name, r.source_type, r.target_type, r.target_name, r.reference_context FROM xml_references r LEFT JOIN xml_definitions d ON d.id = r.source_def_id")
+def reference_export(m: Model) -> DataFrame:
+    """All references with the name of their source, in order."""
+    names = m.xml_definitions.select(F.col("id").alias("source_def_id"), F.col("name").alias("source_name"))
+    rows = m.xml_references.join(names, "source_def_id", "left").select("source_name", "source_type", "target_type", "target_name", "reference_context")
+    return rows.orderBy("source_type", "source_name", "target_type", "target_name", "reference_context")
+
+
+@query("cnf_51_transitive_export", CLOSURE_SQL + " SELECT source, target, depth FROM reach ORDER BY source, depth, target LIMIT 10000")
+def transitive_export(m: Model, limit: int = 10_000) -> DataFrame:
+    """The first ten thousand reachable pairs by source and depth, as the report shows them."""
+    return closure(m).select("source", "target", "depth").orderBy("source", "depth", "target").limit(limit)
+
+
 @query("cnf_52_stats", """
-    SELECT 'definitions' AS fact, count(*) AS n FROM xml_definitions UNION ALL SELECT 'properties', count(*) FROM xml_properties UNION ALL SELECT 'references', count(*) FROM xml_references
-    UNION ALL SELECT 'extending', count(*) FROM xml_definitions WHERE extends IS NOT NULL UNION ALL SELECT 'operations', count(*) FROM mod_xml_operations UNION ALL SELECT 'removals', count(*) FROM mod_xml_operations WHERE operation IN ('remove', 'removeattribute')""")
+    WITH kinds AS (SELECT operation, count(*) AS n FROM mod_xml_operations GROUP BY 1),
+    contested AS (SELECT target_type || ':' || target_name AS who, count(DISTINCT mod_id) AS n FROM mod_xml_operations WHERE target_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, who LIMIT 5),
+    needed AS (SELECT d.name AS who, count(DISTINCT r.source_def_id) AS n FROM xml_references r JOIN xml_definitions d ON (d.definition_type, d.name) = (r.target_type, r.target_name) GROUP BY 1 ORDER BY n DESC, who LIMIT 3)
+    SELECT 'definitions' AS fact, '' AS who, count(*) AS n FROM xml_definitions UNION ALL SELECT 'properties', '', count(*) FROM xml_properties UNION ALL SELECT 'references', '', count(*) FROM xml_references
+    UNION ALL SELECT 'extending', '', count(*) FROM xml_definitions WHERE extends IS NOT NULL UNION ALL SELECT 'mods', '', count(*) FROM mods UNION ALL SELECT 'operations', '', count(*) FROM mod_xml_operations
+    UNION ALL SELECT 'operations_of_kind', operation, n FROM kinds UNION ALL SELECT 'definitions_of_type', definition_type, count(*) FROM xml_definitions GROUP BY 2
+    UNION ALL SELECT 'contested', who, n FROM contested UNION ALL SELECT 'dependants', who, n FROM needed
+    UNION ALL SELECT 'longest_name', name, length(name) FROM (SELECT name FROM xml_definitions ORDER BY length(name) DESC, name LIMIT 1)""")
 def stats(m: Model) -> DataFrame:
+    """Counts of tables, operations and types, the longest name, the five most contested entities, the three most needed."""
     defs, ops = m.xml_definitions, m.mod_xml_operations
-    facts = {"definitions": defs, "properties": m.xml_properties, "references": m.xml_references, "extending": defs.filter("extends is not null"), "operations": ops, "removals": ops.filter(F.col("operation").isin(*REMOVALS))}
-    out = None
-    for name, rows in facts.items():
-        part = rows.agg(n().alias("n")).select(F.lit(name).alias("fact"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    whole = {"definitions": defs, "properties": m.xml_properties, "references": m.xml_references, "extending": defs.filter("extends is not null"), "mods": m.mods, "operations": ops}
+    fact = lambda name, rows, who, many: rows.select(F.lit(name).alias("fact"), who.alias("who"), many.cast("long").alias("n"))
+    out = [fact(name, rows.agg(n().alias("n")), F.lit(""), F.col("n")) for name, rows in whole.items()]
+    out += [fact(name, rows.groupBy(F.col(by).alias("who")).agg(n().alias("n")), F.col("who"), F.col("n")) for name, rows, by in (("operations_of_kind", ops, "operation"), ("definitions_of_type", defs, "definition_type"))]
+    top = lambda rows, k: rows.orderBy(F.desc("n"), "who").limit(k)
+    entity = F.concat("target_type", F.lit(":"), "target_name").alias("who")
+    contested = top(ops.filter("target_name is not null").groupBy(entity).agg(F.countDistinct("mod_id").alias("n")), 5)
+    ends = defs.select(F.col("definition_type").alias("target_type"), F.col("name").alias("target_name"))
+    needed = top(m.xml_references.join(ends, ["target_type", "target_name"]).groupBy(F.col("target_name").alias("who")).agg(F.countDistinct("source_def_id").alias("n")), 3)
+    longest = top(defs.select(F.col("name").alias("who"), F.length("name").alias("n")), 1)
+    out += [fact(name, rows, F.col("who"), F.col("n")) for name, rows in (("contested", contested), ("dependants", needed), ("longest_name", longest))]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("sem_01_property_traces", """
@@ -230,11 +274,19 @@ def semantic_coverage(m: Model) -> DataFrame:
     return names.join(described, ["entity_type", "entity_name"], "left").groupBy("entity_type").agg(n().alias("total"), F.count("d").alias("described"))
 
 
-@query("snk_13_undescribed_traces", "SELECT DISTINCT property_name FROM xml_properties WHERE property_name NOT IN (SELECT entity_name FROM semantic_mappings WHERE entity_type = 'property_name')")
+@query("snk_13_undescribed_traces", """
+    WITH t AS (SELECT 'property_name' AS entity_type, property_name AS entity_name FROM xml_properties UNION SELECT 'definition', name FROM xml_definitions UNION SELECT 'definition_type', definition_type FROM xml_definitions
+      UNION SELECT 'cross_reference', source_type || '>' || target_type || '>' || reference_context FROM xml_references UNION SELECT 'code_class', target_class FROM harmony_patches)
+    SELECT entity_type, entity_name FROM t EXCEPT SELECT entity_type, entity_name FROM semantic_mappings""")
 def undescribed_traces(m: Model) -> DataFrame:
-    """Property names still without a description."""
-    known = m.semantic_mappings.filter("entity_type = 'property_name'").select(F.col("entity_name").alias("property_name"))
-    return m.xml_properties.select("property_name").distinct().join(known, "property_name", "left_anti")
+    """Keys of all five classes of traces that have no description yet."""
+    key = lambda rows, kind, name: rows.select(F.lit(kind).alias("entity_type"), name.alias("entity_name"))
+    classes = [
+        key(m.xml_properties, "property_name", F.col("property_name")), key(m.xml_definitions, "definition", F.col("name")), key(m.xml_definitions, "definition_type", F.col("definition_type")),
+        key(m.xml_references, "cross_reference", F.concat_ws(">", "source_type", "target_type", "reference_context")), key(m.harmony_patches, "code_class", F.col("target_class")),
+    ]
+    known = m.semantic_mappings.select("entity_type", "entity_name")
+    return reduce(DataFrame.unionByName, classes).distinct().join(known, ["entity_type", "entity_name"], "left_anti")
 
 
 @query("inc_02_change_classification", """

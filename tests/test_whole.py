@@ -1,13 +1,14 @@
 """Queries whose whole results are held against searches and sums in Python."""
 
 import re
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataweave.api import Engine
 from strataweave.model import REGISTRY, Model
-from strataweave.operators import indirect, patches, relevance, text
+from strataweave.operators import indirect, patches, relevance, search, text
 
 STEPS = 12
 
@@ -147,3 +148,20 @@ def test_scores_and_kinds_are_whole(spark, sf_dir):
     assert {r["id"]: r["score"] for r in rows} == score and [r["score"] for r in rows] == sorted(score.values(), reverse=True)
     counts = REGISTRY["cnf_38_harmony_conflicts"][0](m).collect()
     assert len({r["conflict_type"] for r in counts}) > 2 and sum(r["n"] for r in counts) == patches.harmony_conflicts(m).count()
+
+
+def test_stems_are_porters(spark):
+    c = sqlite3.connect(":memory:")
+    try:
+        c.execute("create virtual table t using fts5(x, tokenize='porter')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text search in this sqlite")
+    heads = ["rel", "hop", "gener", "adopt", "sens", "capa", "conn", "fil", "st", "tro", "happ", "fall", "x", "toy", "syzyg", "control", "oscill", "ed", "a"]
+    tails = ["", "s", "es", "ies", "sses", "ed", "eed", "ing", "y", "ly", "ation", "ational", "tional", "izer", "ization", "bility", "ibly", "alism", "fulness", "ousness", "iveness", "icate", "ative", "alize", "ical", "ness",
+             "ance", "ement", "ment", "ent", "sion", "tion", "ism", "ate", "ous", "ive", "ize", "e", "ee", "ll", "lled", "tting", "ology"]
+    words = [h + t for h in heads for t in tails]
+    c.execute("create virtual table v using fts5vocab(t, 'instance')")
+    c.execute("insert into t values (?)", (" ".join(words),))
+    want = [r[0] for r in c.execute("select term from v order by doc, offset")]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", search.stem(F.col("w")).alias("s")).orderBy("i").select("s").collect()]
+    assert [x for x in zip(words, got, want, strict=True) if x[1] != x[2]] == []
