@@ -168,7 +168,7 @@ def base_class_chain(m: Model) -> DataFrame:
       UNION ALL SELECT w.s, e.t, list_append(w.path, e.t), w.depth + 1 FROM walk w JOIN e ON w.t = e.s WHERE w.depth < 10 AND NOT list_contains(w.path, e.t))
     SELECT s AS source, t AS target, depth, array_to_string(path, '>') AS path FROM walk""")
 def call_chains_of_first(m: Model) -> DataFrame:
-    return call_chains(m, m.methods.filter("id = 1").select("id"), 4)
+    return call_chains(m, m.methods.filter("id = 1").select("id"))
 
 
 def call_chains(m: Model, sources: DataFrame, depth: int = 10, target: int | None = None, limit: int | None = None) -> DataFrame:
