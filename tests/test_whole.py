@@ -112,7 +112,7 @@ def test_summaries_take_all_patterns(spark):
     assert set(kept) == {"H2", "H3", "M1"} and kept["H3"] == 3
     rows = {(r["mod1_name"], r["mod2_name"]): r for r in REGISTRY["cnf_30_mod_interaction_matrix"][0](m).collect()}
     assert rows["A", "A"]["medium_count"] > 0 and rows["B", "A"]["high_count"] > 0
-    assert indirect.persistable(m, indirect._pair_conflicts(m).withColumn("entity_id", F.lit(-1).cast("long"))).isEmpty()
+    assert indirect.persistable(m, indirect.indirect_conflicts(m).withColumn("entity_id", F.lit(-1).cast("long"))).isEmpty()
 
 
 def test_sorts_keep_all_rows(spark):
