@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fertility, near_duplicates, pieces, preference, private_data, quality, sharding, token_counts, token_files
+from . import collocations, decontaminate, fertility, near_duplicates, pieces, preference, private_data, quality, runs, sharding, simhash, token_counts, token_files
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_histogram_sort": sharding.op8_histogram_sort,
         "op9_neighbour_quality": quality.op9_neighbour_quality,
         "op10_string_tiling": decontaminate.op10_string_tiling,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_simhash": simhash.op12_simhash,
+        "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_format": preference.OP3_SQL}
+    return {"op3_preference_format": preference.OP3_SQL, "op11_collocations": collocations.OP11_SQL}
