@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a test item that share a run of ``min_match`` words are compared: running Karp-Rabin finds the longest
-matches of words not yet tiled, marks them without overlap, longest first, and goes on with shorter ones down to
+A document and a test item that share a run of ``min_match`` words are compared: running Karp-Rabin hashes find the greatest
+length at which words not yet tiled agree, all matches of it are marked without overlap, and so on with shorter ones down to
 ``min_match``. Tiled words over the item's words is its coverage; since tiles may lie in any order, reordered passages
 are caught. Only tiles of at least ``min_match`` words count, so an item whose words under shared runs cannot reach the
 threshold is passed over without tiling; nothing is lost by that.
@@ -69,61 +69,56 @@ def _inverse(starts: np.ndarray) -> np.ndarray:
 
 
 def tile(item: np.ndarray, text: np.ndarray, seeds: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles (item start, text start, words). seeds: text positions at which a run of min_match words of the item starts."""
+    """Tiles (item start, text start, words). seeds: text positions at which a run of min_match words of the item starts.
+
+    Each round finds the greatest length at which free words of both still agree, by halving: if some length is shared, all
+    shorter ones are. All matches of that length are marked in order, each place of the text looked at once, so the next round's
+    length is smaller. Lengths differ and add up to the item's words at most: an item of n words takes about sqrt(2 n) rounds,
+    each linear in the text, however often words repeat.
+    """
     item_runs, text_runs = Runs(item), Runs(text)
     item_free, text_free = np.ones(len(item), bool), np.ones(len(text), bool)
+    everywhere = np.arange(len(item))
     tiles: list[tuple[int, int, int]] = []
 
-    def free_starts(starts: np.ndarray, free: np.ndarray, size: int) -> np.ndarray:
+    def windows(runs: Runs, starts: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of free stretches of ``size`` words, and their hashes."""
         starts = starts[starts + size <= len(free)]
         taken = np.concatenate([[0], np.cumsum(~free)])
-        return starts[taken[starts + size] == taken[starts]]
-
-    size = max(min_match, min(len(item), 20))
-    while True:
-        # Matches of at least ``size`` words; one of over twice that starts the scan anew with its own length.
-        where: dict[int, list[int]] = {}
-        at = free_starts(seeds, text_free, size)
-        for h, t in zip(text_runs.at(at, size).tolist(), at.tolist(), strict=True):
+        starts = starts[taken[starts + size] == taken[starts]]
+        return starts, runs.at(starts, size)
+
+    def shared(size: int) -> bool:
+        _, own = windows(item_runs, everywhere, item_free, size)
+        return len(own) > 0 and bool(np.isin(windows(text_runs, seeds, text_free, size)[1], own).any())
+
+    most = min(len(item), len(text))
+    while most >= min_match and shared(min_match):
+        size = min_match
+        while size < most:
+            middle = (size + most + 1) // 2
+            size, most = (middle, most) if shared(middle) else (size, middle - 1)
+        places, own = windows(item_runs, everywhere, item_free, size)
+        at, hashes = windows(text_runs, seeds, text_free, size)
+        there = np.isin(hashes, own)
+        where: dict[int, list[int]] = {}  # the last place first
+        for h, t in zip(hashes[there][::-1].tolist(), at[there][::-1].tolist(), strict=True):
             where.setdefault(h, []).append(t)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
-        at = free_starts(np.arange(len(item)), item_free, size)
-        for h, p in zip(item_runs.at(at, size).tolist(), at.tolist(), strict=True):
-            for t in where.get(h, ()):
-                n = 0
-                while p + n < len(item) and t + n < len(text) and item_free[p + n] and text_free[t + n] and item[p + n] == text[t + n]:
-                    n += 1
-                if n >= size:
-                    found.append((-n, p, t))
-                    longest = max(longest, n)
-                    if longest > 2 * size:
-                        break
-            if longest > 2 * size:
-                break
-        if longest > 2 * size:
-            size = longest
-            continue
-        queue = sorted(found)
-        while queue:
-            n, p, t = queue.pop(0)
-            n = -n
-            clear = 0  # what other tiles of this round have left of it, from its start
-            while clear < n and item_free[p + clear] and text_free[t + clear]:
-                clear += 1
-            if clear == n:
-                item_free[p : p + n] = False
-                text_free[t : t + n] = False
-                tiles.append((p, t, n))
-            # A shortened match comes again in the next scan, which repeats this length until nothing is left.
-        if found:
-            continue
-        if size > 2 * min_match:
-            size //= 2
-        elif size > min_match:
-            size = min_match
-        else:
-            return tiles
+        end = 0
+        for h, p in zip(own.tolist(), places.tolist(), strict=True):
+            left = where.get(h)
+            if p < end or not left:
+                continue
+            while left and not text_free[left[-1] : left[-1] + size].all():
+                left.pop()
+            if left and (item[p : p + size] == text[left[-1] : left[-1] + size]).all():
+                t = left.pop()
+                end = p + size
+                item_free[p:end] = False
+                text_free[t : t + size] = False
+                tiles.append((p, t, size))
+        most = size - 1
+    return tiles
 
 
 def covered(item: np.ndarray, seeds: np.ndarray, words: np.ndarray, runs: np.ndarray, held: np.ndarray, min_match: int, coverage: float) -> tuple[int, int] | None:

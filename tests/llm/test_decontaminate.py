@@ -1,6 +1,8 @@
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +59,24 @@ def test_tiles_are_greedy(item, text):
     assert sum(n for *_, n in tiles) == brute(item, text, 2)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 1), min_size=1, max_size=4), st.integers(1, 12)), max_size=5), st.lists(st.tuples(st.lists(st.integers(0, 1), min_size=1, max_size=4), st.integers(1, 15)), max_size=5))
+def test_tiles_of_repeated_words(a, b):
+    item, text = ([x for unit, n in parts for x in unit * n] for parts in (a, b))
+    for least in (2, 5):
+        own = set(bytescan.shingles(codes(item), least).tolist()) if len(item) >= least else set()
+        seeds = np.array([i for i, h in enumerate(bytescan.shingles(codes(text), least).tolist() if len(text) >= least else []) if h in own], np.int64)
+        assert sum(n for *_, n in dc.tile(codes(item), codes(text), seeds, least)) == brute(item, text, least)
+
+
+@pytest.mark.parametrize("item,text", [(("a " * 6 + "b ") * 30, "a " * 20_000), ("a " * 200, "a " * 20_000), (("a " * 6 + "b ") * 30, ("a " * 6 + "b ") * 3_000), ("word " * 500, "word " * 100_000)])
+def test_repeated_words_take_little_time(item, text):
+    items = dc.Items([1], [item], 5, 0.6)
+    began = time.process_time()
+    found = list(items.of_texts(pa.array([text])))
+    assert time.process_time() - began < 1 and found[0][1][0][:2] == (1, sum(n for n in ([6] * 30 if "b" in item and "b" not in text else [len(item.split())])))
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [(r["doc_id"], words(r["text"])) for r in table(spark, sf_dir, "documents").collect()]
     items = [(r["item_id"], words(r["text"])) for r in table(spark, sf_dir, "benchmark").collect()]
