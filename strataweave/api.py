@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import REGISTRY, Model
-from .operators import conflicts, ecosystem, events, graph, indirect, load, lookup, patches, search
+from .operators import chains, conflicts, ecosystem, events, graph, hierarchy, indirect, load, lookup, patches, text_index
 from .sources import sinks
 
 load()
@@ -45,12 +45,16 @@ class Engine:
 
     def chain(self, source: str, target: str, depth: int = 10, limit: int = 5) -> DataFrame:
         """Shortest call paths between two methods; of several that a name means, the least id."""
-        end = lookup.resolve_methods(self.model, target).orderBy("id").first()
-        start = lookup.resolve_methods(self.model, source).select("id").orderBy("id").limit(1)
-        return graph.call_chains(self.model, start, depth, end["id"] if end else -1, limit)
+        first = lambda name: lookup.resolve_methods(self.model, name).agg({"id": "min"}).toDF("id")
+        pair = first(source).toDF("source").crossJoin(first(target).toDF("target"))  # one row
+        return chains.shortest_chains(self.model.calls, pair, depth, limit)
 
     def find_text(self, text: str) -> DataFrame:
-        return search.match(self.model.method_bodies, text)
+        """Methods whose body a full-text query matches, from the stored index."""
+        return text_index.index_of(self.model).search(text)
+
+    def derived(self, name: str) -> DataFrame:
+        return hierarchy.derived_types(self.model.types, name)
 
     def impl(self, method: str) -> DataFrame:
         return graph.implementations(self.model, method)

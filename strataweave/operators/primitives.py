@@ -174,17 +174,3 @@ def semantic_context(m: Model) -> DataFrame:
     category = F.when(name.ilike("%item%"), "items").when(name.ilike("%block%"), "blocks").when(name.ilike("%player%"), "player").when(name.ilike("%buff%"), "effects").otherwise("general")
     open_ = F.when(kind.isin("hardcoded_entity", "stub_method"), "high").when(kind == "todo", "medium").otherwise("low")
     return m.game_code_analysis.select("id", category.alias("category"), open_.alias("moddability"))
-
-
-@query("inc_08_enrichment_cache", "SELECT g.id FROM game_code_analysis g WHERE g.id NOT IN (SELECT id FROM game_code_analysis WHERE severity IN ('BUG', 'WARNING'))")
-def enrichment_cache(m: Model) -> DataFrame:
-    """Findings whose enrichment is not cached yet; grave ones stand for those that are."""
-    cached = m.game_code_analysis.filter("severity in ('BUG', 'WARNING')").select("id")
-    return m.game_code_analysis.select("id").join(cached, "id", "left_anti")
-
-
-@query("inc_05_mod_rebuild", "SELECT mod_id, substr(sha256(string_agg(xpath_hash || operation, '' ORDER BY xpath_hash || operation)), 1, 16) AS mod_hash FROM mod_xml_operations GROUP BY 1")
-def mod_hashes(m: Model) -> DataFrame:
-    """One hash over all changes of a mod: it decides whether the mod is analysed again."""
-    whole = F.array_join(F.array_sort(F.collect_list(F.concat("xpath_hash", "operation"))), "")
-    return m.mod_xml_operations.groupBy("mod_id").agg(F.substring(F.sha2(whole.cast("binary"), 256), 1, 16).alias("mod_hash"))
