@@ -56,14 +56,6 @@ def conflict_key(path: Column, operation: Column) -> Column:
     return F.lower(F.concat(normalise(path), F.lit("|"), operation))
 
 
-def is_valid(path: Column) -> Column:
-    """Balanced brackets and quotes and a plausible start: what can be told without a compiler."""
-    bare = F.regexp_replace(F.regexp_replace(path, '"[^"]*"', ""), "'[^']*'", "")
-    count = lambda s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))
-    quotes = F.rlike(bare, F.lit("[\"']"))
-    return F.coalesce((F.trim(path) != "") & (count("[") == count("]")) & (count("(") == count(")")) & ~quotes & ~F.rlike(bare, F.lit(r"\[\s*\]|//$|///")), F.lit(False))
-
-
 def _first(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in patterns))
 
@@ -102,3 +94,74 @@ def effect_operation(value: Column) -> Column:
     known = F.lower(F.trim(value))
     ok = known.isin(*OPERATIONS)
     return F.struct(F.when(ok, F.substring_index(known, "_", -1)).alias("operation"), F.when(ok, F.substring_index(known, "_", 1)).alias("value_type"), F.when(ok, known.endswith("_set")).alias("is_set"))
+
+
+#: Where the two extractors look for an entity: the path to it, the attribute that selects it, its type.
+NORMALISED_TARGETS = [
+    ("/items/item", "name", "item"), ("/blocks/block", "name", "block"), ("/entity_classes/entity_class", "name", "entity_class"), ("/buffs/buff", "name", "buff"), ("/recipes/recipe", "name", "recipe"),
+    ("/progression/perks/perk", "name", "perk"), ("/progression/skills/skill", "name", "skill"), ("/lootcontainers/lootcontainer", "id", "lootcontainer"), ("/lootgroups/lootgroup", "name", "lootgroup"),
+    ("/vehicles/vehicle", "name", "vehicle"), ("/quests/quest", "id", "quest"), ("/gamestages", "name", "gamestages"),
+]
+CHANGE_TARGETS = [
+    ("/items/item", "name", "item"), ("/blocks/block", "name", "block"), ("/entity_classes/entity_class", "name", "entity_class"), ("/buffs/buff", "name", "buff"), ("/recipes/recipe", "name", "recipe"),
+    ("/Sounds/SoundDataNode", "name", "sound"), ("/lootcontainers/lootcontainer", "name", "loot_container"), ("/lootcontainers/lootgroup", "name", "loot_group"), ("/quests/quest", "id", "quest"),
+    ("/progression/perks/perk", "name", "perk"), ("/progression/skills/skill", "name", "skill"), ("/vehicles/vehicle", "name", "vehicle"), ("/windows/window", "name", "window"),
+    ("/controls/*", "name", "control"), ("/gameevents/gameevent", "name", "game_event"), ("/archetypes/archetype", "name", "archetype"),
+]
+FRAGILE_TARGETS = [
+    ("/lootcontainers/lootcontainer", "size", "loot_container"), ("/lootcontainers/lootcontainer", "id", "loot_container"), ("/windows/window", "controller", "window"),
+    ("/controls/*", "controller", "control"), ("/items/item", "Extends", "item"), ("/blocks/block", "Extends", "block"),
+]
+
+
+def _selectors(path: Column, pattern: str) -> Column:
+    """All selectors of a path: struct(at: the steps before it, attribute, value), by a pattern with these three groups."""
+    part = lambda k: F.regexp_extract_all(path, F.lit(pattern), F.lit(k))
+    return F.arrays_zip(part(1).alias("at"), part(2).alias("attribute"), part(3).alias("value"))
+
+
+def _ranked(selectors: Column, rank) -> Column:
+    """The first selector of the least rank; null if none has one."""
+    ranked = F.transform(selectors, lambda s, i: F.struct(rank(s).alias("rank"), i.alias("i"), s.alias("s")))
+    return F.array_min(F.filter(ranked, lambda r: r["rank"].isNotNull()))
+
+
+def _rank(s: Column, table: list[tuple[str, str, str]], first: int) -> Column:
+    """The place in ``table`` of what a selector selects, from ``first`` on; a star stands for any step."""
+    out = F.lit(None).cast("int")
+    for k in range(len(table) - 1, -1, -1):
+        at, key, _ = table[k]
+        head = s["at"].endswith(at) if not at.endswith("/*") else F.regexp_replace(s["at"], r"/\w+$", "").endswith(at[:-2])
+        out = F.when((s["attribute"] == key) & head, k + first).otherwise(out)
+    return out
+
+
+def normalised_target(path: Column) -> Column:
+    """struct(type, name) by the normaliser's rule: twelve known places, in order, whatever the case and the quotes."""
+    lower = lambda s: F.struct(F.lower(s["at"]).alias("at"), F.lower(s["attribute"]).alias("attribute"), s["value"].alias("value"))
+    found = F.transform(_selectors(path, r"((?:/\w+)+)\[@(\w+)=[\"']([^\"']+)[\"']\]"), lower)
+    best = _ranked(found, lambda s: _rank(s, NORMALISED_TARGETS, 0))
+    kinds = F.array(*(F.lit(kind) for _, _, kind in NORMALISED_TARGETS))
+    return F.struct(F.get(kinds, best["rank"]).alias("type"), best["s"]["value"].alias("name"))
+
+
+def change_target(path: Column) -> Column:
+    """struct(type, name, attribute, value, fragile) by the rule for change documents: single quotes, and nothing between the selector
+    and the next slash or the end. Selections by another attribute are named by it; they are fragile unless it is an id."""
+    tables = CHANGE_TARGETS + FRAGILE_TARGETS
+    any_ = len(tables)
+    found = _selectors(path, r"((?:/\w+)+)\[@(\w+)='([^']+)'\](?=/|$)")
+    generic = lambda s: F.when(F.rlike(s["at"], F.lit(r"/\w+/\w+$")), any_)
+    best = _ranked(found, lambda s: F.coalesce(_rank(s, tables, 0), generic(s)))
+
+    def shape(b: Column) -> Column:
+        rank, s = b["rank"], b["s"]
+        element = F.substring_index(s["at"], "/", -1)
+        kind = F.when((rank == any_) | (rank == [t[0] for t in CHANGE_TARGETS].index("/controls/*")), element).otherwise(F.get(F.array(*(F.lit(k) for _, _, k in tables)), rank))
+        quoted = F.concat(F.lit("["), s["attribute"], F.lit("='"), s["value"], F.lit("']"))
+        plain = (rank < len(CHANGE_TARGETS)) | ((rank == any_) & (s["attribute"] == "name"))
+        fragile = F.when(rank == any_, ~s["attribute"].isin("name", "id")).otherwise(rank >= len(CHANGE_TARGETS))
+        attribute = F.when(rank < len(CHANGE_TARGETS), "name").otherwise(s["attribute"])
+        return F.struct(kind.alias("type"), F.when(plain, s["value"]).otherwise(quoted).alias("name"), attribute.alias("attribute"), s["value"].alias("value"), fragile.alias("fragile"))
+
+    return F.get(F.transform(F.filter(F.array(best), lambda b: b.isNotNull()), shape), F.lit(0))

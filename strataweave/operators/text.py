@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import xpath as xp
+from ..functions import xpath_grammar as xg
 from ..model import Model, query
 
 PAIRS = "FROM xml_definitions d JOIN xml_definitions e ON e.name = d.extends AND e.definition_type = d.definition_type"
@@ -18,17 +19,74 @@ def _pairs(m: Model) -> DataFrame:
     return m.xml_definitions.join(e, ["extends", "definition_type"]).select("id", F.col("name").alias("a"), F.col("extends").alias("b"))
 
 
-@query("scl_01_normalised_paths", "SELECT id, xpath AS normalised FROM mod_xml_operations")
+@query("scl_01_normalised_paths", """
+    SELECT id, CASE id % 6
+      WHEN 0 THEN '/items/item[@name="' || target_name || '"]/property[@name="Size"]/@value' WHEN 1 THEN '/buffs/buff[' || CAST(id % 9 + 1 AS VARCHAR) || ']' WHEN 2 THEN '//item[@a="X" and@name="' || target_name || '"]'
+      WHEN 3 THEN '/a/b[c="1" and d="' || target_name || '"]' WHEN 4 THEN '/items/item' ELSE '' END AS normalised FROM mod_xml_operations""")
 def normalised_paths(m: Model) -> DataFrame:
-    """The tables' paths are in canonical form; white space and single quotes put in must come out again."""
-    noisy = F.regexp_replace(F.regexp_replace("xpath", "\"", "'"), r"\[@", " [ @")
-    return m.mod_xml_operations.select("id", xp.normalise(F.concat(F.lit(" "), noisy, F.lit(" "))).alias("normalised"))
+    """Paths in six spellings: spaces, quotes, capitals, ordered terms, positions, steps that mean nothing."""
+    name = F.col("target_name")
+    shapes = [
+        F.concat(F.lit("  /Items / item [ @name = '"), name, F.lit("' ]/PROPERTY[@Name='Size']/ @value ")), F.concat(F.lit("/buffs/buff[ position() = "), (F.col("id") % 9 + 1).cast("string"), F.lit(" ]/")),
+        F.concat(F.lit("//item[ @a = 'X' and @name='"), name, F.lit("' ]")), F.concat(F.lit("/a/b[d='"), name, F.lit("' and  c = '1']")), F.lit("/items/./item/"), F.lit("   "),
+    ]
+    return m.mod_xml_operations.select("id", xp.normalise(_pick(F.col("id"), shapes)).alias("normalised"))
 
 
-@query("scl_02_path_validity", "SELECT id, true AS valid, false AS broken FROM mod_xml_operations")
+def _pick(key: Column, options: list[Column]) -> Column:
+    """The option at the key's remainder."""
+    out = options[-1]
+    for k in range(len(options) - 2, -1, -1):
+        out = F.when(key % len(options) == k, options[k]).otherwise(out)
+    return out
+
+
+#: Damage done to a path, by its id: how, and at which character it is found out; nothing is found out where that is 0.
+DAMAGES = [
+    ("xpath", "0"), ("xpath || '['", "len(xpath) + 2"), ("xpath || ']'", "len(xpath) + 1"), ("replace(xpath, '\"]/prop', '\"/prop')", "strpos(xpath, ']/prop')"), ("replace(xpath, '[@name=\"', '[@@name=\"')", "strpos(xpath, '[@name') + 2"),
+    ("replace(xpath, '=', '==')", "strpos(xpath, '=') + 1"), ("replace(xpath, '\"]/prop', ']/prop')", "strpos(xpath, '\"prop')"), ("replace(xpath, '/property', '///property')", "strpos(xpath, '/property') + 2"),
+    ("replace(xpath, '/property', '/child::property')", "0"), ("replace(xpath, '/property', '/kid::property')", "strpos(xpath, '/property') + 1"), ("xpath || '[last( and 1]'", "len(xpath) + 12"), ("replace(xpath, '/@value', '[contains(@a)]')", "len(xpath) + 6"),
+    ("replace(xpath, '/@value', '[contains(@a, \"b\") and not(position() = last())]')", "0"), ("xpath || ' or'", "len(xpath) + 4"), ("' '", "1"), ("xpath || ' | //x[. > -1.5]/..'", "0"), ("'count(' || xpath || ') * 2 + \"1\"'", "0"), ("'count(' || xpath || ')[1]'", "len(xpath) + 8"),
+    ("xpath || '#'", "len(xpath) + 1"), ("'(' || xpath || ')[2]/text()'", "0"), ("'(' || xpath", "len(xpath) + 2"), ("xpath || '/'", "len(xpath) + 2"),
+]
+
+
+def _cases(which: int) -> str:
+    return f"CASE id % {len(DAMAGES)} " + " ".join(f"WHEN {k} THEN {d[which]}" for k, d in enumerate(DAMAGES)) + " END"
+
+
+@query("scl_02_path_validity", f"SELECT id, CAST({_cases(1)} AS INTEGER) AS fault, {_cases(1)} = 0 AS valid FROM mod_xml_operations")
 def path_validity(m: Model) -> DataFrame:
-    path = F.col("xpath")
-    return m.mod_xml_operations.select("id", xp.is_valid(path).alias("valid"), xp.is_valid(F.concat(path, F.lit("["))).alias("broken"))
+    """Real paths, whole and damaged in many ways: valid or not, and where not."""
+    path = F.expr(_cases(0))
+    return m.mod_xml_operations.select("id", xg.fault(path).alias("fault"), xg.is_valid(path).alias("valid"))
+
+
+@query("scl_04_normalised_targets", """
+    SELECT id, CASE WHEN id % 5 = 4 THEN NULL ELSE ['item', 'quest', 'perk', 'gamestages'][id % 5 + 1] END AS found_type, CASE WHEN id % 5 <> 4 THEN target_name END AS found_name FROM mod_xml_operations""")
+def normalised_targets(m: Model) -> DataFrame:
+    """Targets by the normaliser's twelve places; one that is none of them."""
+    name = F.col("target_name")
+    around = lambda a, b: F.concat(F.lit(a), name, F.lit(b))
+    path = _pick(F.col("id"), [around("/ITEMS/Item[@name='", "']/x"), around('/quests/quest[@id="', '"]'), around("/progression/perks/perk[@name='", "']"), around("//x/gamestages[@name='", "']"), around("/quests/quest[@name='", "']")])
+    found = xp.normalised_target(path)
+    return m.mod_xml_operations.select("id", found["type"].alias("found_type"), found["name"].alias("found_name"))
+
+
+@query("scl_04_change_targets", """
+    WITH t AS (SELECT id, CAST(id % 8 AS INTEGER) AS k, target_name AS n FROM mod_xml_operations)
+    SELECT id, ['item', 'loot_container', 'loot_container', 'button', 'control', 'trader', 'zone', NULL][k + 1] AS found_type,
+      CASE WHEN k IN (0, 3) THEN n WHEN k < 7 THEN '[' || ['', 'size', 'id', '', 'controller', 'id', 'biome'][k + 1] || '=' || chr(39) || n || chr(39) || ']' END AS found_name,
+      ['name', 'size', 'id', 'name', 'controller', 'id', 'biome', NULL][k + 1] AS attribute, CASE WHEN k <> 7 THEN k IN (1, 2, 4, 6) END AS fragile FROM t""")
+def change_targets(m: Model) -> DataFrame:
+    """Targets by the rule for change documents: by name, by other attributes, by any element; double quotes are none."""
+    shapes = [
+        "/items/item[@name='{}']/x", "/lootcontainers/lootcontainer[@size='{}']", "/lootcontainers/lootcontainer[@id='{}']/item", "/windows/controls/button[@name='{}']", "/controls/grid[@controller='{}']",
+        "/traders/trader[@id='{}']/x", "/map/zone[@biome='{}']", '/items/item[@name="{}"]',
+    ]
+    path = _pick(F.col("id"), [F.replace(F.lit(x), F.lit("{}"), F.col("target_name")) for x in shapes])
+    found = xp.change_target(path)
+    return m.mod_xml_operations.select("id", found["type"].alias("found_type"), found["name"].alias("found_name"), found["attribute"].alias("attribute"), found["fragile"].alias("fragile"))
 
 
 @query("scl_03_path_hashes", "SELECT id, substr(sha256(xpath), 1, 16) AS path_hash, lower(xpath || '|' || operation) AS conflict_key FROM mod_xml_operations")
@@ -47,9 +105,17 @@ def path_properties(m: Model) -> DataFrame:
     return m.mod_xml_operations.select("id", xp.property_name(F.col("xpath")).alias("property"))
 
 
-@query("scl_07_effect_context", "SELECT id, target_type AS parent_entity, target_name AS parent_entity_name, 'value' AS attribute, false AS is_triggered, true AS modifies_value FROM mod_xml_operations")
+@query("scl_07_effect_context", """
+    SELECT id, target_type AS parent_entity, target_name AS parent_entity_name, CASE WHEN id % 3 = 0 THEN 'Effect' || CAST(id % 20 AS VARCHAR) END AS effect_name, CASE WHEN id % 3 = 1 THEN NULL WHEN id % 3 = 0 AND id % 2 = 0 THEN 'operation' ELSE 'value' END AS attribute,
+      id % 3 = 1 AS is_triggered, CASE WHEN id % 3 = 1 THEN 'ModifyCVar' END AS trigger_action, CASE WHEN id % 3 = 1 THEN 'cv' || CAST(id % 7 AS VARCHAR) END AS trigger_cvar, id % 6 = 0 AS modifies_operation, id % 3 = 2 OR id % 6 = 3 AS modifies_value FROM mod_xml_operations""")
 def effect_context(m: Model) -> DataFrame:
-    return m.mod_xml_operations.select("id", xp.effect(F.col("xpath")).alias("e")).select("id", "e.parent_entity", "e.parent_entity_name", "e.attribute", "e.is_triggered", "e.modifies_value")
+    """What paths say about effects: passive ones, triggered ones and none."""
+    key = F.col("id")
+    head = F.regexp_extract("xpath", r"^.*?\]", 0)
+    passive = F.concat(head, F.lit("/effect_group/passive_effect[@name='Effect"), (key % 20).cast("string"), F.lit("']/@"), F.when(key % 2 == 0, "operation").otherwise("value"))
+    triggered = F.concat(head, F.lit("/triggered_effect[@action='ModifyCVar' and @cvar='cv"), (key % 7).cast("string"), F.lit("']"))
+    e = xp.effect(F.when(key % 3 == 0, passive).when(key % 3 == 1, triggered).otherwise(F.col("xpath")))
+    return m.mod_xml_operations.select("id", e.alias("e")).select("id", *(f"e.{c}" for c in ("parent_entity", "parent_entity_name", "effect_name", "attribute", "is_triggered", "trigger_action", "trigger_cvar", "modifies_operation", "modifies_value")))
 
 
 @query("scl_08_effect_operations", "SELECT id, split_part(effect_operation, '_', 2) AS operation, split_part(effect_operation, '_', 1) AS value_type, effect_operation LIKE '%_set' AS is_set FROM mod_xml_operations WHERE effect_operation IS NOT NULL")
@@ -58,11 +124,19 @@ def effect_operations(m: Model) -> DataFrame:
     return rows.select("id", xp.effect_operation(F.col("effect_operation")).alias("e")).select("id", "e.operation", "e.value_type", "e.is_set")
 
 
-@query("scl_09_equivalent_paths", "SELECT count(*) AS n FROM mod_xml_operations")
+@query("scl_09_equivalent_paths", """
+    SELECT a.id, b.id AS other FROM mod_xml_operations a JOIN mod_xml_operations b ON a.target_type = b.target_type AND a.target_name = b.target_name AND a.line_number % 3 = b.line_number % 3 AND a.id < b.id AND a.operation = b.operation""")
 def equivalent_paths(m: Model) -> DataFrame:
-    """A path is equivalent to itself in capitals outside quotes."""
-    loud = F.regexp_replace("xpath", "property", "PROPERTY")
-    return m.mod_xml_operations.filter(xp.path_hash(F.col("xpath")) == xp.path_hash(loud)).agg(F.count(F.lit(1)).alias("n"))
+    """Pairs of paths of one operation, spelled in several ways, that mean the same node."""
+    key, kind, name = F.col("id"), F.col("target_type"), F.col("target_name")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    place = (F.col("line_number") % 3 + 1).cast("string")
+    spelled = _pick(key, [
+        text("/", kind, "[@name='", name, "']/x[", place, "]"), text(" / ", F.upper(kind), '[ @name = "', name, '" ]/X[ position() = ', place, " ]/"),
+        text("/", kind, "[@NAME='", name, "']/./x[", place, "]"), text("/", kind, "[@name='", name, "'] /x[", place, "]/"),
+    ])
+    hashed = m.mod_xml_operations.select("id", "operation", xp.path_hash(spelled).alias("h"))
+    return hashed.join(hashed.select(F.col("id").alias("other"), "operation", "h"), ["operation", "h"]).filter("id < other").select("id", "other")
 
 
 @query("scl_10_name_tokens", "SELECT id, array_to_string(list_filter(string_split_regex(lower(name), '[_\\-\\s.]+'), lambda x: length(x) > 1), ' ') AS tokens FROM xml_definitions")

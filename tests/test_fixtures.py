@@ -250,8 +250,12 @@ def test_types(spark):
 
     from strataweave.functions import types as ty
 
-    assert ty.split_parameters("Dictionary<int, string> a, int[] b") == ["Dictionary<int, string> a", "int[] b"]
-    assert ty.resolve("List<int?>[]") == "System.Collections.Generic.List<System.Nullable<System.Int32>>[]"
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(ty.parameters(F.lit("Dictionary<int, string> a, int[] b"))) == ["Dictionary<int, string> a", "int[] b"]
+    assert one(ty.resolved(F.lit("List<int?>[]"))) == "System.Collections.Generic.List<System.Nullable<System.Int32>>[]"
+    assert one(ty.resolved(F.lit("Func<(int, Own.T<bool[ , ]>)?, nint>"))) == "Func<System.Nullable<(System.Int32,Own.T<System.Boolean[,]>)>,System.IntPtr>"
+    assert one(ty.parameter_types(F.lit("ref int a, out List<string> b, params object[] c, float d = 1f"))) == ["System.Int32", "System.Collections.Generic.List<System.String>", "System.Object[]", "System.Single"]
+    assert one(ty.parameter_types(F.lit("()"))) == [] and one(ty.resolved(F.lit(None).cast("string"))) is None
     df = spark.createDataFrame([("(int a, string b)", "(System.Int32 x, System.String y)"), ("(int a)", "(long a)"), (None, "()")], "a string, b string")
     assert [r[0] for r in df.select(ty.same_signature(F.col("a"), F.col("b"))).collect()] == [True, False, False]
     assert df.select(ty.parameters(F.lit("int a, List<b, c> d"))).first()[0] == ["int a", "List<b, c> d"]
