@@ -16,7 +16,8 @@ lies within one piece. In a block words are numbers and n-grams exact codes of n
 
 Scale. The sketch decides how much the second pass has to shuffle, never what comes out. At about as many cells as there are
 different n-grams few rare ones survive; with far fewer cells than that most do, and the second pass is the plain exact count.
-``cells_for`` takes a cell for every eight stored bytes, 2 ** 29 at most (128 MB of bits).
+``cells_for`` takes a cell for every eight stored bytes, 2 ** 27 at most: a task holds ``ROWS`` bytes for each. Few tasks make
+large sketches, so inputs share them by ``TASK_BYTES``.
 
 Defined results: a null or blank text has no words; a null language is ``und``; repeated rows count each time; a very long text is
 one block, counted whole; equal scores go by count, then by the phrase's bytes; an empty table gives an empty result; other columns
@@ -35,16 +36,18 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .bytescan import buffers, mix
-from .common import cut, released, table, tasks_for
+from .common import cut, released, stored_bytes, table
 
 LEAST, LONGEST, SUBSUMED, TOP = 10, 3, 50, 2000
 ROWS = 2
+#: Parts in which a language's phrases are ranked first.
+PARTS = 32
 #: Cells of a part of a sketch row.
 PART = 1 << 16
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 29
+LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
 #: Bytes of text that are counted at once.
 BLOCK = 4 << 20
-#: Stored bytes that share a sketch.
+#: Stored bytes that share a sketch; a sketch has at most half as many bytes when it is passed on.
 TASK_BYTES = 256 << 20
 BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytes(0xFF if chr(x) in ".,;:!?\n\x0b\x0c\r" else x + 32 if 65 <= x <= 90 else 0x20 if x == 9 else x for x in range(256))
@@ -150,7 +153,7 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 def heavy_cells(rows: DataFrame, cells: int, least: int = LEAST, longest: int = LONGEST, task_bytes: int = TASK_BYTES) -> np.ndarray:
     """lang, text -> a bit for each cell of the merged sketch, row after row: whether ``least`` n-grams or more fell into it."""
     spark = rows.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, tasks_for(rows, task_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-stored_bytes(rows) // task_bytes))
     parts = rows.coalesce(tasks).mapInArrow(lambda it: released(_sketch(it, cells, least, longest)), "slot long, part binary")
     merged = parts.repartition("slot").mapInArrow(lambda it: released(_merge(it, least)), "slot long, bits binary").toArrow()
     bits = np.zeros(ROWS * cells // 8, np.uint8)
@@ -183,9 +186,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cells:
     """lang, size, phrase, n: exact counts of all n-grams met ``least`` times in their language; size 0: all words of it."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shared_dir(docs.sparkSession)
-    if cells is None:
-        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        cells = cells_for(size if size < 1 << 60 else 0)
+    cells = cells or cells_for(stored_bytes(rows))
     sent = docs.sparkSession.sparkContext.broadcast(heavy_cells(rows, cells, least, longest))
     counted = rows.mapInArrow(lambda it: released(_survivors(it, sent, cells, longest)), "lang string, size int, phrase string, n long")
     return cut(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0)))
@@ -211,8 +212,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, su
     inside = phrases.filter("size > 2").select("lang", F.col("a").alias("longer"), inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     alone = best.join(inside, ["lang", "phrase"], "left").filter(f"longer is null or 100 * longer < {int(subsumed)} * a")
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = alone.select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # A language's best come from the best of its parts, so that no task sorts all of its phrases.
+    rows = alone.select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     totals = counts.filter("size = 0").select("lang", "n")
     return rows.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

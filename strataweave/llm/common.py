@@ -66,10 +66,15 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
-def tasks_for(df: DataFrame, task_bytes: int) -> int:
-    """Tasks for ``df`` at ``task_bytes`` of stored input each, by Catalyst's estimate; the session's number at least."""
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the input by Catalyst's estimate; 0 if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes) if size < 1 << 60 else 0)
+    return size if size < 1 << 60 else 0
+
+
+def tasks_for(df: DataFrame, task_bytes: int) -> int:
+    """Tasks for ``df`` at ``task_bytes`` of stored input each; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(df) // task_bytes))
 
 
 def slices(texts: list[str], chars: int = 3_000_000):
