@@ -46,7 +46,7 @@ PARTS = 32
 PART = 1 << 16
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
 #: Bytes of text that are counted at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Stored bytes that share a sketch; a sketch has at most half as many bytes when it is passed on.
 TASK_BYTES = 256 << 20
 BREAK = b"\xff"  # in no UTF-8 text
