@@ -151,26 +151,3 @@ def overload_matches(m: Model) -> DataFrame:
     """How many other patches aim at the same overload."""
     w = Window.partitionBy("target_class", "target_method", "target_arg_types")
     return m.harmony_patches.select("id", (F.count(F.lit(1)).over(w) - 1).alias("same_overload")).filter("same_overload > 0")
-
-
-@query("cod_19_enrichment", """
-    SELECT g.id, '{"level":"' || CASE WHEN coalesce(c.n, 0) >= 5 THEN 'active' WHEN coalesce(c.n, 0) >= 2 THEN 'moderate' WHEN coalesce(c.n, 0) = 1 THEN 'low' ELSE 'unused' END || '","callers":' || coalesce(c.n, 0) || '}' AS usage
-    FROM game_code_analysis g LEFT JOIN (SELECT me.name, count(DISTINCT c.caller_id) AS n FROM calls c JOIN methods me ON me.id = c.callee_id GROUP BY 1) c ON c.name = g.method_name""")
-def enrichment(m: Model) -> DataFrame:
-    """The usage column of a finding's enrichment, as JSON."""
-    methods = m.methods.select(F.col("id").alias("callee_id"), F.col("name").alias("method_name"))
-    counts = m.calls.join(methods, "callee_id").groupBy("method_name").agg(F.countDistinct("caller_id").alias("callers"))
-    c = F.coalesce("callers", F.lit(0).cast("long"))
-    level = F.when(c >= 5, "active").when(c >= 2, "moderate").when(c == 1, "low").otherwise("unused")
-    return m.game_code_analysis.join(counts, "method_name", "left").select("id", F.to_json(F.struct(level.alias("level"), c.alias("callers"))).alias("usage"))
-
-
-@query("cod_23_semantic_context", """
-    SELECT id, CASE WHEN class_name ILIKE '%item%' THEN 'items' WHEN class_name ILIKE '%block%' THEN 'blocks' WHEN class_name ILIKE '%player%' THEN 'player' WHEN class_name ILIKE '%buff%' THEN 'effects' ELSE 'general' END AS category,
-      CASE WHEN analysis_type IN ('hardcoded_entity', 'stub_method') THEN 'high' WHEN analysis_type = 'todo' THEN 'medium' ELSE 'low' END AS moddability FROM game_code_analysis""")
-def semantic_context(m: Model) -> DataFrame:
-    """What a finding is about and how open to change it is."""
-    name, kind = F.col("class_name"), F.col("analysis_type")
-    category = F.when(name.ilike("%item%"), "items").when(name.ilike("%block%"), "blocks").when(name.ilike("%player%"), "player").when(name.ilike("%buff%"), "effects").otherwise("general")
-    open_ = F.when(kind.isin("hardcoded_entity", "stub_method"), "high").when(kind == "todo", "medium").otherwise("low")
-    return m.game_code_analysis.select("id", category.alias("category"), open_.alias("moddability"))
