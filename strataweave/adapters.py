@@ -106,7 +106,8 @@ VIEWS: dict[str, str] = {
     "method_bodies": "SELECT doc_id + 1 AS method_id, text AS body FROM documents",
     "event_fires": """
         SELECT event_id AS id, event_type AS event_name, concat('Owner', CAST(user_id AS STRING)) AS owner_type,
-               concat('Type', CAST(user_id % 25 + 1 AS STRING)) AS firer_type, value > 100 AS is_conditional, user_id % 2 = 1 AS is_mod, event_id % 500 AS line_number
+               concat('Type', CAST(user_id % 25 + 1 AS STRING)) AS firer_type, value > 100 AS is_conditional, user_id % 2 = 1 AS is_mod, event_id % 500 AS line_number,
+               CASE WHEN user_id % 2 = 1 THEN CAST(user_id % 10 + 1 AS BIGINT) END AS mod_id
         FROM events WHERE event_id % 2 = 0""",
     "event_subscriptions": """
         SELECT event_id AS id, event_type AS event_name, concat('Owner', CAST(user_id AS STRING)) AS owner_type,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import REGISTRY, Model
-from .operators import chains, conflicts, ecosystem, events, graph, hierarchy, indirect, load, lookup, patches, text_index
-from .sources import sinks
+from .operators import chains, conflicts, ecosystem, events, graph, hierarchy, indirect, load, lookup, patches, qa, text_index
+from .sources import reports, sinks
 
 load()
 
@@ -72,7 +72,18 @@ class Engine:
         return patches.effective_behaviour(self.model)
 
     def qa(self) -> dict[str, DataFrame]:
-        return events.qa_report(self.model)
+        """The phases of the quality check of all mods; ``verdict`` says which of them fail."""
+        return qa.check(self.model)
+
+    def qa_report(self, path: str) -> bool:
+        """Write the report of every mod to text files below ``path``; whether all pass."""
+        phases = qa.check(self.model)
+        reports.write_document(qa.report_lines(self.model, phases), path)
+        return phases["verdict"].filter("verdict = 'fail'").isEmpty()
+
+    def conflict_document(self, path: str) -> DataFrame:
+        """Write the conflict report as one JSON document to text files below ``path``."""
+        return reports.write_document(reports.json_document(self.spark, qa.conflict_sections(self.model)), path)
 
     def detect_conflicts(self) -> dict[str, DataFrame]:
         return conflicts.conflict_report(self.model)

@@ -162,15 +162,3 @@ def missing_overloads(m: Model) -> DataFrame:
     known = m.harmony_patches.select(*method, F.col("target_arg_types").alias("missing")).distinct()
     gaps = own.join(known, method).filter("patched <> missing").join(own.withColumnRenamed("patched", "missing"), ["mod_id", *method, "missing"], "left_anti")
     return gaps.select(*method, "patched", "missing", F.lit("Low").alias("severity")).distinct()
-
-
-def qa_report(m: Model) -> dict[str, DataFrame]:
-    """The phases of a quality check by name."""
-    return {"interactions": event_flow(m), "flows": flow_coverage(m), "uncovered": uncovered_subscribers(m), "overloads": missing_overloads(m)}
-
-
-@query("evt_06_qa_gap_counts", """
-    SELECT 'uncovered' AS gap, count(*) AS n FROM (SELECT DISTINCT s.owner_type, s.event_name, s.subscriber_type, s.handler_method FROM event_subscriptions s JOIN event_fires f ON s.owner_type = f.owner_type AND s.event_name = f.event_name
-    WHERE f.is_mod AND NOT EXISTS (SELECT 1 FROM harmony_patches p WHERE p.target_class = s.subscriber_type AND p.target_method = s.handler_method)) t""")
-def qa_gap_counts(m: Model) -> DataFrame:
-    return uncovered_subscribers(m).agg(n().alias("n")).select(F.lit("uncovered").alias("gap"), "n")

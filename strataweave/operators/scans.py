@@ -3,6 +3,8 @@ back by the parsers; the SQL states what must come out, from the tables alone.""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..model import Model, query
 from ..sources import sinks, xml_config
 from ..sources import source_code as sc
 from . import code, events
+from .shapes import Shapes, config_shapes
 
 KEY = "CAST(p_partkey AS VARCHAR)"
 
@@ -28,86 +31,78 @@ def _text(template: str, **values: Column) -> Column:
 
 # --- Config files -----------------------------------------------------------------------------------------------------
 
-#: By survey number: entity type, document (K: the row's key, Z: its size), and the rows that SQL expects beside the
-#: definition: (kind, line, property or target type, value or target name, class or context).
-CONFIGS: dict[str, tuple[str, str, str, int, list[tuple[str, int, str, str, str]]]] = {
-    "src_02_items": ("item", '<items>\n<item name="i{K}">\n<property name="Extends" value="base{Z}"/>\n<property class="Action0">\n<property name="SoundRandom" value="s{Z}"/>\n</property>\n<property name="SoundHurt" value="none"/>\n</item>\n</items>', "base{Z}", 2,
-        [("property", 3, "Extends", "base{Z}", ""), ("property", 4, "", "", "Action0"), ("property", 5, "SoundRandom", "s{Z}", "Action0"), ("property", 7, "SoundHurt", "none", ""),
-         ("reference", 3, "item", "base{Z}", "property:Extends"), ("reference", 5, "sound", "s{Z}", "property:SoundRandom"), ("reference", 2, "item", "base{Z}", "extends")]),
-    "src_03_blocks": ("block", '<blocks>\n<block name="b{K}">\n<property name="Extends" value="c{Z}"/></block>\n</blocks>', "c{Z}", 2,
-        [("property", 3, "Extends", "c{Z}", ""), ("reference", 3, "item", "c{Z}", "property:Extends"), ("reference", 2, "block", "c{Z}", "extends")]),
-    "src_04_entity_classes": ("entity_class", '<entity_classes>\n\n<entity_class name="e{K}" extends="z{Z}"><property name="LootListOnDeath" value="l{Z}"/></entity_class></entity_classes>', "z{Z}", 3,
-        [("property", 3, "LootListOnDeath", "l{Z}", ""), ("reference", 3, "loot_group", "l{Z}", "property:LootListOnDeath"), ("reference", 3, "entity_class", "z{Z}", "extends")]),
-    "src_05_entity_groups": ("entity_group", '<entitygroups><entitygroup name="g{K}">\nzombie{Z}, 1\nzombieB\n</entitygroup></entitygroups>', "", 1,
-        [("reference", 1, "entity_class", "zombie{Z}", "group_member"), ("reference", 1, "entity_class", "zombieB", "group_member")]),
-    "src_06_buffs": ("buff", '<buffs>\n<buff name="u{K}">\n<effect_group>\n<triggered_effect action="AddBuff" buff="v{Z}, w" sound="x"/>\n</effect_group></buff></buffs>', "", 2,
-        [("reference", 4, "buff", "v{Z}", "triggered_effect:AddBuff"), ("reference", 4, "buff", "w", "triggered_effect:AddBuff"), ("reference", 4, "sound", "x", "triggered_effect:AddBuff")]),
-    "src_07_recipes": ("recipe", '<recipes>\n<recipe name="r{K}" count="1">\n<ingredient name="wood{Z}" count="2"/>\n<ingredient name="nail" count="1"/></recipe></recipes>', "", 2,
-        [("reference", 2, "item", "r{K}", "recipe_output"), ("reference", 3, "item", "wood{Z}", "recipe_ingredient"), ("reference", 4, "item", "nail", "recipe_ingredient")]),
-    "src_08_sounds": ("sound", '<Sounds>\n<SoundDataNode name="n{K}"><AudioClip ClipName="c{Z}"/></SoundDataNode></Sounds>', "", 2, []),
-    "src_09_vehicles": ("vehicle", '<vehicles>\n<vehicle name="v{K}"><property name="Speed" value="{Z}"/></vehicle></vehicles>', "", 2, [("property", 2, "Speed", "{Z}", "")]),
-    "src_10_quests": ("quest", '<quests>\n<quest id="q{K}">\n<property name="Tier" value="{Z}"/></quest></quests>', "", 2, [("property", 3, "Tier", "{Z}", "")]),
-    "src_11_game_events": ("game_event", '<gameevents>\n<action_sequence name="a{K}"><property name="BuffOnEat" value="b{Z}"/></action_sequence></gameevents>', "", 2,
-        [("property", 2, "BuffOnEat", "b{Z}", ""), ("reference", 2, "buff", "b{Z}", "property:BuffOnEat")]),
-    "src_12_progression": ("skill", '<progression><skills>\n<skill name="k{K}" max_level="{Z}"></skill>\n</skills></progression>', "", 2, []),
-    "src_13_loot": ("loot_group", '<lootcontainers>\n<lootgroup name="h{K}">\n<item name="gun{Z}" count="1"/>\n<item name="ammo"/>\n</lootgroup></lootcontainers>', "", 2,
-        [("reference", 3, "item", "gun{Z}", "loot_entry"), ("reference", 4, "item", "ammo", "loot_entry")]),
+#: By survey number: tag, entity type, naming attribute, attribute of the parent, root, and the shapes of this kind alone.
+CONFIGS = {
+    "src_02_items": ("item", "item", "name", "parent", "items", [
+        ('<item name="x{K}_{J}">\n<property name="Extends" value="base{Z}"/>\n<property class="Action0">\n<property name="SoundRandom" value="s{Z}"/>\n</property></item>',
+         [(1, "x{K}_{J}", "base{Z}"), (2, "property", "Extends", "base{Z}", ""), (3, "property", "", "", "Action0"), (4, "property", "SoundRandom", "s{Z}", "Action0"), (2, "reference", "item", "base{Z}", "property:Extends"), (4, "reference", "sound", "s{Z}", "property:SoundRandom")])]),
+    "src_03_blocks": ("block", "block", "name", None, "blocks", [
+        ('<block name="b{K}_{J}">\n<property name="Extends" value="c{Z}"/></block>', [(1, "b{K}_{J}", "c{Z}"), (2, "property", "Extends", "c{Z}", ""), (2, "reference", "item", "c{Z}", "property:Extends")])]),
+    "src_04_entity_classes": ("entity_class", "entity_class", "name", "extends", "entity_classes", [
+        ('\n<entity_class name="e{K}_{J}" extends="z{Z}"><property name="LootListOnDeath" value="l{Z}"/></entity_class>', [(2, "e{K}_{J}", "z{Z}"), (2, "property", "LootListOnDeath", "l{Z}", ""), (2, "reference", "loot_group", "l{Z}", "property:LootListOnDeath")])]),
+    "src_05_entity_groups": ("entitygroup", "entity_group", "name", None, "entitygroups", [
+        ('<entitygroup name="g{K}_{J}">\nzombie{Z}, 1\n\n  zombieB\n<![CDATA[bear,2]]></entitygroup>', [(1, "g{K}_{J}", ""), *((1, "reference", "entity_class", x, "group_member") for x in ("zombie{Z}", "zombieB", "bear"))])]),
+    "src_06_buffs": ("buff", "buff", "name", None, "buffs", [
+        ('<buff name="u{K}_{J}">\n<effect_group>\n<triggered_effect action="AddBuff" buff="v{Z}, w,," sound="x" event=""/>\n<triggered_effect event="ev"/></effect_group></buff>',
+         [(1, "u{K}_{J}", ""), (3, "reference", "buff", "v{Z}", "triggered_effect:AddBuff"), (3, "reference", "buff", "w", "triggered_effect:AddBuff"), (3, "reference", "sound", "x", "triggered_effect:AddBuff"), (4, "reference", "game_event", "ev", "triggered_effect:")])]),
+    "src_07_recipes": ("recipe", "recipe", "name", None, "recipes", [
+        ('<recipe name="y{K}_{J}" count="1">\n<ingredient name="wood{Z}" count="2"/>\n<ingredient count="1"/><ingredient name="nail"/></recipe>', [(1, "y{K}_{J}", ""), (2, "reference", "item", "wood{Z}", "recipe_ingredient"), (3, "reference", "item", "nail", "recipe_ingredient")])]),
+    "src_08_sounds": ("SoundDataNode", "sound", "name", None, "Sounds", [('<SoundDataNode name="s{K}_{J}"><AudioClip ClipName="c{Z}"/></SoundDataNode>', [(1, "s{K}_{J}", "")])]),
+    "src_09_vehicles": ("vehicle", "vehicle", "name", None, "vehicles", [('<vehicle name="v{K}_{J}"><property name="Speed" value="{Z}"/></vehicle>', [(1, "v{K}_{J}", ""), (1, "property", "Speed", "{Z}", "")])]),
+    "src_10_quests": ("quest", "quest", "id", None, "quests", [('<quest name="no{K}"/><quest id="t{K}_{J}">\n<property name="Tier" value="{Z}"/></quest>', [(1, "t{K}_{J}", ""), (2, "property", "Tier", "{Z}", "")])]),
+    "src_11_game_events": ("action_sequence", "game_event", "name", None, "gameevents", [
+        ('<action_sequence name="a{K}_{J}"><property name="BuffOnEat" value="b{Z}"/></action_sequence>', [(1, "a{K}_{J}", ""), (1, "property", "BuffOnEat", "b{Z}", ""), (1, "reference", "buff", "b{Z}", "property:BuffOnEat")])]),
+    "src_12_progression": ("skill", "skill", "name", None, "progression", [
+        ('<skills>\n<skill name="k{K}_{J}" max_level="{Z}"></skill>\n</skills><perks><perk name="pk{K}_{J}"/></perks>', [(2, "k{K}_{J}", ""), (3, "definition", "perk", "pk{K}_{J}", "")])]),
+    "src_13_loot": ("lootgroup", "loot_group", "name", None, "lootcontainers", [
+        ('<lootgroup name="l{K}_{J}">\n<item name="gun{Z}" count="1"/>\n<item group="no"/>\n</lootgroup><lootcontainer id="{Z}"/>', [(1, "l{K}_{J}", ""), (2, "reference", "item", "gun{Z}", "loot_entry"), (4, "definition", "loot_container", "{Z}", "")])]),
 }
-NAMES = {"item": "i", "block": "b", "entity_class": "e", "entity_group": "g", "buff": "u", "recipe": "r", "sound": "n", "vehicle": "v", "quest": "q", "game_event": "a", "skill": "k", "loot_group": "h"}
-
-
-def _quote(text: str) -> str:
-    """A template as SQL text over part."""
-    for name, sql in (("K", KEY), ("Z", "CAST(p_size AS VARCHAR)")):
-        text = text.replace("{" + name + "}", f"' || {sql} || '")
-    return f"'{text}'"
-
-
-def _config_sql(kind: str, extends: str, line: int, more: list) -> str:
-    rows = [("definition", line, kind, NAMES[kind] + "{K}", extends), *more]
-    return " UNION ALL ".join(f"SELECT {_quote('f{K}.xml')} AS path, '{k}' AS kind, {n} AS line_number, {_quote(a)} AS what, {_quote(b)} AS value, {_quote(c)} AS context FROM part" for k, n, a, b, c in rows)
+CONFIG_SHAPES = {name: config_shapes(*args) for name, args in CONFIGS.items()}
+CONFIG_COLUMNS = "kind VARCHAR, what VARCHAR, value VARCHAR, context VARCHAR"
+#: Documents without their last line end in an error there.
+BROKEN = " UNION ALL SELECT PATH, CAST(lines AS INTEGER), 'error', '', '', '' FROM ends WHERE cut UNION ALL SELECT replace('f{K}.xml', '{K}', CAST(p_partkey AS VARCHAR)), 1, 'error', '', '', '' FROM part WHERE p_partkey % 17 IN (3, 5)"
 
 
-def _config_rows(m: Model, document: str) -> DataFrame:
-    part = _part(m)
-    files = part.select(_text("f{K}.xml", K=F.col("p_partkey")).alias("path"), _text(document, K=F.col("p_partkey"), Z=F.col("p_size")).alias("content"))
-    rows = xml_config.config_rows(files)
+def _config_rows(m: Model, shapes: Shapes) -> DataFrame:
+    rows = xml_config.config_rows(shapes.documents(_part(m)))
     is_ = lambda kind: F.col("kind") == kind
-    what = F.when(is_("definition"), F.col("definition_type")).when(is_("property"), F.col("property_name")).otherwise(F.col("target_type"))
-    value = F.when(is_("definition"), F.col("name")).when(is_("property"), F.col("property_value")).otherwise(F.col("target_name"))
-    context = F.when(is_("definition"), F.col("extends")).when(is_("property"), F.col("property_class")).otherwise(F.col("context"))
+    what = F.when(is_("definition"), F.col("definition_type")).when(is_("property"), F.col("property_name")).when(is_("reference"), F.col("target_type"))
+    value = F.when(is_("definition"), F.col("name")).when(is_("property"), F.col("property_value")).when(is_("reference"), F.col("target_name"))
+    context = F.when(is_("definition"), F.col("extends")).when(is_("property"), F.col("property_class")).when(is_("reference"), F.col("context"))
     empty = lambda c: F.coalesce(c, F.lit(""))
-    return rows.select("path", "kind", F.col("line_number").cast("int").alias("line_number"), empty(what).alias("what"), empty(value).alias("value"), empty(context).alias("context"))
+    return rows.select("path", F.col("line_number").cast("int").alias("line_number"), "kind", empty(what).alias("what"), empty(value).alias("value"), empty(context).alias("context"))
 
 
-for _name, (_kind, _document, _extends, _line, _more) in CONFIGS.items():
-    query(_name, _config_sql(_kind, _extends, _line, _more), document=_document)(_config_rows)
+for _name, _shapes in CONFIG_SHAPES.items():
+    query(_name, _shapes.sql(CONFIG_COLUMNS, BROKEN), shapes=_shapes)(_config_rows)
 
 
 def _all_configs(m: Model) -> DataFrame:
     part = _part(m)
-    docs = F.array(*(F.struct(F.concat(F.lit(f"{k}/f"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("path"), _text(v[1], K=F.col("p_partkey"), Z=F.col("p_size")).alias("content")) for k, v in CONFIGS.items()))
-    return part.select(F.explode(docs).alias("d")).select("d.*")
+    return reduce(DataFrame.unionByName, (shapes.documents(part).withColumn("path", F.concat(F.lit(f"{name}/"), "path")) for name, shapes in CONFIG_SHAPES.items()))
 
 
-@query("src_01_config_scan", " UNION ALL ".join(f"SELECT '{v[0]}' AS definition_type, count(*) AS n, 1 AS files_of_each FROM part" for v in CONFIGS.values()))
+@query("src_01_config_scan", "SELECT definition_type, count(*) AS n, count(DISTINCT path) AS files FROM (" + " UNION ALL ".join(f"SELECT '{name}/' || path AS path, what AS definition_type FROM ({shapes.sql(CONFIG_COLUMNS)}) q WHERE kind = 'definition'" for name, shapes in CONFIG_SHAPES.items()) + ") t GROUP BY 1")
 def config_scan(m: Model) -> DataFrame:
-    """All kinds of config files in one pass: definitions by type, and how many a file."""
+    """All kinds of config files in one pass: definitions by type, and how many files hold some."""
     found = xml_config.config_rows(_all_configs(m)).filter("kind = 'definition'")
-    return found.groupBy("definition_type").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.countDistinct("path")).cast("int").alias("files_of_each"))
+    return found.groupBy("definition_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"))
 
 
-@query("src_18_surrogate_ids", """
-    WITH d AS (SELECT 'f' || CAST(p_partkey AS VARCHAR) || '.xml' AS f, p_partkey FROM part) SELECT row_number() OVER (ORDER BY f) AS id, 'i' || CAST(p_partkey AS VARCHAR) AS name, CAST(4 AS BIGINT) AS properties, CAST(3 AS BIGINT) AS refs FROM d""")
+@query("src_18_surrogate_ids", f"""
+    WITH rows AS ({CONFIG_SHAPES["src_02_items"].sql(CONFIG_COLUMNS)}), d AS (SELECT path, value AS name, line_number FROM rows WHERE kind = 'definition'),
+    p AS (SELECT path, count(*) AS n FROM rows WHERE kind = 'property' GROUP BY 1), r AS (SELECT path, count(*) AS n FROM rows WHERE kind = 'reference' GROUP BY 1)
+    SELECT d.path, min(id) AS first_id, count(*) AS definitions, coalesce(max(p.n), 0) AS properties, coalesce(max(r.n), 0) AS refs
+    FROM (SELECT path, row_number() OVER (ORDER BY path, line_number) AS id FROM d) d LEFT JOIN p ON p.path = d.path LEFT JOIN r ON r.path = d.path GROUP BY 1""")
 def surrogate_ids(m: Model) -> DataFrame:
-    """Ids by file and place, with what hangs on each definition."""
-    part = _part(m)
-    files = part.select(_text("f{K}.xml", K=F.col("p_partkey")).alias("path"), _text(CONFIGS["src_02_items"][1], K=F.col("p_partkey"), Z=F.col("p_size")).alias("content"))
-    rows = sinks.stored(xml_config.config_rows(files), "config_rows")
-    defs = xml_config.definitions(rows)
-    props = xml_config.properties(rows, defs).groupBy(F.col("definition_id").alias("id")).agg(F.count(F.lit(1)).alias("properties"))
-    refs = xml_config.references(rows, defs).groupBy(F.col("source_def_id").alias("id")).agg(F.count(F.lit(1)).alias("refs"))
-    return defs.select("id", "name").join(props, "id", "left").join(refs, "id", "left")
+    """Ids by file and place: each file's first, and what hangs on its definitions."""
+    rows = sinks.stored(xml_config.config_rows(CONFIG_SHAPES["src_02_items"].documents(_part(m))), "config_rows")
+    defs = sinks.stored(xml_config.definitions(rows), "definitions")
+    files = defs.select("id", F.col("file_path").alias("path"))
+    props = xml_config.properties(rows, defs).join(files, F.col("definition_id") == F.col("id")).groupBy("path").agg(F.count(F.lit(1)).alias("properties"))
+    refs = xml_config.references(rows, defs).join(files, F.col("source_def_id") == F.col("id")).groupBy("path").agg(F.count(F.lit(1)).alias("refs"))
+    out = files.groupBy("path").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("definitions")).join(props, "path", "left").join(refs, "path", "left")
+    return out.fillna(0, ["properties", "refs"])
 
 
 @query("src_19_config_tree", f"""
@@ -164,178 +159,269 @@ def mod_scan(m: Model) -> DataFrame:
 
 # --- Source files -----------------------------------------------------------------------------------------------------
 
-SOURCE = """using System;
+HEAD = """using System;
 using Alias = System.Text.StringBuilder;
 public class C{K} : BlockDoor, IModApi
 {
     public event Action<int> OnBag{K}Changed;
-    private static bool enableDebug = false;
-    public int Size { get; set; }
-    public virtual List<int> Use(int n, string s)
+    private static bool enableDebug = false;"""
+
+#: Members of a class: the text, the member's name, and what each rule finds in it, by query: (line in the member, values).
+MEMBERS: list[tuple[str, str, dict[str, list[tuple]]]] = [
+    ("    public int Size { get; set; }", "Size (property)", {}),
+    ("    public bool Ready => count > 0;", "Ready (property)", {}),
+    ("""    public virtual List<int> Use(int n, string s)
     {
         // TODO: mend {Z}
         var i = ItemClass.GetItem("item{Z}");
         player.AddBuff("buff{Z}");
-        // Block.GetBlockByName("comment");
+        // player.AddBuff("comment");
+    }""", "Use", {
+        "todo": [(3, "INFO", "medium")], "hard": [(4, "item", "item{Z}"), (5, "buff", "buff{Z}")], "rules": [(4, "item", "item{Z}"), (5, "buff", "buff{Z}")], "calls": [(4, "ItemClass", "GetItem")], "methods": [(1, "Use", "int n, string s", 6)]}),
+    ("""    private void Play{J}()
+    {
         if (speed == 1.5f && ready) Manager.Play(this, "bang{Z}");
         if (count == 15 && ready) Mathf.Abs(n);
         throw new NotImplementedException();
         Foo.Bar(n);
+    }""", "Play{J}", {
+        "unimplemented": [(5, "WARNING", "high")], "suspicious": [(3, "INFO", "low")], "hard": [(3, "sound", "bang{Z}")], "rules": [(3, "sound", "bang{Z}")], "unreachable": [(6, "Foo.Bar(n);")], "calls": [(3, "Manager", "Play"), (6, "Foo", "Bar")],
+        "methods": [(1, "Play{J}", "", 6)]}),
+    ("""    internal static bool Check(string name)
+    {
         if (name == "x{Z}") Helper{Z}.Run();
         if (title.Equals("x{Z}", StringComparison.Ordinal)) return;
         try { Go(); } catch (Exception e) { }
+        return false;
+    }""", "Check", {"suspicious": [(3, "INFO", "low")], "catch": [(5, "WARNING")], "calls": [(3, "Helper{Z}", "Run")], "methods": [(1, "Check", "string name", 6)]}),
+    ("""    protected override void Read(DataBag bag)
+    {
         bag.Values.TryGetValue("prop{Z}", out var v);
         props.Properties.parseint(nameof(C.Size{Z}));
         other.GetInt("Nope");
+    }""", "Read", {"access": [(3, "Read", "TryGetValue", "prop{Z}"), (4, "Read", "parseint", "Size{Z}")], "calls": [(3, "Values", "TryGetValue")], "methods": [(1, "Read", "DataBag bag", 5)]}),
+    ("""    public void Fire(int n)
+    {
         OnBag{K}Changed?.Invoke(n);
         OnPress(n);
         playerInventory.Backpack.OnBackpackItemsChangedInternal += HandleBag;
         toolbelt.SlotChanged -= new Handler(this.Slot{Z});
         counter += n;
+    }""", "Fire", {
+        "events": [(3, "fire", "C{K}", "C{K}", "OnBag{K}Changed", "Invoke", "", "true"), (4, "fire", "C{K}", "C{K}", "OnPress", "direct", "", "false"), (5, "subscription", "C{K}", "Bag", "OnBackpackItemsChangedInternal", "add", "HandleBag", "false"),
+                   (6, "subscription", "C{K}", "Inventory", "SlotChanged", "remove", "Slot{Z}", "false")], "methods": [(1, "Fire", "int n", 7)]}),
+    ("""    public string Text(int n)
+    {
         var s = Localization.Get("key{Z}");
         new ConsoleCmdAbstract("cmd{Z}");
-    }
-    private string Stub() { return null; }
-    private string Update() { return null; }
-#if DEBUG
-    internal bool Pressed
+        return s;
+    }""", "Text", {"rules": [(3, "localization", "key{Z}")], "secret": [(4, "OPPORTUNITY", "high")], "calls": [(3, "Localization", "Get")], "methods": [(1, "Text", "int n", 5)]}),
+    ("    private string Stub{J}() { return null; }", "Stub{J}", {"stub": [(1, "INFO")], "methods": [(1, "Stub{J}", "", 0)]}),
+    ("    private string Update() { return null; }", "Update", {"methods": [(1, "Update", "", 0)]}),
+    ("""    internal void Debug{J}()
     {
-        set { x = 2; /* BUG not a mark */ } // FIXME: {Z}
-    }
+#if DEBUG
+        x = 2; /* BUG not a mark */ // FIXME: {Z}
 #endif
-}
-"""
+    }""", "Debug{J}", {"secret": [(3, "OPPORTUNITY", "high")], "todo": [(4, "WARNING", "medium")], "methods": [(1, "Debug{J}", "", 5)]}),
+    ("""    public int Brace{J}(string text)
+    {
+        var s = "{ not a brace }"; // } nor this
+        /* catch { }
+           throw elsewhere; */
+        if (s == null) { return 0; }
+        try { Go(); }
+        catch
+        {
+        }
+        return text.Length;
+    }""", "Brace{J}", {"catch": [(4, "WARNING"), (8, "WARNING")], "methods": [(1, "Brace{J}", "string text", 11)]}),
+]
+SOURCE_SHAPES = Shapes(HEAD, "}", [(text, []) for text, _, _ in MEMBERS], "C{K}.cs")
 
 
 def _sources(m: Model) -> DataFrame:
-    return _part(m).select(_text("C{K}.cs", K=F.col("p_partkey")).alias("file_path"), _text(SOURCE, K=F.col("p_partkey"), Z=F.col("p_size")).alias("content"))
+    return SOURCE_SHAPES.documents(_part(m)).withColumnRenamed("path", "file_path")
 
 
-def _expect(columns: str, *rows: tuple) -> str:
-    """SQL with one SELECT over part for each expected row; texts are templates, None is null."""
-    names = [c.strip() for c in columns.split(",")]
-    of = lambda v: "NULL" if v is None else _quote(v) if isinstance(v, str) else ("true" if v else "false") if isinstance(v, bool) else f"CAST({v} AS BIGINT)"
-    one = lambda r: f"SELECT {_quote('C{K}.cs')} AS file_path, " + ", ".join(f"{of(v)} AS {n}" for n, v in zip(names, r, strict=True)) + " FROM part"
-    return " UNION ALL ".join(map(one, rows))
+def _source_sql(rule: str, columns: str, head: list[tuple] = (), with_member: bool = False) -> str:
+    """What a rule finds in all sources. head: (line, values) that every class begins with."""
+    rows = [[(line, *values, *([name] if with_member else [])) for line, *values in found.get(rule, [])] for _, name, found in MEMBERS]
+    names = [c.split() for c in columns.split(",")]
+    cast = lambda v, t: f"CAST(replace(replace('{v}', '{{K}}', CAST(k AS VARCHAR)), '{{Z}}', CAST(z AS VARCHAR)) AS {t})"
+    more = "".join(f" UNION ALL SELECT PATH, {line}, {', '.join(cast(v, t) for v, (_, t) in zip(values, names, strict=True))} FROM docs" for line, *values in head)
+    return f"SELECT path AS file_path, CAST(line_number AS BIGINT) AS line_number, {', '.join(n for n, _ in names)} FROM ({SOURCE_SHAPES.sql(columns, more, rows)}) q"
 
 
-def _rule(number: str, name: str, *rows: tuple) -> None:
+def _rule(number: str, rule: str, name: str, head: list[tuple] = ()) -> None:
     def found(m: Model) -> DataFrame:
-        return code.line_findings(_sources(m)).filter(F.col("analysis_type") == name).select("file_path", "analysis_type", "line_number", "severity", "confidence", F.coalesce("member", F.lit("")).alias("member"))
+        return code.line_findings(_sources(m)).filter(F.col("analysis_type") == name).select("file_path", "line_number", "severity", "confidence", F.coalesce("member", F.lit("")).alias("member"))
 
-    query(number, _expect("analysis_type, line_number, severity, confidence, member", *((name, *r) for r in rows)))(found)
+    query(number, _source_sql(rule, "severity VARCHAR, confidence VARCHAR, member VARCHAR", head, True))(found)
 
 
-_rule("cod_01_unimplemented", "unimplemented", (16, "WARNING", "high", "Use"))
-_rule("cod_03_todo", "todo", (10, "INFO", "medium", "Use"), (37, "WARNING", "medium", "Pressed (property)"))
-_rule("cod_06_suspicious", "suspicious", (14, "INFO", "low", "Use"), (18, "INFO", "low", "Use"))
-_rule("cod_07_hidden_features", "secret", (6, "OPPORTUNITY", "medium", ""), (30, "OPPORTUNITY", "high", "Use"), (34, "OPPORTUNITY", "high", "Update"))
+_rule("cod_01_unimplemented", "unimplemented", "unimplemented")
+_rule("cod_03_todo", "todo", "todo")
+_rule("cod_06_suspicious", "suspicious", "suspicious")
+_rule("cod_07_hidden_features", "secret", "secret", [(6, "OPPORTUNITY", "medium", "")])
 
 
-@query("cod_02_empty_catch", _expect("severity, line_number", ("WARNING", 20)))
+@query("cod_02_empty_catch", _source_sql("catch", "severity VARCHAR"))
 def empty_catch(m: Model) -> DataFrame:
-    return code.block_findings(_sources(m)).filter("analysis_type = 'empty_catch'").select("file_path", "severity", "line_number")
+    return code.block_findings(_sources(m)).filter("analysis_type = 'empty_catch'").select("file_path", "severity", F.col("line_number").cast("long").alias("line_number"))
 
 
-@query("cod_04_stub_methods", _expect("severity, line_number", ("INFO", 32)))
+@query("cod_04_stub_methods", _source_sql("stub", "severity VARCHAR"))
 def stub_methods(m: Model) -> DataFrame:
     """Methods that only return nothing; not those that the engine calls."""
-    return code.block_findings(_sources(m)).filter("analysis_type = 'stub_method'").select("file_path", "severity", "line_number")
+    return code.block_findings(_sources(m)).filter("analysis_type = 'stub_method'").select("file_path", "severity", F.col("line_number").cast("long").alias("line_number"))
 
 
-@query("cod_05_unreachable", _expect("line_number, line", (17, "Foo.Bar(n);")))
+@query("cod_05_unreachable", _source_sql("unreachable", "line VARCHAR"))
 def unreachable(m: Model) -> DataFrame:
     return code.unreachable(_sources(m))
 
 
-@query("cod_08_hardcoded_entities", _expect("line_number, entity_type, entity_name", (11, "item", "item{Z}"), (12, "buff", "buff{Z}"), (14, "sound", "bang{Z}")))
+@query("cod_08_hardcoded_entities", _source_sql("hard", "entity_type VARCHAR, entity_name VARCHAR"))
 def hardcoded_entities(m: Model) -> DataFrame:
     return code.hardcoded_entities(_sources(m))
 
 
-@query("cod_09_entity_rules", _expect("line_number, entity_type, entity_name", (3, "extends_block", "BlockDoor"), (11, "item", "item{Z}"), (12, "buff", "buff{Z}"), (14, "sound", "bang{Z}"), (29, "localization", "key{Z}")))
+@query("cod_09_entity_rules", _source_sql("rules", "entity_type VARCHAR, entity_name VARCHAR", [(3, "extends_block", "BlockDoor")]))
 def entity_rules(m: Model) -> DataFrame:
     return code.entity_dependencies(_sources(m))
 
 
-MEMBERS = [(1, ""), (7, "Size (property)"), (8, "Use"), (32, "Stub"), (33, "Update"), (35, "Pressed (property)"), (len(SOURCE.split("\n")) + 1, None)]  # from which line on
+_MEMBER_LINES = [[(line, name) for line in range(1, text.count("\n") + 2)] for text, name, _ in MEMBERS]
+_LAST = "[" + ", ".join(f"'{name}'" for _, name, _ in MEMBERS) + "]"
 
 
-@query("cod_11_enclosing_members", _expect("line_number, member", *((n, name) for (at, name), (end, _) in zip(MEMBERS, MEMBERS[1:], strict=False) for n in range(at, end))))
+@query("cod_11_enclosing_members", "SELECT path AS file_path, CAST(line_number AS BIGINT) AS line_number, member FROM (" + SOURCE_SHAPES.sql("member VARCHAR", "".join(f" UNION ALL SELECT PATH, {n}, '' FROM docs" for n in range(1, 7)) + f"""
+    UNION ALL SELECT PATH, CAST(lines + 1 AS INTEGER), coalesce(replace({_LAST}[s + 1], '{{J}}', CAST(j AS VARCHAR)), '') FROM (SELECT ends.k, ends.z, ends.cut, lines, max(j) AS j, arg_max(s, j) AS s FROM ends LEFT JOIN placed ON placed.k = ends.k GROUP BY 1, 2, 3, 4) t WHERE NOT cut""", _MEMBER_LINES) + ") q UNION ALL SELECT 'C' || CAST(p_partkey AS VARCHAR) || '.cs', 1, '' FROM part WHERE p_partkey % 17 IN (3, 5)")
 def members(m: Model) -> DataFrame:
     """The member around each line."""
     return code.enclosing_members(code.lines(_sources(m))).select("file_path", "line_number", F.coalesce("member", F.lit("")).alias("member"))
 
 
-@query("cod_13_call_graph", _expect("line_number, target_class, target_method", (11, "ItemClass", "GetItem"), (14, "Manager", "Play"), (17, "Foo", "Bar"), (18, "Helper{Z}", "Run"), (21, "Values", "TryGetValue"), (29, "Localization", "Get")))
+@query("cod_13_call_graph", _source_sql("calls", "target_class VARCHAR, target_method VARCHAR"))
 def call_graph(m: Model) -> DataFrame:
     """Static calls by line; common classes and methods are left out."""
-    return code.static_calls(_sources(m).select("file_path", F.replace("content", F.lit("Block.GetBlockByName"), F.lit("block.get")).alias("content")))
+    return code.static_calls(_sources(m))
 
 
-@query("src_27_class_signatures", _expect("line_number, class_name, parent_class, interfaces", (3, "C{K}", "BlockDoor", "IModApi")))
+@query("src_27_class_signatures", _source_sql("classes", "class_name VARCHAR, parent_class VARCHAR, interfaces VARCHAR", [(3, "C{K}", "BlockDoor", "IModApi")]))
 def class_signatures(m: Model) -> DataFrame:
     return code.class_signatures(_sources(m))
 
 
-@query("src_27_method_signatures", _expect("method, parameters, first_line, last_line", ("Use", "int n, string s", 8, 31), ("Stub", "", 32, 32), ("Update", "", 33, 33)))
+@query("src_27_method_signatures", f"SELECT file_path, method, parameters, line_number AS first_line, line_number + more AS last_line FROM ({_source_sql('methods', 'method VARCHAR, parameters VARCHAR, more BIGINT')}) r")
 def method_signatures(m: Model) -> DataFrame:
     """Methods with their parameters and the lines they span."""
     return sc.scan(_sources(m), sc.bodies, sc.BODY_COLUMNS).select("file_path", "method", "parameters", "first_line", "last_line")
 
 
-@query("src_28_imports", _expect("alias, target", ("", "System"), ("Alias", "System.Text.StringBuilder")))
+@query("src_28_imports", f"SELECT file_path, alias, target FROM ({_source_sql('imports', 'alias VARCHAR, target VARCHAR', [(1, '', 'System'), (2, 'Alias', 'System.Text.StringBuilder')])}) r")
 def imports(m: Model) -> DataFrame:
     return code.imports(_sources(m)).select("file_path", F.coalesce("alias", F.lit("")).alias("alias"), "target")
 
 
-@query("flt_15_property_access", _expect("line_number, member, access_method, property_name", (21, "Use", "TryGetValue", "prop{Z}"), (22, "Use", "parseint", "Size{Z}")))
+@query("flt_15_property_access", _source_sql("access", "member VARCHAR, access_method VARCHAR, property_name VARCHAR"))
 def property_access(m: Model) -> DataFrame:
     return code.property_accesses(_sources(m))
 
 
-@query("evt_04_event_extraction", _expect(
-    "line_number, kind, type, owner_type, event_name, detail, handler, conditional",
-    (5, "declaration", "C{K}", "C{K}", "OnBag{K}Changed", "Action<int>", "", False), (24, "fire", "C{K}", "C{K}", "OnBag{K}Changed", "Invoke", "", True), (25, "fire", "C{K}", "C{K}", "OnPress", "direct", "", False),
-    (26, "subscription", "C{K}", "Bag", "OnBackpackItemsChangedInternal", "add", "HandleBag", False), (27, "subscription", "C{K}", "Inventory", "SlotChanged", "remove", "Slot{Z}", False)))
+@query("evt_04_event_extraction", _source_sql("events", "kind VARCHAR, type VARCHAR, owner_type VARCHAR, event_name VARCHAR, detail VARCHAR, handler VARCHAR, conditional BOOLEAN", [(5, "declaration", "C{K}", "C{K}", "OnBag{K}Changed", "Action<int>", "", "false")]))
 def event_extraction(m: Model) -> DataFrame:
     """Declarations, subscriptions and fires of events in source files."""
     return events.event_rows(_sources(m)).withColumns({"handler": F.coalesce("handler", F.lit("")), "conditional": F.coalesce("conditional", F.lit(False))})
 
 
-PATCH_SOURCE = """[HarmonyPatch(typeof(Target{Z}), "Run")]
+#: Classes of a file of patches: the text, and its patches: (line, kind, target class and method, priority, whether it returns a bool and
+#: changes the result, the guard).
+PATCHES: list[tuple[str, list[tuple]]] = [
+    ("""[HarmonyPatch(typeof(Target{Z}), "Run")]
 [HarmonyPriority(Priority.High)]
-public class Patch{K}
+public class A{J}
 {
     public static bool Prefix(int n, ref int __result)
     {
         if (n > {Z}) return true;
         return false;
     }
-}
-public class Init{K} { public void Go() { h.PatchAll(); h.Patch(AccessTools.Method(typeof(T{Z}), "M"), null); } }
-"""
+}""", [(5, "Prefix", "A{J}", "Target{Z}", "Run", 600, "true", "true", "n > {Z}")]),
+    ("""[HarmonyPatch(typeof(Game.World{Z}), nameof(Game.World{Z}.Tick))]
+internal static class B{J}
+{
+    private static void Postfix(World{Z} __instance) { Go(); }
+    static IEnumerable<CodeInstruction> Transpiler(IEnumerable<CodeInstruction> all)
+    {
+        return all; // }
+    }
+}""", [(4, "Postfix", "B{J}", "Game.World{Z}", "Tick", 400, "false", "false", ""), (5, "Transpiler", "B{J}", "Game.World{Z}", "Tick", 400, "false", "false", "")]),
+    ("""    [HarmonyPatch(typeof(Bag))]
+    [HarmonyPatch("Add", new Type[] { typeof(int), typeof(List<string>) })]
+    [HarmonyPriority({Z})]
+    class D{J}
+    {
+        [HarmonyPrefix]
+        public static void Prefix(ref Bag __result) { if (x) { return; } }
+        public static Exception Finalizer(Exception e) { return null; }
+    }""", [(7, "Prefix", "D{J}", "Bag", "Add", "{Z}", "false", "true", "x"), (8, "Finalizer", "D{J}", "Bag", "Add", "{Z}", "false", "false", "")]),
+    ("""public class Plain{J}
+{
+    public static bool Prefix() { return true; }
+}""", []),
+    ("""[HarmonyPatch(typeof(Empty), "None")]
+public class E{J}
+{
+    public static bool Prepare() { return true; }
+    public bool Prefix() { return true; }
+}""", []),
+    ("""public class Init{J} { public void Go() { h.PatchAll(); h.Patch(AccessTools.Method(typeof(T{Z}), "M"), null); } }""", [(1, "PatchAll", "", "", "", 400, "", "", ""), (1, "Dynamic", "", "T{Z}", "M", 400, "", "", "")]),
+    ("""[Serializable]
+[HarmonyPatch(typeof(Door), "Open")] [HarmonyPriority(Priority.Last)]
+public sealed class F{J} : Base
+{
+    public static bool Postfix(bool __state) { return __state; }
+}""", [(5, "Postfix", "F{J}", "Door", "Open", 0, "true", "false", "")]),
+    ("""// class Comment{J}
+[HarmonyPatch(typeof(Ü{Z}), "Größe")]
+public class G{J}
+{
+    public static void Prefix()
+    {
+        if (a && b)
+            return;
+    }
+}""", [(5, "Prefix", "G{J}", "Ü{Z}", "Größe", 400, "false", "false", "a && b")]),
+    ("""[HarmonyPatch(typeof(Cut{Z}), "Short")]
+public class H{J} { static void Postfix() { var s = "}"; var c = '}'; } /* } */ }""", [(2, "Postfix", "H{J}", "Cut{Z}", "Short", 400, "false", "false", "")]),
+    ("// nothing here", []),
+]
+PATCH_SHAPES = Shapes("using HarmonyLib;", "// the end", PATCHES, "P{K}.cs")
+PATCH_COLUMNS = "patch_type VARCHAR, patch_class VARCHAR, target_class VARCHAR, target_method VARCHAR, harmony_priority INTEGER, returns_bool VARCHAR, modifies_result VARCHAR, guard_condition VARCHAR"
+_PATCH_SQL = f"SELECT path AS file_path, CAST(line_number AS BIGINT) AS line_number, {', '.join(c.split()[0] for c in PATCH_COLUMNS.split(', '))} FROM ({PATCH_SHAPES.sql(PATCH_COLUMNS)}) q"
+
+
+def _patches(m: Model) -> DataFrame:
+    files = PATCH_SHAPES.documents(_part(m)).withColumnRenamed("path", "file_path")
+    rows = sc.scan(files, sc.patches, sc.PATCH_COLUMNS)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return rows.select("file_path", "line_number", "patch_type", text("patch_class"), text("target_class"), text("target_method"), "harmony_priority", text("returns_bool"), text("modifies_result"), text("guard_condition"))
 
 
-@query("cod_16_patch_scan", f"""
-    SELECT {KEY} AS file_path, 'Patch' || {KEY} AS patch_class, 'Prefix' AS patch_type, 'Target' || CAST(p_size AS VARCHAR) AS target_class, 'Run' AS target_method, 600 AS harmony_priority, true AS returns_bool, true AS modifies_result, 'n > ' || CAST(p_size AS VARCHAR) AS guard_condition, CAST(5 AS BIGINT) AS line_number FROM part""")
+@query("cod_16_patch_scan", f"SELECT * FROM ({_PATCH_SQL}) p WHERE patch_type NOT IN ('Dynamic', 'PatchAll')")
 def patch_scan(m: Model) -> DataFrame:
     """Patches declared by attributes."""
-    return _patches(m).filter("patch_type not in ('Dynamic', 'PatchAll')").select("file_path", "patch_class", "patch_type", "target_class", "target_method", "harmony_priority", "returns_bool", "modifies_result", "guard_condition", "line_number")
+    return _patches(m).filter("patch_type not in ('Dynamic', 'PatchAll')")
 
 
-@query("cod_17_dynamic_patches", f"SELECT {KEY} AS file_path, 'Dynamic' AS patch_type, 'T' || CAST(p_size AS VARCHAR) AS target_class, 'M' AS target_method, CAST(11 AS BIGINT) AS line_number FROM part UNION ALL SELECT {KEY}, 'PatchAll', '', '', 11 FROM part")
+@query("cod_17_dynamic_patches", f"SELECT file_path, patch_type, target_class, target_method, line_number FROM ({_PATCH_SQL}) p WHERE patch_type IN ('Dynamic', 'PatchAll')")
 def dynamic_patches(m: Model) -> DataFrame:
     """Patches made at run time."""
-    rows = _patches(m).filter("patch_type in ('Dynamic', 'PatchAll')")
-    return rows.select("file_path", "patch_type", F.coalesce("target_class", F.lit("")).alias("target_class"), F.coalesce("target_method", F.lit("")).alias("target_method"), "line_number")
+    return _patches(m).filter("patch_type in ('Dynamic', 'PatchAll')").select("file_path", "patch_type", "target_class", "target_method", "line_number")
 
 
-@query("cod_15_patch_summary", "SELECT 'Dynamic' AS patch_type, count(*) AS n FROM part UNION ALL SELECT 'PatchAll', count(*) FROM part UNION ALL SELECT 'Prefix', count(*) FROM part")
+@query("cod_15_patch_summary", f"SELECT patch_type, count(*) AS n, count(DISTINCT file_path) AS files FROM ({_PATCH_SQL}) p GROUP BY 1")
 def patch_summary(m: Model) -> DataFrame:
-    return _patches(m).groupBy("patch_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _patches(m: Model) -> DataFrame:
-    files = _part(m).select(F.col("p_partkey").cast("string").alias("file_path"), _text(PATCH_SOURCE, K=F.col("p_partkey"), Z=F.col("p_size")).alias("content"))
-    return sc.scan(files, sc.patches, sc.PATCH_COLUMNS)
+    return _patches(m).groupBy("patch_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_path").alias("files"))
