@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import REMOVALS, Model, csv, n, query, total, with_mod
+from ..model import REGISTRY, REMOVALS, Model, csv, n, query, total, with_mod
 from .graph import CLOSURE_SQL, closure
 
 def zero() -> Column:
@@ -86,16 +86,40 @@ def xpath_impact(m: Model) -> DataFrame:
     return rows.select("id", status.alias("status"))
 
 
-@query("cnf_46_mod_health", """
-    SELECT m.name, CASE WHEN m.has_xml AND m.has_dll THEN 'Hybrid' WHEN m.has_xml THEN 'XML' WHEN m.has_dll THEN 'C#' ELSE 'Config' END AS kind, coalesce(o.n, 0) AS operations, coalesce(o.removals, 0) AS removals,
-      CASE WHEN coalesce(o.removals, 0) > 0 THEN 'Broken' ELSE 'Healthy' END AS health FROM mods m
-    LEFT JOIN (SELECT mod_id, count(*) AS n, CAST(sum(CASE WHEN operation = 'remove' THEN 1 ELSE 0 END) AS BIGINT) AS removals FROM mod_xml_operations GROUP BY 1) o ON o.mod_id = m.id""")
+@query("cnf_46_mod_health", f"""
+    WITH x AS ({REGISTRY["cnf_45_xpath_impact"][1]}),
+    o AS (SELECT o.mod_id, count(*) AS ops, count(*) FILTER (WHERE operation = 'remove') AS removes, count(*) FILTER (WHERE operation IN ('set', 'setattribute')) AS sets, count(*) FILTER (WHERE operation IN ('append', 'insertBefore', 'insertAfter')) AS appends,
+      count(DISTINCT target_name) AS entities, count(*) FILTER (WHERE x.status = 'Conflict') AS conflicts FROM mod_xml_operations o JOIN x ON x.id = o.id GROUP BY 1),
+    d AS (SELECT mod_id, count(*) AS deps FROM csharp_deps GROUP BY 1),
+    j AS (SELECT m.name, m.has_xml, m.has_dll, m.load_order, coalesce(ops, 0) AS ops, coalesce(removes, 0) AS removes, coalesce(sets, 0) AS sets, coalesce(appends, 0) AS appends, coalesce(entities, 0) AS entities, coalesce(conflicts, 0) AS conflicts, coalesce(deps, 0) AS deps
+      FROM mods m LEFT JOIN o ON o.mod_id = m.id LEFT JOIN d ON d.mod_id = m.id)
+    SELECT name, load_order, ops AS operations, deps AS dependencies, removes AS removals, CASE WHEN has_xml AND has_dll THEN 'Hybrid' WHEN has_xml THEN 'XML' WHEN has_dll THEN 'C#' ELSE 'Config' END AS kind, CASE WHEN conflicts > 0 THEN 'Broken' ELSE 'Healthy' END AS health,
+      CASE WHEN conflicts > 0 THEN 'Removes game content needed by other mods' WHEN removes > 0 THEN 'Removes ' || CAST(removes AS VARCHAR) || ' game element(s)'
+        WHEN ops > 0 AND deps > 0 THEN 'Hybrid: ' || CAST(ops AS VARCHAR) || ' XML ops on ' || CAST(entities AS VARCHAR) || ' entities, ' || CAST(deps AS VARCHAR) || ' C# patches'
+        WHEN ops > 0 AND sets > 0 AND appends > 0 THEN 'XML: ' || CAST(sets AS VARCHAR) || ' sets, ' || CAST(appends AS VARCHAR) || ' appends on ' || CAST(entities AS VARCHAR) || ' entities'
+        WHEN ops > 0 AND sets > 0 THEN 'XML: ' || CAST(sets AS VARCHAR) || ' sets on ' || CAST(entities AS VARCHAR) || ' entities' WHEN ops > 0 AND appends > 0 THEN 'XML: ' || CAST(appends AS VARCHAR) || ' appends on ' || CAST(entities AS VARCHAR) || ' entities'
+        WHEN ops > 0 THEN 'XML: ' || CAST(ops AS VARCHAR) || ' operations on ' || CAST(entities AS VARCHAR) || ' entities' WHEN deps > 0 THEN 'C#: ' || CAST(deps AS VARCHAR) || ' game code patches'
+        WHEN has_dll THEN 'C# mod (no detected game patches)' WHEN has_xml THEN 'Has Config/ but no operations parsed' ELSE 'Config only (no XML/DLL detected)' END AS note FROM j""")
 def mod_health(m: Model) -> DataFrame:
-    """Kind and state of each mod."""
-    ops = m.mod_xml_operations.groupBy(F.col("mod_id").alias("id")).agg(n().alias("operations"), total(F.col("operation") == "remove").alias("removals"))
+    """Kind and state of each mod, with a note: broken if it removes what others refer to."""
+    op = F.col("operation")
+    ops = m.mod_xml_operations.join(xpath_impact(m), "id").groupBy(F.col("mod_id").alias("id")).agg(
+        n().alias("operations"), total(op == "remove").alias("removals"), total(op.isin("set", "setattribute")).alias("sets"), total(op.isin("append", "insertBefore", "insertAfter")).alias("appends"),
+        F.countDistinct("target_name").alias("entities"), total(F.col("status") == "Conflict").alias("conflicts"),
+    )
+    deps = m.csharp_deps.groupBy(F.col("mod_id").alias("id")).agg(n().alias("dependencies"))
     kind = F.when(F.col("has_xml") & F.col("has_dll"), "Hybrid").when(F.col("has_xml"), "XML").when(F.col("has_dll"), "C#").otherwise("Config")
-    rows = m.mods.join(ops, "id", "left").select("name", kind.alias("kind"), F.coalesce("operations", zero()).alias("operations"), F.coalesce("removals", zero()).alias("removals"))
-    return rows.withColumn("health", F.when(F.col("removals") > 0, "Broken").otherwise("Healthy"))
+    rows = m.mods.join(ops, "id", "left").join(deps, "id", "left").fillna(0, ["operations", "removals", "sets", "appends", "entities", "conflicts", "dependencies"])
+    c = lambda name: F.col(name)
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    kinds = F.array_join(F.array_compact(F.array(F.when(c("sets") > 0, text(c("sets"), " sets")), F.when(c("appends") > 0, text(c("appends"), " appends")))), ", ")
+    note = (
+        F.when(c("conflicts") > 0, "Removes game content needed by other mods").when(c("removals") > 0, text("Removes ", c("removals"), " game element(s)"))
+        .when((c("operations") > 0) & (c("dependencies") > 0), text("Hybrid: ", c("operations"), " XML ops on ", c("entities"), " entities, ", c("dependencies"), " C# patches"))
+        .when(c("operations") > 0, text("XML: ", F.when(kinds == "", text(c("operations"), " operations")).otherwise(kinds), " on ", c("entities"), " entities"))
+        .when(c("dependencies") > 0, text("C#: ", c("dependencies"), " game code patches")).when(c("has_dll"), "C# mod (no detected game patches)").when(c("has_xml"), "Has Config/ but no operations parsed").otherwise("Config only (no XML/DLL detected)")
+    )
+    return rows.select("name", "load_order", "operations", "dependencies", "removals", kind.alias("kind"), F.when(c("conflicts") > 0, "Broken").otherwise("Healthy").alias("health"), note.alias("note"))
 
 
 @query("cnf_47_superlatives", """
@@ -139,34 +163,74 @@ def most_interconnected(m: Model) -> DataFrame:
     return rows.select("name", (F.col("out_degree") + F.col("in_degree")).alias("degree")).orderBy(F.desc("degree"), "name").limit(10)
 
 
-@query("cnf_49_code_rollup", "SELECT dependency_type, count(*) AS n, count(DISTINCT mod_id) AS mods, string_agg(DISTINCT split_part(source_file, '.', 1), ',' ORDER BY split_part(source_file, '.', 1)) AS sources FROM csharp_deps GROUP BY 1")
-def code_rollup(m: Model) -> DataFrame:
-    """Code dependencies by type, with the files they come from."""
-    source = F.substring_index("source_file", ".", 1)
-    return m.csharp_deps.groupBy("dependency_type").agg(n().alias("n"), F.countDistinct("mod_id").alias("mods"), csv(source).alias("sources"))
+#: Kinds of code dependencies that patch a method, and what they are called.
+PATCH_KINDS = {"harmony_prefix": "Prefix", "harmony_postfix": "Postfix", "harmony_transpiler": "Transpiler"}
 
 
-#: Entity type to the system it belongs to.
-SYSTEMS = {"item": "Items", "block": "Building", "buff": "Effects", "entity_class": "Creatures", "recipe": "Crafting"}
+def _dependencies(m: Model) -> DataFrame:
+    """The tables' dependencies, some of them as patches of methods and as extended classes and interfaces."""
+    k = F.col("id") % 7
+    kind = F.when(k == 0, "harmony_prefix").when(k == 1, "harmony_postfix").when(k == 2, "harmony_transpiler").when(k == 3, "extends_Item").when(k == 4, "implements_IModApi").otherwise(F.col("dependency_type"))
+    name = F.when(k.isin(0, 1), F.concat("dependency_name", F.lit(".Run.Fast"))).otherwise(F.col("dependency_name"))
+    return m.csharp_deps.withColumns({"dependency_type": kind, "dependency_name": name})
+
+
+_DEPS_SQL = """WITH deps AS (SELECT id, mod_id, CASE WHEN id % 7 < 5 THEN ['harmony_prefix', 'harmony_postfix', 'harmony_transpiler', 'extends_Item', 'implements_IModApi'][CAST(id % 7 AS INTEGER) + 1] ELSE dependency_type END AS dependency_type,
+    CASE WHEN id % 7 < 2 THEN dependency_name || '.Run.Fast' ELSE dependency_name END AS dependency_name FROM csharp_deps)"""
+
+
+@query("cnf_49_code_rollup", _DEPS_SQL + """
+    SELECT 'dependencies' AS section, '' AS mod, dependency_type AS a, '' AS b, '' AS c, count(*) AS n FROM deps GROUP BY 3
+    UNION ALL SELECT 'patches', name, split_part(dependency_name, '.', 1), CASE WHEN contains(dependency_name, '.') THEN substr(dependency_name, strpos(dependency_name, '.') + 1) ELSE '' END, CASE dependency_type WHEN 'harmony_prefix' THEN 'Prefix' WHEN 'harmony_postfix' THEN 'Postfix' ELSE 'Transpiler' END, 1
+      FROM (SELECT DISTINCT name, dependency_name, dependency_type FROM deps JOIN mods ON mods.id = deps.mod_id WHERE starts_with(dependency_type, 'harmony_') AND dependency_type <> 'harmony_class') p
+    UNION ALL SELECT 'extensions', name, replace(replace(dependency_type, 'extends_', ''), 'implements_', ''), dependency_name, '', 1 FROM deps JOIN mods ON mods.id = deps.mod_id WHERE dependency_type LIKE 'extends_%' OR dependency_type LIKE 'implements_%'""")
+def code_rollup(m: Model, deps: DataFrame | None = None) -> DataFrame:
+    """Code dependencies in three sections: how many of each type; patches by class and method, split at the first dot; extended classes."""
+    deps = _dependencies(m) if deps is None else deps
+    kind, name, empty = F.col("dependency_type"), F.col("dependency_name"), F.lit("")
+    shape = lambda rows, section, mod, a, b, c, k: rows.select(F.lit(section).alias("section"), mod.alias("mod"), a.alias("a"), b.alias("b"), c.alias("c"), k.cast("long").alias("n"))
+    counts = shape(deps.groupBy("dependency_type").agg(n().alias("n")), "dependencies", empty, kind, empty, empty, F.col("n"))
+    named = with_mod(m, deps, mod="name")
+    patched = named.filter(kind.isin(*PATCH_KINDS)).select("mod", "dependency_name", "dependency_type").distinct()
+    at = F.instr(name, ".")
+    called = F.try_element_at(F.create_map(*(F.lit(x) for kv in PATCH_KINDS.items() for x in kv)), kind)
+    patches = shape(patched, "patches", F.col("mod"), F.substring_index(name, ".", 1), F.when(at > 0, F.substring(name, at + 1, F.length(name))).otherwise(""), called, F.lit(1))
+    extended = named.filter(kind.startswith("extends_") | kind.startswith("implements_"))
+    return counts.unionByName(patches).unionByName(shape(extended, "extensions", F.col("mod"), F.regexp_replace(kind, "extends_|implements_", ""), name, empty, F.lit(1)))
+
+
+#: Entity type to the system it belongs to; other types stand for themselves.
+SYSTEMS = {
+    "item": "Items", "block": "Blocks", "buff": "Buffs/Effects", "recipe": "Crafting", "entity_class": "Entities", "vehicle": "Vehicles", "quest": "Quests", "sound": "Audio", "loot_group": "Loot", "loot_container": "Loot",
+    "skill": "Progression", "perk": "Progression",
+}
 
 
 def system_of(kind: Column) -> Column:
-    out = F.lit("Other")
-    for k, v in SYSTEMS.items():
-        out = F.when(kind == k, v).otherwise(out)
-    return out
-
-
-@query("cnf_50_mod_behaviour", """
-    SELECT m.name, string_agg(DISTINCT CASE o.target_type WHEN 'item' THEN 'Items' WHEN 'block' THEN 'Building' WHEN 'buff' THEN 'Effects' WHEN 'entity_class' THEN 'Creatures' WHEN 'recipe' THEN 'Crafting' ELSE 'Other' END, ','
-        ORDER BY CASE o.target_type WHEN 'item' THEN 'Items' WHEN 'block' THEN 'Building' WHEN 'buff' THEN 'Effects' WHEN 'entity_class' THEN 'Creatures' WHEN 'recipe' THEN 'Crafting' ELSE 'Other' END) AS systems,
-      count(DISTINCT o.target_name) AS entities, CASE WHEN sum(CASE WHEN o.operation = 'remove' THEN 1 ELSE 0 END) > 0 THEN 'removes content' ELSE '' END AS warning
-    FROM mods m JOIN mod_xml_operations o ON o.mod_id = m.id GROUP BY 1""")
-def mod_behaviour(m: Model) -> DataFrame:
-    """Which systems each mod touches, how many entities, and whether it removes content."""
-    rows = with_mod(m, m.mod_xml_operations, name="name")
-    grouped = rows.groupBy("name").agg(csv(system_of(F.col("target_type"))).alias("systems"), F.countDistinct("target_name").alias("entities"), total(F.col("operation") == "remove").alias("r"))
-    return grouped.withColumn("warning", F.when(F.col("r") > 0, "removes content").otherwise("")).drop("r")
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SYSTEMS.items() for x in kv)), kind), kind)
+
+
+_SYSTEM_SQL = "CASE target_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SYSTEMS.items()) + " ELSE target_type END"
+
+
+@query("cnf_50_mod_behaviour", _DEPS_SQL + f"""
+    , s AS (SELECT mod_id, {_SYSTEM_SQL} AS system FROM mod_xml_operations WHERE target_type <> '' GROUP BY 1, 2), sr AS (SELECT *, row_number() OVER (PARTITION BY mod_id ORDER BY system) AS o FROM s),
+    f AS (SELECT mod_id, 'Patches ' || dependency_name AS feature, row_number() OVER (PARTITION BY mod_id ORDER BY id) AS o FROM deps WHERE starts_with(dependency_type, 'harmony_')),
+    ss AS (SELECT mod_id, string_agg(system, ', ' ORDER BY o) AS systems, string_agg(CASE WHEN o <= 3 THEN system END, ', ' ORDER BY o) AS three FROM sr GROUP BY 1), ff AS (SELECT mod_id, string_agg(feature, '|' ORDER BY o) AS features, max(CASE WHEN o = 1 THEN feature END) AS first FROM f WHERE o <= 10 GROUP BY 1)
+    SELECT mods.name, coalesce(ff.first, 'Modifies ' || ss.three, 'Game modification') AS one_liner, coalesce(ff.features, '') AS features, coalesce(ss.systems, '') AS systems
+    FROM mods LEFT JOIN ss ON ss.mod_id = mods.id LEFT JOIN ff ON ff.mod_id = mods.id""")
+def mod_behaviour(m: Model, deps: DataFrame | None = None) -> DataFrame:
+    """What each mod does in a line: the first method it patches, else the systems it changes; with its first ten features and all systems."""
+    deps = _dependencies(m) if deps is None else deps
+    touched = m.mod_xml_operations.filter("target_type <> ''").select("mod_id", system_of(F.col("target_type")).alias("system")).distinct()
+    systems = touched.groupBy("mod_id").agg(F.array_sort(F.collect_list("system")).alias("systems"))  # as many as there are systems
+    order = Window.partitionBy("mod_id").orderBy("id")
+    first = deps.filter(F.col("dependency_type").startswith("harmony_")).select("mod_id", "id", F.concat(F.lit("Patches "), "dependency_name").alias("feature")).withColumn("k", F.row_number().over(order)).filter("k <= 10")
+    features = first.groupBy("mod_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "feature"))), lambda x: x["feature"]).alias("features"))
+    rows = m.mods.select(F.col("id").alias("mod_id"), "name").join(systems, "mod_id", "left").join(features, "mod_id", "left")
+    line = F.coalesce(F.get("features", F.lit(0)), F.concat(F.lit("Modifies "), F.array_join(F.slice("systems", 1, 3), ", ")), F.lit("Game modification"))
+    joined = lambda c, sep: F.coalesce(F.array_join(c, sep), F.lit("")).alias(c)
+    return rows.select("name", line.alias("one_liner"), joined("features", "|"), joined("systems", ", "))
 
 
 @query("cnf_51_top_entities_per_mod", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,3 +222,72 @@ def callee_lists(m: Model) -> DataFrame:
     """Up to twenty outside methods that each method calls."""
     names = F.slice(F.array_sort(F.collect_set(F.concat_ws(".", "target_type", "target_method"))), 1, 20)
     return m.external_calls.groupBy("caller_id").agg(F.array_join(names, ",").alias("callees"))
+
+
+# --- Parameters as tables ---------------------------------------------------------------------------------------------
+
+#: Rows up to which a table of keywords is sent to every task.
+MOST_KEYWORDS = 10_000
+
+
+def default_parameters(spark) -> dict[str, DataFrame]:
+    """The fixed values as tables, to be changed row by row: weights (factor, weight), keywords (keyword, category, multiplier), entities (word, points)."""
+    return {
+        "weights": spark.createDataFrame(list(WEIGHTS.items()), "factor string, weight double"), "keywords": spark.createDataFrame(KEYWORDS, "keyword string, category string, multiplier double"),
+        "entities": spark.createDataFrame(list(ENTITY_POINTS.items()), "word string, points int"),
+    }
+
+
+def _hits(names: DataFrame, words: DataFrame, word: str) -> DataFrame:
+    """names (where) x words of which a name holds the text. Names that hold none are sieved out by one pattern of all words; a table
+    of over ``MOST_KEYWORDS`` words is joined by the words' first three letters instead of being sent."""
+    held = words.filter(F.length(word) > 0).withColumn("__w", F.lower(word))
+    if held.limit(MOST_KEYWORDS + 1).count() <= MOST_KEYWORDS:
+        listed = [r["__w"] for r in held.select("__w").distinct().collect()]  # checked just now
+        sieve = "|".join(re.escape(w) for w in listed) or r"(?!)"
+        return names.filter(F.rlike(F.lower("where"), F.lit(sieve))).join(F.broadcast(held), F.contains(F.lower("where"), F.col("__w"))).drop("__w")
+    low = F.lower("where")
+    grams = names.withColumn("__g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))))
+    return grams.join(held.withColumn("__g", F.substring("__w", 1, 3)), "__g").filter(F.contains(F.lower("where"), F.col("__w"))).drop("__g", "__w").distinct()
+
+
+def tuned_scores(m: Model, parameters: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Relevance scores by tables of parameters: id, keyword_score, entity_score, total_score."""
+    p = default_parameters(m.spark) | (parameters or {})
+    g = m.game_code_analysis
+    names = g.select(F.concat_ws(" ", "class_name", "method_name").alias("where")).distinct()
+    worth = F.col("multiplier") * F.when(F.col("category") == "artifact", 20).otherwise(15)
+    keyword = _hits(names, p["keywords"].dropDuplicates(["keyword"]), "keyword").groupBy("where").agg(F.round(F.sum(worth), 6).alias("k"))
+    things = g.select(F.concat_ws(" \x01 ", "class_name", "related_entities").alias("where")).distinct()
+    entity = _hits(things, p["entities"], "word").groupBy(F.col("where").alias("what")).agg(F.max("points").alias("e"))
+    rows = g.withColumns({"where": F.concat_ws(" ", "class_name", "method_name"), "what": F.concat_ws(" \x01 ", "class_name", "related_entities")}).join(keyword, "where", "left").join(entity, "what", "left")
+    k = F.greatest(F.lit(-20), F.least(F.lit(40), F.coalesce("k", F.lit(0.0)).cast("int")))
+    e = F.least(F.greatest(F.lit(0), F.coalesce("e", F.lit(0))), F.lit(50))
+    factors = F.map_from_entries(F.collect_list(F.struct("factor", "weight")))
+    weights = p["weights"].dropDuplicates(["factor"]).agg(factors.alias("w"))  # four rows
+    scored = rows.select("id", k.alias("keyword_score"), e.alias("entity_score"), artifact_penalty(F.col("analysis_type"), F.col("description"), F.col("class_name")).alias("penalty"))
+    scored = scored.join(connectivity_scores(m).withColumnRenamed("score", "c"), "id").join(mod_scores(m).withColumnRenamed("score", "d"), "id").crossJoin(F.broadcast(weights))
+    w = lambda factor: F.coalesce(F.try_element_at("w", F.lit(factor)), F.lit(1.0))
+    value = F.col("c") * w("connectivity") + F.col("entity_score") * w("entity") + F.col("d") * w("mod") + F.col("keyword_score") * w("keyword") + F.col("penalty")
+    return scored.select("id", "keyword_score", "entity_score", F.greatest(F.lit(-50), F.least(F.lit(150), F.round(value, 6).cast("int"))).alias("total_score"))
+
+
+@query("udf_02_default_parameters", f"SELECT s.id, {_keyword_sql()} AS keyword_score, {_entity_sql(ENTITY_POINTS)} AS entity_score, s.total_score FROM ({REGISTRY['cod_26_relevance_scores'][1]}) s JOIN game_code_analysis g ON g.id = s.id")
+def scores_by_tables(m: Model) -> DataFrame:
+    """By the fixed values as tables: the same as by the rules in code."""
+    return tuned_scores(m)
+
+
+@query("udf_02_tuned_parameters", f"""
+    WITH c AS ({CONNECT_SQL}), d AS ({MOD_SQL}),
+    k AS (SELECT id, CASE WHEN class_name || ' ' || method_name ILIKE '%block%' THEN 30.0 ELSE 0.0 END + CASE WHEN class_name || ' ' || method_name ILIKE '%m1%' THEN -6.0 ELSE 0.0 END AS k, CASE WHEN class_name ILIKE '%player%' OR related_entities ILIKE '%player%' THEN 33 ELSE 0 END AS e FROM game_code_analysis)
+    SELECT g.id, CAST(greatest(-20, least(40, k.k)) AS INTEGER) AS keyword_score, k.e AS entity_score,
+      CAST(greatest(-50, least(150, trunc(round(c.score * 2.0 + k.e * 0.5 + d.score * 1.0 + CAST(greatest(-20, least(40, k.k)) AS INTEGER) * 3.0 + {PENALTY_SQL}, 6)))) AS INTEGER) AS total_score
+    FROM game_code_analysis g JOIN k ON k.id = g.id JOIN c ON c.id = g.id JOIN d ON d.id = g.id""")
+def scores_by_other_tables(m: Model) -> DataFrame:
+    """Other weights, keywords and entity words: rows changed, scores change."""
+    spark = m.spark
+    return tuned_scores(m, {
+        "weights": spark.createDataFrame([("connectivity", 2.0), ("entity", 0.5), ("keyword", 3.0)], "factor string, weight double"), "entities": spark.createDataFrame([("Player", 33)], "word string, points int"),
+        "keywords": spark.createDataFrame([("Block", "building", 2.0), ("M1", "artifact", -0.3)], "keyword string, category string, multiplier double"),
+    })

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import game_context as gc
 from ..functions import text as tx
 from ..functions import xpath as xp
 from ..functions import xpath_grammar as xg
@@ -200,12 +201,26 @@ def clamped_arithmetic(m: Model) -> DataFrame:
     return m.xml_definitions.select("id", F.greatest(F.lit(-20), F.least(F.lit(40), value)).cast("long").alias("clamped"), F.round(n / 7, 2).alias("rounded"))
 
 
-@query("scl_30_game_context", """
-    SELECT id, CASE WHEN property_name ILIKE '%size%' THEN 'inventory' WHEN property_name ILIKE '%type%' THEN 'classification' WHEN property_name ILIKE '%brand%' THEN 'trading' ELSE 'general' END AS context FROM xml_properties""")
+_TYPE_SQL = "CASE definition_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in gc.OF_TYPE.items()) + " ELSE 'Game Configuration' END"
+#: Words put before names, so that every rule meets some.
+_WORDS = sorted({w.replace("+", "x") for rules in (gc.OF_PROPERTY, gc.OF_DEFINITION, gc.OF_CLASS) for words, _ in rules for w in words.split()} | {"", "Zzz"})
+_WORD_SQL = f"[{', '.join(repr(w.capitalize()) for w in _WORDS)}][id % {len(_WORDS)} + 1]"
+
+
+@query("scl_30_game_context", f"""
+    WITH d AS (SELECT id, definition_type, {_WORD_SQL} || '_' || name AS name FROM xml_definitions)
+    SELECT id, {gc.sql('name', gc.OF_PROPERTY, "'Game Property'")} AS as_property, {gc.sql('name', gc.OF_DEFINITION, _TYPE_SQL)} AS as_definition, {gc.sql('name', gc.OF_CLASS, "'Game Core'")} AS as_class FROM d""")
 def game_context(m: Model) -> DataFrame:
-    """What a property is about, by what its name contains."""
-    name = F.col("property_name")
-    return m.xml_properties.select("id", F.when(name.ilike("%size%"), "inventory").when(name.ilike("%type%"), "classification").when(name.ilike("%brand%"), "trading").otherwise("general").alias("context"))
+    """What names tell as names of properties, definitions and classes."""
+    word = F.get(F.array(*(F.lit(w.capitalize()) for w in _WORDS)), (F.col("id") % len(_WORDS)).cast("int"))
+    name = F.concat(word, F.lit("_"), "name")
+    return m.xml_definitions.select("id", gc.of_property(name).alias("as_property"), gc.of_definition(F.col("definition_type"), name).alias("as_definition"), gc.of_class(name).alias("as_class"))
+
+
+@query("scl_30_property_context", f"SELECT id, {gc.sql('property_name', gc.OF_PROPERTY, repr('Game Property'))} AS context FROM xml_properties")
+def property_context(m: Model) -> DataFrame:
+    """What the tables' properties are about."""
+    return m.xml_properties.select("id", gc.of_property(F.col("property_name")).alias("context"))
 
 
 def fuzzy_match(names: DataFrame, known: DataFrame, least: float = 0.4, top: int = 5) -> DataFrame:
