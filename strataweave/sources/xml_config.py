@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Element, entity type, attribute that names it, attribute (or None) that it extends by.
 ENTITIES = {
     "item": ("item", "name", "parent"), "block": ("block", "name", None), "entity_class": ("entity_class", "name", "extends"), "entitygroup": ("entity_group", "name", None),
@@ -169,9 +171,8 @@ def config_rows(files: DataFrame) -> DataFrame:
 def definitions(rows: DataFrame) -> DataFrame:
     """xml_definitions with ids from 1 by file and line; numbered within files, then shifted by the files before."""
     found = rows.filter("kind = 'definition'")
-    sizes = found.groupBy("path").agg(F.max("entity").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
-    bases = sizes.select("path", before.alias("__base"))
+    sizes = numbered(found.groupBy("path").agg(F.max("entity").alias("__n")), "path", name="__at", weight="__n")  # counted by ranges of paths
+    bases = sizes.select("path", (F.col("__at") - F.col("__n")).alias("__base"))
     return found.join(bases, "path").select((F.col("__base") + F.col("entity")).alias("id"), "definition_type", "name", F.col("path").alias("file_path"), "line_number", "extends", "entity")
 
 
@@ -249,7 +250,7 @@ def mods(files: DataFrame) -> DataFrame:
     value = lambda tag: F.nullif(F.regexp_extract("content", rf"(?i)<{tag}\s+value=[\"']([^\"']*)[\"']", 1), F.lit(""))
     folder = F.element_at(F.split("path", "/"), -2)
     rows = info.select(folder.alias("folder"), value("name").alias("name"), value("version").alias("version"), value("author").alias("author"))
-    return rows.select("*", F.row_number().over(Window.orderBy("folder")).alias("load_order"))
+    return numbered(rows, "folder", name="load_order")
 
 
 def semantic_mappings(spark: SparkSession, path: str) -> DataFrame:
