@@ -72,6 +72,12 @@ def ecosystem_stats(m: Model) -> DataFrame:
     return rows.agg(total(~removed).alias("active"), total(F.col("modified_by") != "").alias("modified"), total(removed).alias("removed"), total(needed).alias("depended_on"), total(removed & needed).alias("danger"))
 
 
+def impact_class(operation: Column, known: Column, refs: Column) -> Column:
+    """How dangerous an operation on an entity is that ``refs`` references aim at."""
+    gone = operation == "remove"
+    return F.when(~known, "Safe").when(gone & (refs > 0), "Conflict").when(gone | (refs > 5), "Caution").otherwise("Safe")
+
+
 @query("cnf_45_xpath_impact", """
     SELECT o.id, CASE WHEN d.id IS NULL THEN 'Safe' WHEN o.operation = 'remove' AND coalesce(r.n, 0) > 0 THEN 'Conflict' WHEN o.operation = 'remove' OR coalesce(r.n, 0) > 5 THEN 'Caution' ELSE 'Safe' END AS status
     FROM mod_xml_operations o LEFT JOIN xml_definitions d ON d.definition_type = o.target_type AND d.name = o.target_name
@@ -81,9 +87,7 @@ def xpath_impact(m: Model) -> DataFrame:
     refs = m.xml_references.groupBy(*ENTITY).agg(n().alias("refs"))
     defs = m.xml_definitions.select(F.col("definition_type").alias("target_type"), F.col("name").alias("target_name"), F.lit(True).alias("known"))
     rows = m.mod_xml_operations.join(defs, ENTITY, "left").join(refs, ENTITY, "left")
-    gone, count = F.col("operation") == "remove", F.coalesce("refs", F.lit(0))
-    status = F.when(F.col("known").isNull(), "Safe").when(gone & (count > 0), "Conflict").when(gone | (count > 5), "Caution").otherwise("Safe")
-    return rows.select("id", status.alias("status"))
+    return rows.select("id", impact_class(F.col("operation"), F.col("known").isNotNull(), F.coalesce("refs", F.lit(0))).alias("status"))
 
 
 @query("cnf_46_mod_health", f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..model import Model, query
 from ..sources import sinks, xml_config
 from ..sources import source_code as sc
-from . import code, events
+from . import code, ecosystem, events
 from .shapes import Shapes, config_shapes
 
 KEY = "CAST(p_partkey AS VARCHAR)"
@@ -121,13 +121,25 @@ def config_tree(m: Model) -> DataFrame:
 
 
 @query("src_20_change_scan", """
-    SELECT CAST(id AS VARCHAR) AS path, operation, replace(xpath, '"', '''') AS xpath, CASE WHEN operation = 'remove' THEN '' ELSE new_value END AS new_value, target_type, target_name, 2 AS line_number FROM mod_xml_operations""")
+    WITH r AS (SELECT target_type, target_name, count(*) AS n FROM xml_references GROUP BY 1, 2), d AS (SELECT DISTINCT definition_type, name FROM xml_definitions),
+    o AS (SELECT id, operation, replace(xpath, '"', '''') AS xpath, CASE WHEN operation = 'remove' THEN '' ELSE new_value END AS new_value, target_type, target_name FROM mod_xml_operations)
+    SELECT 'mod/' || CAST(o.id // 8 AS VARCHAR) || '.xml' AS path, operation, xpath, new_value, o.target_type, o.target_name,
+      CASE WHEN d.name IS NULL THEN 'Safe' WHEN operation = 'remove' AND coalesce(r.n, 0) > 0 THEN 'Conflict' WHEN operation = 'remove' OR coalesce(r.n, 0) > 5 THEN 'Caution' ELSE 'Safe' END AS impact,
+      CAST(1 + row_number() OVER (PARTITION BY o.id // 8 ORDER BY o.id, '<' || operation || ' xpath="' || xpath || '">' || new_value) AS INTEGER) AS line_number
+    FROM o LEFT JOIN d ON d.definition_type = o.target_type AND d.name = o.target_name LEFT JOIN r ON r.target_type = o.target_type AND r.target_name = o.target_name""")
 def change_scan(m: Model) -> DataFrame:
-    """Every operation written as a change document and read back with its target."""
+    """Every operation written into the change document of its file, one to three in each, and read back with its target and how
+    dangerous it is."""
     ops = m.mod_xml_operations
-    document = F.concat(F.lit("<configs>\n<"), "operation", F.lit(' xpath="'), F.replace("xpath", F.lit('"'), F.lit("'")), F.lit('">'), F.when(F.col("operation") == "remove", "").otherwise(F.col("new_value")), F.lit("</"), "operation", F.lit(">\n</configs>"))
-    found = xml_config.change_operations(ops.select(F.col("id").cast("string").alias("path"), document.alias("content")))
-    return found.select("path", "operation", "xpath", F.coalesce("new_value", F.lit("")).alias("new_value"), "target_type", "target_name", F.col("line_number").cast("int").alias("line_number"))
+    one = F.concat(F.lit("<"), "operation", F.lit(' xpath="'), F.replace("xpath", F.lit('"'), F.lit("'")), F.lit('">'), F.when(F.col("operation") == "remove", "").otherwise(F.col("new_value")), F.lit("</"), "operation", F.lit(">"))
+    files = ops.groupBy(F.expr("id div 8").alias("k")).agg(F.array_sort(F.collect_list(F.struct("id", one.alias("text")))).alias("all"))  # three at most
+    document = F.concat(F.lit("<configs>\n"), F.array_join(F.transform("all", lambda x: x["text"]), "\n"), F.lit('\n<!-- <set xpath="/no"/> --></configs>'))
+    found = xml_config.change_operations(files.select(F.concat(F.lit("mod/"), F.col("k").cast("string"), F.lit(".xml")).alias("path"), document.alias("content")))
+    known = m.xml_definitions.select(F.col("definition_type").alias("target_type"), F.col("name").alias("target_name"), F.lit(True).alias("known"))
+    refs = m.xml_references.groupBy("target_type", "target_name").agg(F.count(F.lit(1)).alias("refs"))
+    rows = found.join(known, ["target_type", "target_name"], "left").join(refs, ["target_type", "target_name"], "left")
+    impact = ecosystem.impact_class(F.col("operation"), F.col("known").isNotNull(), F.coalesce("refs", F.lit(0)))
+    return rows.select("path", "operation", "xpath", F.coalesce("new_value", F.lit("")).alias("new_value"), "target_type", "target_name", impact.alias("impact"), F.col("line_number").cast("int").alias("line_number"))
 
 
 @query("src_21_second_change_parser", """
@@ -148,13 +160,28 @@ def second_change_parser(m: Model) -> DataFrame:
     return xml_config.xml_changes(files).select("file_path", "operation", "xpath", empty("property_name"), empty("new_value"), "xml_file")
 
 
-@query("src_22_mod_scan", "SELECT 'mod' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS folder, s_name AS name, '1.' || CAST(s_nationkey AS VARCHAR) AS version, 'author' AS author, row_number() OVER (ORDER BY s_suppkey) AS load_order FROM supplier")
+#: Info files of mods, by their key: full, with other quotes and case, with attributes left out, broken, empty.
+INFOS = [
+    '<xml>\n<Name value="{N}"/><DisplayName value="The {N}"/><Version value="1.{V}"/>\n<Author value="author"/><Description value="ü &amp; more"/><Website value="http://x/{V}"/></xml>', "<xml><name value='{N}'/><VERSION value='2.{V}'/></xml>",
+    '<xml><Name value="{N}"/><Version value=""/><Author value="a b"/></xml>', '<xml><Name value="{N}"', '<xml><ModInfo><Name value="{N}" /><Version value="3.{V}" compat="A21" /></ModInfo></xml>', '<!-- nothing -->', '<xml><DisplayName value="{N}"/>\n\n<Author   value="z"/></xml>',
+]
+
+
+@query("src_22_mod_scan", """
+    WITH s AS (SELECT s_suppkey AS k, s_name AS n, CAST(s_nationkey AS VARCHAR) AS v, CAST(s_suppkey % 7 AS INTEGER) AS shape FROM supplier)
+    SELECT 'mod' || lpad(CAST(k AS VARCHAR), 9, '0') AS folder, CASE WHEN shape < 5 THEN n END AS name, CASE shape WHEN 0 THEN 'The ' || n WHEN 6 THEN n END AS display_name, CASE shape WHEN 0 THEN '1.' || v WHEN 1 THEN '2.' || v WHEN 4 THEN '3.' || v END AS version,
+      CASE shape WHEN 0 THEN 'author' WHEN 2 THEN 'a b' WHEN 6 THEN 'z' END AS author, CASE WHEN shape = 0 THEN 'ü &amp; more' END AS description, CASE WHEN shape = 0 THEN 'http://x/' || v END AS website, k % 3 = 0 AS has_xml, k % 4 = 1 AS has_dll, row_number() OVER (ORDER BY k) AS load_order FROM s""")
 def mod_scan(m: Model) -> DataFrame:
-    """Mods from their info files, in load order."""
-    supplier = m.spark.read.parquet(f"{m.sf_dir}/supplier.parquet")
-    folder = F.concat(F.lit("/mods/mod"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit("/ModInfo.xml"))
-    info = _text('<xml>\n<Name value="{N}"/><Version value="1.{V}"/>\n<Author value="author"/></xml>', N=F.col("s_name"), V=F.col("s_nationkey"))
-    return xml_config.mods(supplier.select(folder.alias("path"), info.alias("content"))).select("folder", "name", "version", "author", F.col("load_order").cast("long").alias("load_order"))
+    """Mods from their folders' files, in load order."""
+    s = m.spark.read.parquet(f"{m.sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    root = F.concat(F.lit("/mods/mod"), F.lpad(k.cast("string"), 9, "0"))
+    shape = F.get(F.array(*map(F.lit, INFOS)), (k % len(INFOS)).cast("int"))
+    info = F.replace(F.replace(shape, F.lit("{N}"), F.col("s_name")), F.lit("{V}"), F.col("s_nationkey").cast("string"))
+    file = lambda name, content: F.struct(F.concat(root, F.lit(name)).alias("path"), content.alias("content"))
+    none = F.lit(None).cast("string")
+    files = F.array(file("/ModInfo.xml", info), F.when(k % 3 == 0, file("/Config/items.xml", F.lit("<configs/>"))), F.when(k % 4 == 1, file("/Mod.dll", none)), F.when(k % 3 == 1, file("/UIAtlases/x.xml", none)), F.when(k % 4 == 2, file("/Libs/x.dll.txt", none)))
+    return xml_config.mods(s.select(F.explode(F.array_compact(files)).alias("f")).select("f.*"))
 
 
 # --- Source files -----------------------------------------------------------------------------------------------------

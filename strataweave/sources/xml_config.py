@@ -245,12 +245,16 @@ def xml_changes(files: DataFrame) -> DataFrame:
 
 
 def mods(files: DataFrame) -> DataFrame:
-    """One row for each folder with a ModInfo.xml: name, version, author, and load order by folder name."""
-    info = files.filter(F.col("path").endswith("ModInfo.xml"))
-    value = lambda tag: F.nullif(F.regexp_extract("content", rf"(?i)<{tag}\s+value=[\"']([^\"']*)[\"']", 1), F.lit(""))
-    folder = F.element_at(F.split("path", "/"), -2)
-    rows = info.select(folder.alias("folder"), value("name").alias("name"), value("version").alias("version"), value("author").alias("author"))
-    return numbered(rows, "folder", name="load_order")
+    """One row for each folder with a ModInfo.xml: what that says, whether there are config files and libraries, and the load order by
+    folder name. files: path, content of all files, of which only the info files need a content."""
+    info = files.filter(F.col("path").endswith("/ModInfo.xml"))
+    value = lambda tag: F.nullif(F.regexp_extract("content", rf"(?i)<{tag}\s+value=[\"']([^\"']*)[\"']", 1), F.lit("")).alias(tag)
+    tags = ("name", "display_name", "version", "author", "description", "website")
+    rows = info.select(F.regexp_replace("path", "/ModInfo.xml$", "").alias("root"), *(value(t.replace("_", "")).alias(t) for t in tags))
+    part = F.regexp_extract("path", r"^(.*?)/(?:Config/.*\.xml|[^/]*\.dll)$", 1)
+    held = files.select(part.alias("root"), F.col("path").endswith(".xml").alias("xml")).filter("root <> ''").groupBy("root").agg(F.max("xml").alias("has_xml"), F.max(~F.col("xml")).alias("has_dll"))
+    known = rows.join(held, "root", "left").select(F.substring_index("root", "/", -1).alias("folder"), *tags, F.coalesce("has_xml", F.lit(False)).alias("has_xml"), F.coalesce("has_dll", F.lit(False)).alias("has_dll"))
+    return numbered(known, "folder", name="load_order")
 
 
 def semantic_mappings(spark: SparkSession, path: str) -> DataFrame:
