@@ -223,14 +223,30 @@ def property_context(m: Model) -> DataFrame:
     return m.xml_properties.select("id", gc.of_property(F.col("property_name")).alias("context"))
 
 
+#: Rows of one side of a block of pairs.
+BLOCK_ROWS = 2000
+
+
+def _in_blocks(names: DataFrame, known: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every row of ``names`` beside every row of ``known``: both in blocks of about ``rows``, each pair of blocks for itself, so a task
+    holds one block however long the lists are. Only a list of one block is sent to all."""
+    parts = lambda df: -(-df.count() // rows) or 1
+    many, most = parts(names), parts(known)
+    if most == 1:
+        return names.repartition(max(many, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))).crossJoin(F.broadcast(known))
+    own = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    left = names.withColumn("__x", own(names, many)).withColumn("__y", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    right = known.withColumn("__y", own(known, most)).withColumn("__x", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    return left.join(right, ["__x", "__y"]).drop("__x", "__y")
+
+
 def fuzzy_match(names: DataFrame, known: DataFrame, least: float = 0.4, top: int = 5) -> DataFrame:
     """For each ``name`` the best ``top`` of ``known`` (known, kind) by the reference's score, at least ``least``.
 
     Every name is scored against all that is known: 0.4 is so low that no shared token or q-gram is sure.
     """
     side = lambda rows, c, p: rows.filter(F.col(c).isNotNull()).distinct().withColumns({f"{p}l": F.lower(c), f"{p}t": tx.capital_tokens(F.col(c))})
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = side(names.select("name"), "name", "n").repartition(parts, "name").crossJoin(F.broadcast(side(known.select("known", "kind"), "known", "k")))
+    pairs = _in_blocks(side(names.select("name"), "name", "n"), side(known.select("known", "kind"), "known", "k"))
     score = F.greatest(tx.spelling_score(F.col("nl"), F.col("kl")), tx.token_score(F.col("nt"), F.col("kt")))
     found = pairs.select("name", "known", "kind", score.alias("s")).filter(F.col("s") >= least).select("name", "known", "kind", F.bround("s", 2).alias("score"))
     order = Window.partitionBy("name").orderBy(F.desc("score"), "known", "kind")
@@ -254,7 +270,7 @@ def four_factor_score(a: F.Column, b: F.Column, kind_a: F.Column, kind_b: F.Colu
 def four_factor_match(names: DataFrame, known: DataFrame, least: float = 0.4, top: int = 5) -> DataFrame:
     """For each (name, expected) the best ``top`` of ``known`` (known, kind) by four factors, at least ``least``, capped at 1."""
     side = names.select("name", "expected").distinct()
-    pairs = side.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name").crossJoin(F.broadcast(known.select("known", "kind").distinct()))
+    pairs = _in_blocks(side, known.select("known", "kind").distinct())
     scored = pairs.withColumn("s", four_factor_score(F.col("name"), F.col("known"), F.col("expected"), F.col("kind"))).filter(F.col("s") >= least)
     capped = scored.select("name", "expected", "known", "kind", F.round(F.least("s", F.lit(1.0)), 6).alias("score"))
     order = Window.partitionBy("name", "expected").orderBy(F.desc("score"), "known", "kind")

@@ -97,6 +97,14 @@ def test_fuzzy_match_scores_all_pairs(spark):
     assert rows["pistl", "pistol"] == 0.83 and rows["pistol", "pistols"] >= 0.8
 
 
+def test_pairs_in_blocks_are_all_pairs(spark):
+    a, b = spark.range(57).selectExpr("concat('n', id) as name"), spark.range(31).selectExpr("concat('k', id) as known", "'item' as kind")
+    for rows in (5, 20, 40, 1000):
+        got = [(r["name"], r["known"]) for r in text._in_blocks(a, b, rows).collect()]
+        assert len(got) == len(set(got)) == 57 * 31
+    assert text._in_blocks(a.limit(0), b, 5).count() == 0 and text._in_blocks(a, b.limit(0), 5).count() == 0
+
+
 def test_fuzzy_match_takes_full_names(spark, sf_dir):
     m = Model(spark, sf_dir)
     best = {r["name"]: r["score"] for r in REGISTRY["scl_17_fuzzy_match"][0](m).filter("rank = 1").collect()}
