@@ -150,11 +150,14 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(bits, pa.binary())], ["slot", "bits"])
 
 
+def _in_tasks(rows: DataFrame, task_bytes: int) -> DataFrame:
+    """``rows`` in as few tasks as their size and the cluster's cores allow: each passes on every n-gram once, and one sketch."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(rows) // task_bytes)))
+
+
 def heavy_cells(rows: DataFrame, cells: int, least: int = LEAST, longest: int = LONGEST, task_bytes: int = TASK_BYTES) -> np.ndarray:
     """lang, text -> a bit for each cell of the merged sketch, row after row: whether ``least`` n-grams or more fell into it."""
-    spark = rows.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-stored_bytes(rows) // task_bytes))
-    parts = rows.coalesce(tasks).mapInArrow(lambda it: released(_sketch(it, cells, least, longest)), "slot long, part binary")
+    parts = _in_tasks(rows, task_bytes).mapInArrow(lambda it: released(_sketch(it, cells, least, longest)), "slot long, part binary")
     merged = parts.repartition("slot").mapInArrow(lambda it: released(_merge(it, least)), "slot long, bits binary").toArrow()
     bits = np.zeros(ROWS * cells // 8, np.uint8)
     for slot, part in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
@@ -188,7 +191,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cells:
     shared_dir(docs.sparkSession)
     cells = cells or cells_for(stored_bytes(rows))
     sent = docs.sparkSession.sparkContext.broadcast(heavy_cells(rows, cells, least, longest))
-    counted = rows.mapInArrow(lambda it: released(_survivors(it, sent, cells, longest)), "lang string, size int, phrase string, n long")
+    counted = _in_tasks(rows, TASK_BYTES).mapInArrow(lambda it: released(_survivors(it, sent, cells, longest)), "lang string, size int, phrase string, n long")
     return cut(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0)))
 
 
