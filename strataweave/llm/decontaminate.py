@@ -13,7 +13,7 @@ comes to the driver there, and a run that very many documents share is split by
 
 Words are ASCII-lower-cased runs of non-blank characters, compared by 64-bit hashes.
 
-Defined results: a null or empty text matches nothing, nor does an item without words; an item of fewer than ``min_match``
+Defined results: a very long text is tiled whole; a null or empty text matches nothing, nor does an item without words; an item of fewer than ``min_match``
 words is matched by a document of the same words and no others; a null item_id is an id like others; a repeated item
 matches under each of its ids, a repeated document once for each row; of equally long matches the first in the item,
 then in the document, is marked; empty tables give no pairs and drop nothing; columns beside those named are carried

@@ -7,7 +7,7 @@ bands; symbol soup, shouting, tables and repeated filler do not. A text is rejec
 Base rules go first: too few words, or more than half of the words inside repeated three-word windows.
 
 Defined results: a null or empty text has zero counts and measures and fails the base rules; lines are cut at ``\\n`` and
-count as repeats only if they hold a word; repeated rows are judged alike; a null or unknown language falls back to the
+count as repeats only if they hold a word; a very long text is measured whole, piece by piece; repeated rows are judged alike; a null or unknown language falls back to the
 script; an empty table gives an empty result; other columns are left out, whatever their names.
 """
 

@@ -17,7 +17,7 @@ emits the pairs of a group or gathers them on the driver.
 
 Shingles are 64-bit hashes of runs of five ASCII-lower-cased words; a text of one to four words is one shingle.
 
-Defined results: a null or blank text has no shingles, no links and itself as component; equal sets are linked; a row
+Defined results: a very long text is hashed block by block, whole; a null or blank text has no shingles, no links and itself as component; equal sets are linked; a row
 repeated under one id counts as a copy; a null doc_id is linked like others and names a component only where no member
 has an id (the component is null then); an empty table gives an empty result; other columns are left out, whatever their
 names, and ``keep_one`` carries them along.

@@ -11,7 +11,7 @@ positions; a longer pair goes on in further records of the same id, in order, so
 Defined results: a null role is ``user``, a null text is empty, a null turn comes first (position -1); a turn repeated
 with the same role and text counts once; different turns at one position are ordered by role, then text; a pair with
 one side only has an empty prompt, all its turns being completion, and an empty other side; of two identical
-conversations all is prompt and both completions are empty; rows without conv_id are left out; an empty table gives no
+conversations all is prompt and both completions are empty; a very long text is a value like others and is never cut; rows without conv_id are left out; an empty table gives no
 records; columns beside those named are not carried along, whatever their names.
 """
 

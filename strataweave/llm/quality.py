@@ -10,7 +10,8 @@ and the labels of the ``neighbours`` nearest vote, weighted by similarity.
 Fitting uses at most ``max_labelled`` labelled rows, as many of either label as there are up to half, chosen by a
 hash of the id; everything else covers all documents. Labels, language, source and id are no input of a score.
 
-Defined results: a null, empty or blank text scores 0; a label row without quality is ignored, repeated label rows
+Defined results: a null, empty or blank text scores 0; a very long text is summed up whole, block by block; of equally near
+neighbours at the edge of the vote any may count, the same ones on the same machine; a label row without quality is ignored, repeated label rows
 count once (the lowest quality); without any labelled text every score is 0; repeated rows score alike; an empty table
 gives an empty result; other columns are carried along, whatever their names, but a column ``score`` gives way; a null id
 is not held out.

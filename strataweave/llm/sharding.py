@@ -11,7 +11,7 @@ turn those into gapless slots.
 
 Only DataFrame functions run here; the driver sees at most ``PROBES`` rows a round and one row a task.
 
-Defined results: a null text has no bytes (size 1); a null key sorts first; rows equal in key and text are
+Defined results: a null text has no bytes (size 1); a very long text is one row, and a shard may exceed its share by it; a null key sorts first; rows equal in key and text are
 interchangeable and are cut like any others; an empty table gives an empty result; extra columns are carried along, but
 ``size``, ``shard`` and ``slot`` of the input give way to those found here. The place is where a row was read, so ``docs``
 should be a stored table: over one that comes out of a shuffle, shards stay whole but may miss the tolerance.

@@ -9,7 +9,8 @@ a bounded table of units it has met.
 
 The public vocabulary here (``piece_bpe_32k.model``) brings its own piece scores, whole numbers, so sums are exact.
 
-Defined results: a null or empty text has no tokens; repeated rows count alike; a unit of any length is one linear pass.
+Defined results: a null or empty text has no tokens; repeated rows count alike; a unit of any length is one linear
+pass; an empty table gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

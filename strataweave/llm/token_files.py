@@ -11,7 +11,7 @@ The vocabulary's pre-tokenizer never joins characters over white space and its n
 text's ids are those of its words in turn. Each worker keeps a bounded table of words it has met and passes only
 unknown ones to the library.
 
-Defined results: a null or empty text has just the end id; a null doc_id sorts first; repeated ids sort by their texts'
+Defined results: a null or empty text has just the end id; a very long text is encoded in slices of words into one row; a null doc_id sorts first; repeated ids sort by their texts'
 hash, then by text; an id or row of any weight is spread over files; an empty table gives an empty file set and manifest;
 extra columns are left out of the files, whatever their names.
 """
