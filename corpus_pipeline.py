@@ -2,6 +2,10 @@
 
 Each stage takes what the one before kept, written as Parquet and read again. All but the last return the columns of
 ``documents``; the last adds ``ids`` (SentencePiece ids of the whole cleaned text) and ``decoded`` in place of ``text``.
+
+Defined results: a null or blank text scores 0 and goes in the first stage; rows without an id and repeated ids are rows like others, each
+judged by its own text; an empty table, or one of which nothing is kept, runs through all stages and gives an empty result with the same
+columns; columns beside those named are carried along, but ``ids`` and ``decoded`` of the input give way to those found here.
 """
 
 from __future__ import annotations
