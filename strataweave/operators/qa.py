@@ -61,7 +61,8 @@ def gaps(m: Model, patches: DataFrame, traced: DataFrame, methods: DataFrame | N
     known = patches.select(*TARGET, F.col("target_arg_types").alias("missing")).distinct()
     overloads = own.select("mod_id", *TARGET).distinct().join(known, TARGET).join(own, ["mod_id", *TARGET, "missing"], "left_anti")
     a = overloads.select("mod_id", F.lit("missing overload").alias("gap"), F.lit("Low").alias("severity"), F.concat(method("target_class", "target_method"), "missing").alias("what"))
-    bypass = hierarchy.inheritance_bypass(m, patches, methods)
+    missed, overrides = hierarchy.missed_overrides(m, patches, m.methods if methods is None else methods)
+    bypass = missed.select("mod_id", "derived_type", "type_id", "method").distinct().join(overrides.select("type_id", "method", "severity").distinct(), ["type_id", "method"])
     b = bypass.select("mod_id", F.lit("inheritance bypass").alias("gap"), "severity", method("derived_type", "method").alias("what")).distinct()
     c = traced.filter("not covered and subscribers > 0").select("mod_id", F.lit("uncovered event").alias("gap"), F.lit("Medium").alias("severity"), method("owner_type", "event_name").alias("what"))
     return a.unionByName(b).unionByName(c)
