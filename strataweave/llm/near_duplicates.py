@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import bytescan
-from .common import WORD, cut, documents, fresh, quoted, released, table, tasks_for
+from .common import WORD, documents, fresh, quoted, released, stored, table, tasks_for
 from .components import components
 
 PERCENT = 80
@@ -404,7 +404,7 @@ def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame,
     bits = (tasks - 1).bit_length() + 1
     source = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     raw = source.mapInArrow(lambda it: released(_scan(it, percent, bits)), RAW).repartition(tasks, "bucket")
-    dealt = cut(raw.mapInArrow(lambda it: released(_lists(it, bits)), "kind int, a long, b long, t long, n long, blob binary"))
+    dealt = stored(raw.mapInArrow(lambda it: released(_lists(it, bits)), "kind int, a long, b long, t long, n long, blob binary"), "dealt")
     sets = dealt.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("t").alias("text_hash"), F.col("b").alias("sid"), "n", "blob")
     # A class is read again by the text of its least id; a class of null ids only by one of its texts.
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash")))
@@ -415,9 +415,9 @@ def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame,
     members = lists.mapInArrow(_members, "list long, x long, y long, sid long, left boolean")
     sized = members.join(classes.select("sid", "n", "sketch"), "sid").select(*pairs, "sid", "left", "n", "sketch")
     close = sized.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: released(_close(it, percent)), "a long, b long")
-    families = cut(components(close).join(classes.select("sid", "least", "copies", "n"), F.col("node") == F.col("sid")).select("root", "sid", "least", "copies", "n"))
+    families = stored(components(close).join(classes.select("sid", "least", "copies", "n"), F.col("node") == F.col("sid")).select("root", "sid", "least", "copies", "n"), "families")
 
-    blocks = cut(families.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks")))
+    blocks = stored(families.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks")), "blocks")
     placed = families.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks"))
     wanted = placed.select(F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"), "root", "sid", "copies", "blocks", "own")
     wanted = F.broadcast(wanted) if families.count() <= BROADCAST_MEMBERS else wanted
@@ -428,14 +428,14 @@ def _linked(docs: DataFrame, percent: int, task_bytes: int) -> tuple[DataFrame,
         source.join(wanted, same).select("root", "sid", "copies", "own", "text", other)
         .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "copies", (F.col("own") <= F.col("other")).alias("left"), "text")
     )
-    verified = cut(texts.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: released(_verify(it, percent)), "a long, b long, links long"))
+    verified = stored(texts.repartition(tasks, *pairs).sortWithinPartitions(*pairs).mapInArrow(lambda it: released(_verify(it, percent)), "a long, b long, links long"), "verified")
 
     roots = components(verified.filter("b is not null").select("a", "b"))
     links = verified.filter("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     named = classes.select("sid", "least", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    firsts = cut(named.groupBy("root").agg(F.min("least.doc_id").alias("component_id")))
+    firsts = stored(named.groupBy("root").agg(F.min("least.doc_id").alias("component_id")), "firsts")
     known = named.join(firsts, "root").join(links, "sid", "left").select("sid", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sets.select("doc_id", "text_hash", "n", "sid"), cut(known)
+    return sets.select("doc_id", "text_hash", "n", "sid"), stored(known, "known")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -456,7 +456,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, task_bytes: int = TASK_BYT
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     best = rows.filter("n > 0").join(known.select("sid", "root"), "sid").groupBy("root").agg(F.min(order).alias("o"))
     of, at, empty = fresh(docs.columns, "of", "at", "empty")
-    stay = cut(best.select(F.coalesce("o.doc_id", F.lit(0)).alias(of), F.struct(F.col("o.doc_id").isNull(), F.col("o.text_hash")).alias(at)).distinct())
+    stay = stored(best.select(F.coalesce("o.doc_id", F.lit(0)).alias(of), F.struct(F.col("o.doc_id").isNull(), F.col("o.text_hash")).alias(at)).distinct(), "stay")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({of: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), at: F.struct(F.col("doc_id").isNull(), F.xxhash64(text)), empty: ~F.rlike(text, F.lit(WORD))})
     one = keyed.filter(~F.col(empty)).join(stay, [of, at], "left_semi").groupBy(of, at).agg(F.first(F.struct(*(quoted(c) for c in docs.columns))).alias("row"))

@@ -7,6 +7,7 @@ directions of the labelled texts' term matrix. The labelled vectors are broadcas
 ``rank`` floats, beside ``TERMS`` rows of axes); for every document the exact cosine to each of them is computed in blocks,
 and the labels of the ``neighbours`` nearest vote, weighted by similarity.
 
+The term matrix of the labelled texts is gathered and fitted in one task, so that the driver holds the axes and the vectors only.
 Fitting uses at most ``max_labelled`` labelled rows, as many of either label as there are up to half, chosen by a
 hash of the id; everything else covers all documents. Labels, language, source and id are no input of a score.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +144,18 @@ class Voters:
         self.vectors = self.project(counts)
         self.labels = labels.astype(np.float32)
 
+    def parts(self) -> dict[str, np.ndarray]:
+        return {"idf": self.idf, "axes": self.axes, "vectors": self.vectors, "labels": self.labels}
+
+    @classmethod
+    def of(cls, parts: dict[str, np.ndarray]) -> Voters:
+        """The same voters from their parts, which may come flat."""
+        self = cls.__new__(cls)
+        self.idf, self.labels = parts["idf"], parts["labels"]
+        self.axes = parts["axes"].reshape(TERMS, -1)
+        self.vectors = parts["vectors"].reshape(len(self.labels), self.axes.shape[1])
+        return self
+
     def project(self, counts: Counts) -> np.ndarray:
         y = Terms(counts, self.idf).times(self.axes)
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
@@ -159,6 +173,7 @@ class Voters:
 
 
 _FEATURES = ["dense", "cells", "counts", "n_words", "quality", "ordinal"]
+_NO_FEATURES = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.int64(), pa.int32(), pa.int64())], _FEATURES)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +184,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([dense, cells, counts, pa.array(c.n.astype(np.int64)), batch.column(1), batch.column(2)], _FEATURES)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch], rank: int) -> Iterator[pa.RecordBatch]:
+    """All chosen rows, in order -> a row for each part of their voters."""
+    found = pa.Table.from_batches([b for b in batches if len(b)] or [_NO_FEATURES])
+    flat = lambda c, t: np.asarray(found.column(c).combine_chunks().flatten(), dtype=t)
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(found.column("cells")).to_numpy())]).astype(np.int64)
+    counts = Counts(flat("dense", np.float32).reshape(len(found), DENSE), bounds, flat("cells", np.int64), flat("counts", np.float32), found.column("n_words").to_numpy())
+    for name, values in Voters(counts, found.column("quality").to_numpy(), rank).parts().items():
+        flat_values = pa.array(np.ascontiguousarray(values, np.float32).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(flat_values)], pa.int32()), flat_values)], ["part", "of"])
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -181,12 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, rank: int
     chosen = F.broadcast(sides[0].unionByName(sides[1]))  # at most max_labelled rows of 20 bytes
     rows = documents(docs).join(chosen, "doc_id").select("text", "quality", "ordinal")
     types = "dense array<float>, cells array<int>, counts array<float>, n_words long, quality int, ordinal long"
-    # A text of very many words fills at most WORDS cells, so at most max_labelled rows of bounded size come to the driver.
-    found = rows.mapInArrow(lambda it: released(_features(it)), types).orderBy("ordinal", "quality", "n_words", "dense").limit(max_labelled).toArrow()
-    flat = lambda c, t: np.asarray(found.column(c).combine_chunks().flatten() if len(found) else pa.array([], pa.float32()), dtype=t)
-    lengths = [len(x) for x in found.column("cells")]
-    counts = Counts(flat("dense", np.float32).reshape(len(found), DENSE), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), flat("cells", np.int64), flat("counts", np.float32), np.asarray(found.column("n_words").to_numpy()))
-    return Voters(counts, np.asarray(found.column("quality").to_numpy()), rank)
+    # A text of very many words fills at most WORDS cells, so at most max_labelled rows of bounded size meet in the task that fits.
+    found = rows.mapInArrow(lambda it: released(_features(it)), types).orderBy("ordinal", "quality", "n_words", "dense").limit(max_labelled)
+    parts = found.mapInArrow(lambda it: released(_fitted(it, rank)), "part string, of array<float>").toArrow()
+    if not len(parts):  # Spark runs no task where it sees that nothing is labelled
+        parts = pa.Table.from_batches(list(_fitted(iter(()), rank)))
+    return Voters.of({name: np.array(of.values) for name, of in zip(parts.column("part").to_pylist(), parts.column("of"), strict=True)})
 
 
 def _scores(batches: Iterator[pa.RecordBatch], voters, neighbours: int) -> Iterator[pa.RecordBatch]:

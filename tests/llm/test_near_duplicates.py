@@ -131,6 +131,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    """What the driver plans and keeps follows the jobs: stars are known as such, and a table that is kept takes no second job."""
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "")
+    try:
+        got = dict(map(tuple, components(spark.createDataFrame([(200, x) for x in range(201, 230)], "a long, b long")).collect()))
+    finally:
+        sc._jsc.clearJobGroup()
+    assert got == {x: 200 for x in range(200, 230)}
+    assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 12
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(8)
     for n in (5, 300, 1100, 9000):

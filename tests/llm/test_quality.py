@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +108,17 @@ def test_odd_rows(spark, sf_dir):
     assert got.filter("trim(coalesce(text, '')) = ''").filter("score > 0").count() == 0
     assert ql.score_documents(odd_documents(spark), labels.limit(0)).filter("score > 0").count() == 0
     assert ql.score_documents(odd_documents(spark).limit(0), labels).count() == 0
+
+
+def test_fit_leaves_the_driver_little(spark):
+    """The driver gets the fitted parts, some 5 MB, and neither the labelled texts' term matrix nor what fitting takes."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    tracemalloc.start()
+    try:
+        v = ql.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert v.vectors.shape == (len(v.labels), 64) and v.axes.shape == (ql.TERMS, 64) and len(v.idf) == ql.TERMS and set(v.labels) == {0, 1}
+    assert peak < 20e6
